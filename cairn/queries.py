@@ -9,7 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.operators import sales
+from pyspark.sql import functions as F
+
+from cairn.functions.scalar import sql_round
+from cairn.operators import clinical, cohort, sales
+from cairn.operators.ordered import ordered_window
+from cairn.sources import catalog
 from cairn.sources.tables import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +84,65 @@ def q_first_last_purchase(spark, sf_dir):
     return sales.first_last_purchase(t.orders())
 
 
+def q_cohort_retention(spark, sf_dir):
+    return cohort.cohort_retention(_t(spark, sf_dir).orders())
+
+
+def q_cohort_matrix(spark, sf_dir):
+    return cohort.cohort_matrix(cohort.cohort_retention(_t(spark, sf_dir).orders()))
+
+
+def q_retention_curve(spark, sf_dir):
+    return cohort.retention_curve(cohort.cohort_retention(_t(spark, sf_dir).orders()))
+
+
+def q_retention_summary(spark, sf_dir):
+    return cohort.retention_summary(cohort.cohort_retention(_t(spark, sf_dir).orders()))
+
+
+def q_mom_summary(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return cohort.mom_summary(t.orders(), t.order_items())
+
+
+def q_group_summary(spark, sf_dir):
+    return clinical.group_summary(_t(spark, sf_dir).patients())
+
+
+def q_age_group_summary(spark, sf_dir):
+    return clinical.age_group_summary(_t(spark, sf_dir).patients())
+
+
+# The reference's unit-test queries run on a 3-row (id, name, score) frame;
+# here the same statements run on the customer table (score = account balance)
+# registered through the catalog.
+def _scores(spark, sf_dir):
+    c = _t(spark, sf_dir).raw("customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    return catalog.load_dataframe(spark, c, "scores")
+
+
+def q_count_basic(spark, sf_dir):
+    _scores(spark, sf_dir)
+    return catalog.query(spark, "SELECT COUNT(*) AS n FROM scores")
+
+
+def q_filter_basic(spark, sf_dir):
+    _scores(spark, sf_dir)
+    return catalog.query(spark, "SELECT name, score FROM scores WHERE score > 80")
+
+
+def q_avg_basic(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return s.agg(sql_round(F.avg("score"), 2).alias("avg_score"))
+
+
+def q_rank_basic(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    r = ordered_window(s, [("score", False)], ["id"])
+    return r.select("name", "score", F.col("rank").alias("rnk"))
+
+
 QUERIES: dict[str, Query] = {
     "monthly_revenue": q_monthly_revenue,
     "category_margin": q_category_margin,
@@ -92,4 +156,15 @@ QUERIES: dict[str, Query] = {
     "mom_growth": q_mom_growth,
     "order_value_distribution": q_order_value_distribution,
     "first_last_purchase": q_first_last_purchase,
+    "cohort_retention": q_cohort_retention,
+    "cohort_matrix": q_cohort_matrix,
+    "retention_curve": q_retention_curve,
+    "retention_summary": q_retention_summary,
+    "mom_summary": q_mom_summary,
+    "group_summary": q_group_summary,
+    "age_group_summary": q_age_group_summary,
+    "rank_basic": q_rank_basic,
+    "filter_basic": q_filter_basic,
+    "avg_basic": q_avg_basic,
+    "count_basic": q_count_basic,
 }
