@@ -2,8 +2,8 @@
 
 from cairn.functions.scalar import (clip, cut, day_diff, month_diff, month_label,
                                     month_name_label, month_start, nan_to_null,
-                                    numeric_columns, py_round, safe_div, sql_round)
+                                    np_round, numeric_columns, safe_div, sql_round)
 
 __all__ = ["clip", "cut", "day_diff", "month_diff", "month_label", "month_name_label",
-           "month_start", "nan_to_null", "numeric_columns", "py_round", "safe_div",
+           "month_start", "nan_to_null", "np_round", "numeric_columns", "safe_div",
            "sql_round"]

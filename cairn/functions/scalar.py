@@ -30,9 +30,11 @@ def sql_round(col: str | Column, digits: int = 0) -> Column:
     return F.round(_c(col) * F.lit(scale), 0) / F.lit(scale)
 
 
-def py_round(col: str | Column, digits: int = 0) -> Column:
-    """Python/numpy ``round`` (half to even), used by the statistics helpers."""
-    return F.bround(_c(col), digits)
+def np_round(col: str | Column, digits: int = 0) -> Column:
+    """numpy / pandas ``.round(n)``: rint(x * 10^n) / 10^n (half to even on the
+    scaled double)."""
+    scale = float(10 ** digits)
+    return F.bround(_c(col) * F.lit(scale), 0) / F.lit(scale)
 
 
 def safe_div(num: str | Column, den: str | Column) -> Column:

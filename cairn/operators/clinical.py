@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import sql_round
+from cairn.functions.scalar import np_round, sql_round
 
 
 def group_summary(patients: DataFrame, group_col: str = "group") -> DataFrame:
@@ -24,8 +24,8 @@ def group_summary(patients: DataFrame, group_col: str = "group") -> DataFrame:
 
 def group_means(patients: DataFrame, cols=("baseline_score", "followup_score", "recovery_days"),
                 group_col: str = "group") -> DataFrame:
-    """``groupby(group)[cols].mean().round(2)`` (half-even, as pandas)."""
-    return patients.groupBy(group_col).agg(*[F.bround(F.avg(c), 2).alias(c) for c in cols])
+    """``groupby(group)[cols].mean().round(2)`` (numpy rounding)."""
+    return patients.groupBy(group_col).agg(*[np_round(F.avg(c), 2).alias(c) for c in cols])
 
 
 def age_group_summary(patients: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import sql_round
-from cairn.operators import clinical, cohort, sales
+from cairn.operators import clinical, cohort, sales, stats
 from cairn.operators.ordered import ordered_window
 from cairn.sources import catalog
 from cairn.sources.tables import DriverTables
@@ -143,6 +143,101 @@ def q_rank_basic(spark, sf_dir):
     return r.select("name", "score", F.col("rank").alias("rnk"))
 
 
+def q_group_means(spark, sf_dir):
+    return clinical.group_means(_t(spark, sf_dir).patients())
+
+
+# --- statistics over whole driver tables -------------------------------------
+
+def q_describe_extendedprice(spark, sf_dir):
+    return stats.describe_numeric(_t(spark, sf_dir).raw("lineitem"), "l_extendedprice")
+
+
+def q_describe_acctbal(spark, sf_dir):
+    return stats.describe_numeric(_t(spark, sf_dir).raw("customer"), "c_acctbal")
+
+
+def q_describe_discount_missing(spark, sf_dir):
+    li = _t(spark, sf_dir).raw("lineitem")
+    return stats.describe_numeric(li.select(F.nullif("l_discount", F.lit(0.0)).alias("discount")), "discount")
+
+
+def q_describe_ltv(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ltv = sales.customer_ltv(t.customers(), t.orders(), t.order_items())
+    return stats.describe_numeric(ltv, "lifetime_value")
+
+
+def q_ttest_recovery_days(spark, sf_dir):
+    return stats.two_sample_ttest(_t(spark, sf_dir).patients(), "recovery_days", "group",
+                                  "treatment", "control")
+
+
+def q_ttest_baseline_score(spark, sf_dir):
+    return stats.two_sample_ttest(_t(spark, sf_dir).patients(), "baseline_score", "group",
+                                  "treatment", "control")
+
+
+def q_cohens_d_recovery_days(spark, sf_dir):
+    d = stats.cohens_d(_t(spark, sf_dir).patients(), "recovery_days", "group", "treatment", "control")
+    return d.select(sql_round("cohen_d", 6).alias("cohen_d"))
+
+
+def q_mann_whitney_recovery_days(spark, sf_dir):
+    return stats.mann_whitney_test(_t(spark, sf_dir).patients(), "recovery_days", "group",
+                                   "treatment", "control")
+
+
+def q_mann_whitney_quantity_linestatus(spark, sf_dir):
+    return stats.mann_whitney_test(_t(spark, sf_dir).raw("lineitem"), "l_quantity", "l_linestatus",
+                                   "O", "F")
+
+
+def q_mann_whitney_supplier_balance(spark, sf_dir):
+    # suppliers of nation 1 vs nation 2: small and tie-free at sf0.01 (exact path)
+    return stats.mann_whitney_test(_t(spark, sf_dir).raw("supplier"), "s_acctbal", "s_nationkey", 1, 2)
+
+
+def q_chi_square_quality_toxic(spark, sf_dir):
+    return stats.chi_square_test(_t(spark, sf_dir).raw("labels"), "quality", "toxic")
+
+
+def q_chi_square_returnflag_linestatus(spark, sf_dir):
+    return stats.chi_square_test(_t(spark, sf_dir).raw("lineitem"), "l_returnflag", "l_linestatus")
+
+
+def q_cramers_v_returnflag_linestatus(spark, sf_dir):
+    v = stats.cramers_v(_t(spark, sf_dir).raw("lineitem"), "l_returnflag", "l_linestatus")
+    return v.select(sql_round("cramers_v", 6).alias("cramers_v"))
+
+
+LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PATIENT_NUMERIC = ["age", "baseline_score", "followup_score", "score_improvement", "recovery_days"]
+
+
+def _rounded_corr(m):
+    return m.select("col_a", "col_b", F.col("n").cast("bigint").alias("n"),
+                    sql_round("corr", 6).alias("corr"), sql_round("p_value", 6).alias("p_value"))
+
+
+def q_correlation_lineitem(spark, sf_dir):
+    li = _t(spark, sf_dir).raw("lineitem")
+    return _rounded_corr(stats.correlation_matrix(li, LINEITEM_NUMERIC, method="pearson"))
+
+
+def q_correlation_lineitem_spearman(spark, sf_dir):
+    li = _t(spark, sf_dir).raw("lineitem")
+    return _rounded_corr(stats.correlation_matrix(li, LINEITEM_NUMERIC, method="spearman"))
+
+
+def q_correlation_patients(spark, sf_dir):
+    return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
+
+
+def q_strong_correlations(spark, sf_dir):
+    return _rounded_corr(stats.strong_correlations(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
+
+
 QUERIES: dict[str, Query] = {
     "monthly_revenue": q_monthly_revenue,
     "category_margin": q_category_margin,
@@ -167,4 +262,22 @@ QUERIES: dict[str, Query] = {
     "filter_basic": q_filter_basic,
     "avg_basic": q_avg_basic,
     "count_basic": q_count_basic,
+    "group_means": q_group_means,
+    "describe_extendedprice": q_describe_extendedprice,
+    "describe_acctbal": q_describe_acctbal,
+    "describe_discount_missing": q_describe_discount_missing,
+    "describe_ltv": q_describe_ltv,
+    "ttest_recovery_days": q_ttest_recovery_days,
+    "ttest_baseline_score": q_ttest_baseline_score,
+    "cohens_d_recovery_days": q_cohens_d_recovery_days,
+    "mann_whitney_recovery_days": q_mann_whitney_recovery_days,
+    "mann_whitney_quantity_linestatus": q_mann_whitney_quantity_linestatus,
+    "mann_whitney_supplier_balance": q_mann_whitney_supplier_balance,
+    "chi_square_quality_toxic": q_chi_square_quality_toxic,
+    "chi_square_returnflag_linestatus": q_chi_square_returnflag_linestatus,
+    "cramers_v_returnflag_linestatus": q_cramers_v_returnflag_linestatus,
+    "correlation_lineitem": q_correlation_lineitem,
+    "correlation_lineitem_spearman": q_correlation_lineitem_spearman,
+    "correlation_patients": q_correlation_patients,
+    "strong_correlations": q_strong_correlations,
 }

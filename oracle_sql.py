@@ -415,7 +415,362 @@ SELECT name, score, RANK() OVER (ORDER BY score DESC) AS rnk FROM scores
 """
 
 
+
+# ---------------------------------------------------------------------------
+# Statistics.  p-values need the regularized incomplete beta (Student t) and
+# upper incomplete gamma (chi-square, normal); DuckDB has neither, so they are
+# evaluated with recursive CTEs: Lentz continued fractions / power series run
+# for a fixed number of steps (they converge well before it).
+# ---------------------------------------------------------------------------
+
+def _beta_ctes(src: str, out: str, steps: int = 400) -> str:
+    """CTEs computing ``out(id, ib)`` = I_x(a, b) for rows ``src(id, a, b, x)``."""
+    return f"""
+, {out}_in AS (
+    SELECT id, x >= (a + 1) / (a + b + 2) AS sw,
+           CASE WHEN x >= (a + 1) / (a + b + 2) THEN b ELSE a END AS aa,
+           CASE WHEN x >= (a + 1) / (a + b + 2) THEN a ELSE b END AS bb,
+           CASE WHEN x >= (a + 1) / (a + b + 2) THEN 1 - x ELSE x END AS xx
+    FROM {src} WHERE x > 0 AND x < 1
+),
+{out}_cf AS (
+    SELECT id, 1 AS m, 1.0::DOUBLE AS c, 1.0 / (1.0 - (aa + bb) * xx / (aa + 1.0)) AS d,
+           1.0 / (1.0 - (aa + bb) * xx / (aa + 1.0)) AS h
+    FROM {out}_in
+    UNION ALL
+    SELECT id, m, c2, d2, h2 FROM (
+        SELECT f.id, f.m + 1 AS m,
+               f.m * (i.bb - f.m) * i.xx / ((i.aa - 1 + 2 * f.m) * (i.aa + 2 * f.m)) AS e1,
+               1.0 / (1.0 + e1 * f.d) AS d1,
+               1.0 + e1 / f.c AS c1,
+               -(i.aa + f.m) * (i.aa + i.bb + f.m) * i.xx / ((i.aa + 2 * f.m) * (i.aa + 1 + 2 * f.m)) AS e2,
+               1.0 / (1.0 + e2 * d1) AS d2,
+               1.0 + e2 / c1 AS c2,
+               f.h * d1 * c1 * d2 * c2 AS h2
+        FROM {out}_cf f JOIN {out}_in i ON f.id = i.id
+        WHERE f.m < {steps})
+),
+{out} AS (
+    SELECT s.id,
+           CASE WHEN s.x <= 0 THEN 0.0 WHEN s.x >= 1 THEN 1.0
+                WHEN i.sw THEN 1 - exp(lgamma(i.aa + i.bb) - lgamma(i.aa) - lgamma(i.bb)
+                                       + i.aa * ln(i.xx) + i.bb * ln(1 - i.xx)) * f.h / i.aa
+                ELSE exp(lgamma(i.aa + i.bb) - lgamma(i.aa) - lgamma(i.bb)
+                         + i.aa * ln(i.xx) + i.bb * ln(1 - i.xx)) * f.h / i.aa END AS ib
+    FROM {src} s
+    LEFT JOIN {out}_in i ON s.id = i.id
+    LEFT JOIN {out}_cf f ON s.id = f.id AND f.m = {steps}
+)"""
+
+
+def _gamma_q_ctes(src: str, out: str, steps: int = 600) -> str:
+    """CTEs computing ``out(id, q)`` = Q(s, x) for rows ``src(id, s, x)``."""
+    return f"""
+, {out}_ser AS (
+    SELECT id, 0 AS k, 1.0 / s AS del, 1.0 / s AS tot FROM {src} WHERE x > 0
+    UNION ALL
+    SELECT r.id, r.k + 1, r.del * g.x / (g.s + r.k + 1),
+           r.tot + r.del * g.x / (g.s + r.k + 1)
+    FROM {out}_ser r JOIN {src} g ON r.id = g.id WHERE r.k < {steps}
+),
+{out}_cf AS (
+    SELECT id, 0 AS i, x + 1 - s AS b, 1e300::DOUBLE AS c, 1.0 / (x + 1 - s) AS d,
+           1.0 / (x + 1 - s) AS h FROM {src} WHERE x > 0 AND x >= s + 1
+    UNION ALL
+    SELECT id, i, b, c2, d2, h2 FROM (
+        SELECT f.id, f.i + 1 AS i, -(f.i + 1) * (f.i + 1 - g.s) AS an, f.b + 2 AS b,
+               1.0 / (an * f.d + f.b + 2) AS d2, f.b + 2 + an / f.c AS c2, f.h * d2 * c2 AS h2
+        FROM {out}_cf f JOIN {src} g ON f.id = g.id WHERE f.i < {steps})
+),
+{out} AS (
+    SELECT g.id,
+           CASE WHEN g.x <= 0 THEN 1.0
+                WHEN g.x < g.s + 1 THEN GREATEST(0.0, 1 - r.tot * exp(-g.x + g.s * ln(g.x) - lgamma(g.s)))
+                ELSE exp(-g.x + g.s * ln(g.x) - lgamma(g.s)) * f.h END AS q
+    FROM {src} g
+    LEFT JOIN {out}_ser r ON g.id = r.id AND r.k = {steps}
+    LEFT JOIN {out}_cf f ON g.id = f.id AND f.i = {steps}
+)"""
+
+
+def _label_d(expr: str) -> str:
+    return (f"CASE WHEN abs({expr}) < 0.2 THEN 'negligible' WHEN abs({expr}) < 0.5 THEN 'small' "
+            f"WHEN abs({expr}) < 0.8 THEN 'medium' ELSE 'large' END")
+
+
+def _label_v(expr: str) -> str:
+    return (f"CASE WHEN {expr} < 0.1 THEN 'negligible' WHEN {expr} < 0.3 THEN 'small' "
+            f"WHEN {expr} < 0.5 THEN 'medium' ELSE 'large' END")
+
+
+def _interp(p: str, yes: str, no: str, alpha: str = "0.05") -> str:
+    return (f"CASE WHEN {p} < {alpha} THEN '{yes} (p=' || printf('%.4f', {p}) || ' < {alpha})' "
+            f"ELSE '{no} (p=' || CASE WHEN {p} IS NULL THEN 'nan' ELSE printf('%.4f', {p}) END "
+            f"|| ' >= {alpha})' END")
+
+
+def _describe(source: str, expr: str) -> str:
+    """M-1 over ``expr`` of ``source`` (NaN counts as missing)."""
+    return f"""
+, d_base AS (SELECT CASE WHEN isnan(({expr})::DOUBLE) THEN NULL ELSE ({expr})::DOUBLE END AS x FROM {source}),
+d_q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med,
+               quantile_cont(x, 0.75) AS q3 FROM d_base),
+d_out AS (SELECT COUNT(*) AS o FROM d_base, d_q
+          WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))
+SELECT COUNT(x) AS count, ROUND(AVG(x), 4) AS mean, ROUND(ANY_VALUE(med), 4) AS median,
+       ROUND(STDDEV_SAMP(x), 4) AS std, ROUND(MIN(x), 4) AS min, ROUND(ANY_VALUE(q1), 4) AS q1,
+       ROUND(ANY_VALUE(q3), 4) AS q3, ROUND(MAX(x), 4) AS max,
+       ROUND(ANY_VALUE(q3) - ANY_VALUE(q1), 4) AS iqr,
+       ANY_VALUE(o) AS outlier_count,
+       ROUND(ANY_VALUE(o) * 100.0 / COUNT(*), 2) AS outlier_pct,
+       ROUND(CASE WHEN STDDEV_POP(x) = 0 THEN 0.0 ELSE SKEWNESS(x) END, 4) AS skewness,
+       ROUND(CASE WHEN STDDEV_POP(x) = 0 THEN 0.0 ELSE KURTOSIS(x) END, 4) AS kurtosis,
+       COUNT(*) - COUNT(x) AS missing,
+       ROUND((COUNT(*) - COUNT(x)) * 100.0 / COUNT(*), 2) AS missing_pct
+FROM d_base, d_q, d_out
+"""
+
+
+SQL["describe_extendedprice"] = _describe("lineitem", "l_extendedprice")
+SQL["describe_acctbal"] = _describe("customer", "c_acctbal")
+SQL["describe_discount_missing"] = _describe("lineitem", "NULLIF(l_discount, 0)")
+SQL["describe_ltv"] = """
+, customer_ltv AS (
+    SELECT c.customer_id, ROUND(SUM(oi.quantity * oi.unit_price), 2) AS lifetime_value
+    FROM customers c
+    JOIN orders o       ON c.customer_id = o.customer_id
+    JOIN order_items oi ON o.order_id    = oi.order_id
+    WHERE o.status = 'completed'
+    GROUP BY 1
+)""" + _describe("customer_ltv", "lifetime_value")
+
+
+def _ttest(value: str, source: str, grp: str, a: str, b: str) -> str:
+    return f"""
+, tt_m AS (
+    SELECT COUNT(x) FILTER (WHERE g = {a}) AS n_a, COUNT(x) FILTER (WHERE g = {b}) AS n_b,
+           AVG(x) FILTER (WHERE g = {a}) AS m_a, AVG(x) FILTER (WHERE g = {b}) AS m_b,
+           VAR_SAMP(x) FILTER (WHERE g = {a}) AS v_a, VAR_SAMP(x) FILTER (WHERE g = {b}) AS v_b
+    FROM (SELECT ({value})::DOUBLE AS x, {grp} AS g FROM {source})
+),
+tt AS (
+    SELECT *, (m_a - m_b) / sqrt(v_a / n_a + v_b / n_b) AS t,
+           power(v_a / n_a + v_b / n_b, 2)
+               / (power(v_a / n_a, 2) / (n_a - 1) + power(v_b / n_b, 2) / (n_b - 1)) AS dof,
+           (m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)) AS d
+    FROM tt_m
+),
+tt_src AS (SELECT 1 AS id, dof / 2 AS a, 0.5::DOUBLE AS b, dof / (dof + t * t) AS x FROM tt)
+{_beta_ctes("tt_src", "tt_p")}
+SELECT ROUND(t, 4) AS t_stat, ROUND(LEAST(1.0, ib), 6) AS p_value, 0.05::DOUBLE AS alpha,
+       COALESCE(LEAST(1.0, ib) < 0.05, false) AS significant, ROUND(d, 4) AS cohen_d,
+       {_label_d("d")} AS effect_size,
+       ROUND(m_a, 4) AS mean_a, ROUND(m_b, 4) AS mean_b, ROUND(m_a - m_b, 4) AS mean_diff,
+       {_interp("LEAST(1.0, ib)", "Statistically significant difference", "No significant difference")}
+           AS interpretation
+FROM tt, tt_p
+"""
+
+
+SQL["ttest_recovery_days"] = _ttest("recovery_days", "patients", '"group"', "'treatment'", "'control'")
+SQL["ttest_baseline_score"] = _ttest("baseline_score", "patients", '"group"', "'treatment'", "'control'")
+SQL["cohens_d_recovery_days"] = """
+, m AS (
+    SELECT COUNT(recovery_days) FILTER (WHERE "group" = 'treatment') AS n_a,
+           COUNT(recovery_days) FILTER (WHERE "group" = 'control') AS n_b,
+           AVG(recovery_days) FILTER (WHERE "group" = 'treatment') AS m_a,
+           AVG(recovery_days) FILTER (WHERE "group" = 'control') AS m_b,
+           VAR_SAMP(recovery_days) FILTER (WHERE "group" = 'treatment') AS v_a,
+           VAR_SAMP(recovery_days) FILTER (WHERE "group" = 'control') AS v_b
+    FROM patients
+)
+SELECT ROUND(CASE WHEN ((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2) > 0
+             THEN (m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2))
+             ELSE 0.0 END, 6) AS cohen_d
+FROM m
+"""
+
+
+def _mann_whitney(value: str, source: str, grp: str, a: str, b: str) -> str:
+    """Mid-ranks by window; exact null distribution by enumerating the sorted
+    arrangements (only when the exact path applies: small, tie-free)."""
+    return f"""
+, mw_s AS (SELECT ({value})::DOUBLE AS v, {grp} AS g FROM {source}
+           WHERE ({value}) IS NOT NULL AND NOT isnan(({value})::DOUBLE) AND {grp} IN ({a}, {b})),
+mw_r AS (SELECT v, g, RANK() OVER (ORDER BY v) + (COUNT(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk
+         FROM mw_s),
+mw_t AS (SELECT COUNT(*) AS t FROM mw_s GROUP BY v),
+mw AS (
+    SELECT COUNT(*) FILTER (WHERE g = {a})::DOUBLE AS n1, COUNT(*) FILTER (WHERE g = {b})::DOUBLE AS n2,
+           SUM(rk) FILTER (WHERE g = {a}) AS r1,
+           (SELECT SUM(t * t * t - t) FROM mw_t)::DOUBLE AS ties, (SELECT MAX(t) FROM mw_t) AS maxt,
+           quantile_cont(v, 0.5) FILTER (WHERE g = {a}) AS med_a,
+           quantile_cont(v, 0.5) FILTER (WHERE g = {b}) AS med_b
+    FROM mw_r
+),
+mw_u AS (
+    SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1,
+           GREATEST(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) AS u,
+           sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS s,
+           LEAST(n1, n2) <= 8 AND maxt <= 1 AND n1 * n2 <= 10000 AS is_exact
+    FROM mw
+),
+mw_z AS (SELECT 1 AS id, 0.5::DOUBLE AS s, power((u - n1 * n2 / 2 - 0.5) / s, 2) / 2 AS x,
+                (u - n1 * n2 / 2 - 0.5) / s AS z FROM mw_u WHERE s > 0)
+{_gamma_q_ctes("mw_z", "mw_q")},
+mw_paths AS (
+    SELECT 0 AS i, 0 AS j, 0.0::DOUBLE AS uu FROM mw_u WHERE is_exact
+    UNION ALL
+    SELECT p.i + mv.di, p.j + mv.dj, p.uu + mv.di * p.j
+    FROM mw_paths p, mw_u, (VALUES (1, 0), (0, 1)) mv(di, dj)
+    WHERE p.i + mv.di <= mw_u.n1 AND p.j + mv.dj <= mw_u.n2
+),
+mw_exact AS (
+    SELECT COUNT(*) FILTER (WHERE uu >= (SELECT u FROM mw_u)) / COUNT(*) AS sf
+    FROM mw_paths, mw_u WHERE i = mw_u.n1 AND j = mw_u.n2
+),
+mw_p AS (
+    SELECT CASE WHEN n1 = 0 OR n2 = 0 THEN NULL
+                WHEN is_exact THEN LEAST(1.0, 2 * (SELECT sf FROM mw_exact))
+                WHEN s > 0 THEN LEAST(1.0, 2 * (SELECT CASE WHEN z >= 0 THEN 0.5 * q ELSE 1 - 0.5 * q END
+                                                 FROM mw_z JOIN mw_q ON mw_z.id = mw_q.id))
+                ELSE 1.0 END AS p
+    FROM mw_u
+)
+SELECT ROUND(u1, 4) AS u_stat, ROUND(p, 6) AS p_value, 0.05::DOUBLE AS alpha,
+       COALESCE(p < 0.05, false) AS significant,
+       ROUND(med_a, 4) AS median_a, ROUND(med_b, 4) AS median_b,
+       {_interp("p", "Significant difference in distributions", "No significant difference")}
+           AS interpretation
+FROM mw_u, mw_p
+"""
+
+
+SQL["mann_whitney_recovery_days"] = _mann_whitney("recovery_days", "patients", '"group"',
+                                                  "'treatment'", "'control'")
+SQL["mann_whitney_quantity_linestatus"] = _mann_whitney("l_quantity", "lineitem", "l_linestatus",
+                                                        "'O'", "'F'")
+SQL["mann_whitney_supplier_balance"] = _mann_whitney("s_acctbal", "supplier", "s_nationkey", "1", "2")
+
+
+def _chi_square(source: str, r: str, c: str, v_only: bool = False) -> str:
+    """Full R x C grid (zero cells included) and Yates' correction for 2x2."""
+    head = f"""
+, cx_cells AS (SELECT {r} AS r, {c} AS c, COUNT(*) AS o FROM {source}
+               WHERE {r} IS NOT NULL AND {c} IS NOT NULL GROUP BY 1, 2),
+cx_rows AS (SELECT r, SUM(o) AS rr FROM cx_cells GROUP BY 1),
+cx_cols AS (SELECT c, SUM(o) AS cc FROM cx_cells GROUP BY 1),
+cx_grid AS (
+    SELECT cx_rows.r, cx_cols.c, COALESCE(cx_cells.o, 0) AS o,
+           rr * cc / (SELECT SUM(o) FROM cx_cells)::DOUBLE AS e
+    FROM cx_rows CROSS JOIN cx_cols
+    LEFT JOIN cx_cells ON cx_cells.r = cx_rows.r AND cx_cells.c = cx_cols.c
+),
+cx AS (
+    SELECT (SELECT COUNT(*) FROM cx_rows) AS nr, (SELECT COUNT(*) FROM cx_cols) AS nc,
+           SUM(o) AS n,
+           ((SELECT COUNT(*) FROM cx_rows) - 1) * ((SELECT COUNT(*) FROM cx_cols) - 1) AS dof,
+           SUM(power(o - e, 2) / e) AS chi_plain,
+           SUM(power(GREATEST(abs(o - e) - 0.5, 0), 2) / e) AS chi_yates
+    FROM cx_grid
+),
+cx_stat AS (
+    SELECT *, CASE WHEN dof = 0 THEN 0.0 WHEN dof = 1 THEN chi_yates ELSE chi_plain END AS chi2
+    FROM cx
+),
+cx_v AS (
+    SELECT *, CASE WHEN LEAST(nr, nc) - 1 > 0 THEN sqrt(chi2 / (n * (LEAST(nr, nc) - 1)))
+                   ELSE 0.0 END AS v FROM cx_stat
+)"""
+    if v_only:
+        return head + "\nSELECT ROUND(v, 6) AS cramers_v FROM cx_v\n"
+    return head + f""",
+cx_src AS (SELECT 1 AS id, dof / 2.0 AS s, chi2 / 2.0 AS x FROM cx_v WHERE dof > 0)
+{_gamma_q_ctes("cx_src", "cx_q")}
+SELECT ROUND(chi2, 4) AS chi2,
+       ROUND(CASE WHEN dof = 0 THEN 1.0 ELSE (SELECT q FROM cx_q) END, 6) AS p_value,
+       dof::BIGINT AS dof, 0.05::DOUBLE AS alpha,
+       COALESCE(CASE WHEN dof = 0 THEN 1.0 ELSE (SELECT q FROM cx_q) END < 0.05, false) AS significant,
+       ROUND(v, 4) AS cramers_v, {_label_v("v")} AS effect_size,
+       {_interp("CASE WHEN dof = 0 THEN 1.0 ELSE (SELECT q FROM cx_q) END",
+                "Significant association", "No significant association")} AS interpretation
+FROM cx_v
+"""
+
+
+SQL["chi_square_quality_toxic"] = _chi_square("labels", "quality", "toxic")
+SQL["chi_square_returnflag_linestatus"] = _chi_square("lineitem", "l_returnflag", "l_linestatus")
+SQL["cramers_v_returnflag_linestatus"] = _chi_square("lineitem", "l_returnflag", "l_linestatus",
+                                                     v_only=True)
+
+
+def _correlation(source: str, cols: list[str], method: str = "pearson",
+                 min_periods: int = 30, strong: float | None = None) -> str:
+    """Pairwise-complete correlation for all ordered pairs; t-based p-values."""
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            if method == "spearman" and a != b:
+                inner = (f"SELECT RANK() OVER (ORDER BY {a}) + (COUNT(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS xa, "
+                         f"RANK() OVER (ORDER BY {b}) + (COUNT(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS xb "
+                         f"FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+            else:
+                inner = (f"SELECT {a}::DOUBLE AS xa, {b}::DOUBLE AS xb FROM {source} "
+                         f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, COUNT(*) AS n, "
+                         f"CASE WHEN STDDEV_POP(xa) > 0 AND STDDEV_POP(xb) > 0 THEN "
+                         f"GREATEST(-1.0, LEAST(1.0, COVAR_POP(xa, xb) / (STDDEV_POP(xa) * STDDEV_POP(xb)))) "
+                         f"END AS r FROM ({inner})")
+    union = "\n    UNION ALL ".join(parts)
+    body = f"""
+, cr_upper AS (
+    {union}
+),
+cr_pairs AS (
+    SELECT row_number() OVER (ORDER BY col_a, col_b) AS id, * FROM (
+        SELECT col_a, col_b, n, r FROM cr_upper
+        UNION ALL SELECT col_b, col_a, n, r FROM cr_upper WHERE col_a <> col_b)
+),
+cr_src AS (SELECT id, (n - 2) / 2.0 AS a, 0.5::DOUBLE AS b,
+                  (n - 2) / ((n - 2) + r * r * (n - 2) / (1 - r * r)) AS x
+           FROM cr_pairs WHERE n >= {min_periods} AND abs(r) < 1 AND col_a <> col_b)
+{_beta_ctes("cr_src", "cr_p")},
+cr AS (
+    SELECT p.col_a, p.col_b, p.n::BIGINT AS n,
+           ROUND(CASE WHEN p.n >= {min_periods} THEN p.r END, 6) AS corr,
+           ROUND(CASE WHEN p.col_a = p.col_b OR p.n < {min_periods} THEN 1.0
+                      WHEN abs(p.r) >= 1 THEN 0.0 ELSE q.ib END, 6) AS p_value
+    FROM cr_pairs p LEFT JOIN cr_p q ON p.id = q.id
+)
+"""
+    if strong is not None:
+        return body + f"SELECT * FROM cr WHERE col_a < col_b AND abs(corr) > {strong} ORDER BY col_a, col_b\n"
+    return body + "SELECT * FROM cr\n"
+
+
+_LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PATIENT_NUMERIC = ["age", "baseline_score", "followup_score", "score_improvement", "recovery_days"]
+SQL["correlation_lineitem"] = _correlation("lineitem", _LINEITEM_NUMERIC)
+SQL["correlation_lineitem_spearman"] = _correlation("lineitem", _LINEITEM_NUMERIC, method="spearman")
+SQL["correlation_patients"] = _correlation("patients", _PATIENT_NUMERIC)
+SQL["strong_correlations"] = _correlation("patients", _PATIENT_NUMERIC, strong=0.3)
+
+SQL["group_means"] = """
+SELECT "group",
+       round_even(AVG(baseline_score) * 100, 0) / 100 AS baseline_score,
+       round_even(AVG(followup_score) * 100, 0) / 100 AS followup_score,
+       round_even(AVG(recovery_days) * 100, 0) / 100 AS recovery_days
+FROM patients GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: adapter CTEs followed by each query (a leading comma
     continues the WITH list)."""
-    return {key: ADAPTER.rstrip() + "\n" + body.strip() for key, body in SQL.items()}
+    out = {}
+    for key, body in SQL.items():
+        head = ADAPTER.rstrip()
+        if "RECURSIVE" not in head and ("_cf AS" in body or "_ser AS" in body or "mw_paths" in body):
+            head = head.replace("WITH customers AS", "WITH RECURSIVE customers AS", 1)
+        out[key] = head + "\n" + body.strip()
+    return out
