@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import sql_round
-from cairn.operators import clinical, cohort, sales, stats
+from cairn.functions.scalar import day_diff
+from cairn.operators import clinical, cohort, joins, plotdata, sales, stats, windows
 from cairn.operators.ordered import ordered_window
 from cairn.sources import catalog
 from cairn.sources.tables import DriverTables
@@ -238,6 +239,93 @@ def q_strong_correlations(spark, sf_dir):
     return _rounded_corr(stats.strong_correlations(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
 
 
+# --- plot data -----------------------------------------------------------------
+
+def q_histogram_extendedprice(spark, sf_dir):
+    h = plotdata.histogram(_t(spark, sf_dir).raw("lineitem"), "l_extendedprice")
+    return h.select("bin", "bin_start", "bin_end", "count",
+                    sql_round("mean", 6).alias("mean"), sql_round("median", 6).alias("median"))
+
+
+def q_kde_extendedprice(spark, sf_dir):
+    k = plotdata.kde_curve(_t(spark, sf_dir).raw("lineitem"), "l_extendedprice")
+    return k.select("point", "x", sql_round("density", 12).alias("density"),
+                    sql_round("count", 6).alias("count"))
+
+
+def _rounded_box(b, group_col):
+    return b.select(group_col, "n", *[sql_round(c, 6).alias(c) for c in
+                                      ("q1", "median", "q3", "whisker_low", "whisker_high")],
+                    "n_fliers", F.col("order").cast("bigint").alias("order"))
+
+
+def q_box_stats_ltv_by_country(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ltv = sales.customer_ltv(t.customers(), t.orders(), t.order_items())
+    return _rounded_box(plotdata.box_stats(ltv, "lifetime_value", "country"), "country")
+
+
+def q_box_stats_recovery_by_group(spark, sf_dir):
+    return _rounded_box(plotdata.box_stats(_t(spark, sf_dir).patients(), "recovery_days", "group"), "group")
+
+
+def q_revenue_rolling(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = sales.monthly_orders_revenue(t.orders(), t.order_items())
+    ts = plotdata.time_series_with_rolling(m, "month", "revenue", window=3)
+    return ts.select("month", "revenue", sql_round("rolling_mean", 4).alias("rolling_mean"))
+
+
+def q_ranked_category_revenue(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    perf = sales.category_performance(t.orders(), t.order_items(), t.products())
+    r = plotdata.ranked_top(perf, "category", "revenue")
+    return r.select("category", "revenue", F.col("rank").cast("bigint").alias("rank"))
+
+
+def q_correlation_heatmap_patients(spark, sf_dir):
+    m = stats.correlation_matrix(_t(spark, sf_dir).patients(), PATIENT_NUMERIC)
+    return _rounded_corr(stats.lower_triangle(m, PATIENT_NUMERIC))
+
+
+def q_monthly_pct_change(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = sales.monthly_orders_revenue(t.orders(), t.order_items())
+    return m.select("month", "revenue",
+                    sql_round(plotdata.pct_change("month", "revenue") * 100, 6).alias("mom_growth_pct")
+                    ).orderBy("month")
+
+
+# --- window siblings, as-of join, pivot ------------------------------------------
+
+def q_order_sequence(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    o = sales.completed_orders(t.orders()).select("customer_id", "order_id", "order_date")
+    s = windows.sequence(o, ["customer_id"], ["order_date"], ["order_id"], lead_cols=["order_date"])
+    return s.select("customer_id", "order_id", "order_date",
+                    F.col("row_number").cast("bigint").alias("order_seq"),
+                    F.col("lead_order_date").alias("next_order_date"),
+                    day_diff("order_date", "lead_order_date").alias("days_to_next"))
+
+
+def q_purchase_last_click(spark, sf_dir):
+    e = _t(spark, sf_dir).raw("events")
+    purchases = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
+    clicks = e.where(F.col("event_type") == "click").select(
+        "user_id", F.col("event_id").alias("click_event_id"), F.col("ts").alias("click_ts"),
+        F.col("value").alias("click_value"))
+    return joins.asof_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["event_id"],
+                           ["click_event_id"], ["click_event_id", "click_ts", "click_value"])
+
+
+def q_channel_status_pivot(spark, sf_dir):
+    catalog.load_dataframe(spark, _t(spark, sf_dir).orders(), "orders_logical")
+    return catalog.query(spark, """
+        SELECT * FROM (SELECT channel, status FROM orders_logical)
+        PIVOT (COUNT(*) FOR status IN ('completed' AS completed, 'returned' AS returned,
+                                       'cancelled' AS cancelled))""")
+
+
 QUERIES: dict[str, Query] = {
     "monthly_revenue": q_monthly_revenue,
     "category_margin": q_category_margin,
@@ -280,4 +368,15 @@ QUERIES: dict[str, Query] = {
     "correlation_lineitem_spearman": q_correlation_lineitem_spearman,
     "correlation_patients": q_correlation_patients,
     "strong_correlations": q_strong_correlations,
+    "histogram_extendedprice": q_histogram_extendedprice,
+    "kde_extendedprice": q_kde_extendedprice,
+    "box_stats_ltv_by_country": q_box_stats_ltv_by_country,
+    "box_stats_recovery_by_group": q_box_stats_recovery_by_group,
+    "revenue_rolling": q_revenue_rolling,
+    "ranked_category_revenue": q_ranked_category_revenue,
+    "correlation_heatmap_patients": q_correlation_heatmap_patients,
+    "monthly_pct_change": q_monthly_pct_change,
+    "order_sequence": q_order_sequence,
+    "purchase_last_click": q_purchase_last_click,
+    "channel_status_pivot": q_channel_status_pivot,
 }
