@@ -10,6 +10,12 @@ Inputs are DataFrames with the reference's logical schemas:
 ``order_id`` is the key of ``orders`` and ``product_id`` the key of
 ``products`` (as in the reference's generated tables).
 
+Money is summed exactly in integer cents: a line amount is
+round(quantity * unit_price * 100) (prices have two decimals, so this is the
+amount itself, without the float noise), sums are bigint, and averages are
+rounded at the cent.  Summing doubles instead makes the cent of an average
+depend on the summation order whenever the exact value is a half cent.
+
 Plan shape shared by these queries: order lines are first reduced to one row
 per order (or per product) with a partial/final aggregate, and only then
 joined.  Order lines are the largest table; the reduction happens map-side
@@ -35,14 +41,33 @@ LTV_SEGMENTS = [(0.9, "Champions"), (0.7, "Loyal"), (0.4, "Potential")]
 LTV_DEFAULT_SEGMENT = "At Risk"
 
 
-def line_revenue(items: DataFrame):
-    return F.col("quantity") * F.col("unit_price")
+def cents(amount) -> "F.Column":
+    """An amount with two decimals as exact integer cents."""
+    return F.round(amount * F.lit(100)).cast("bigint")
+
+
+def line_cents():
+    return cents(F.col("quantity") * F.col("unit_price"))
+
+
+def _col(c):
+    return F.col(c) if isinstance(c, str) else c
+
+
+def money(cents_col) -> "F.Column":
+    """Integer cents back to a decimal amount (double)."""
+    return _col(cents_col) / F.lit(100)
+
+
+def avg_money(cents_col, n) -> "F.Column":
+    """ROUND(sum / n, 2) computed on exact cents: round(cents / n) / 100."""
+    return F.round(_col(cents_col) / _col(n), 0) / F.lit(100)
 
 
 def order_totals(order_items: DataFrame) -> DataFrame:
-    """One row per order: revenue, number of lines, units."""
+    """One row per order: revenue (cents), number of lines, units."""
     return (order_items.groupBy("order_id")
-            .agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("order_revenue"),
+            .agg(F.sum(line_cents()).alias("order_cents"),
                  F.count(F.lit(1)).alias("n_items"),
                  F.sum("quantity").alias("units")))
 
@@ -63,17 +88,18 @@ def monthly_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     return (ov.groupBy(month_start("order_date").alias("month"))
             .agg(F.count(F.lit(1)).alias("total_orders"),
                  F.count_distinct("customer_id").alias("unique_customers"),
-                 sql_round(F.sum("order_revenue"), 2).alias("gross_revenue"),
-                 sql_round(F.sum("order_revenue") / F.count(F.lit(1)), 2).alias("avg_order_value"))
+                 money(F.sum("order_cents")).alias("gross_revenue"),
+                 avg_money(F.sum("order_cents"), F.count(F.lit(1))).alias("avg_order_value"))
             .orderBy("month"))
 
 
 def monthly_orders_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """The notebook's monthly series: month, total_orders, revenue."""
+    """The notebook's monthly series: month, total_orders, revenue (and revenue_cents)."""
     ov = completed_order_values(orders, order_items)
     return (ov.groupBy(month_start("order_date").alias("month"))
             .agg(F.count(F.lit(1)).alias("total_orders"),
-                 sql_round(F.sum("order_revenue"), 2).alias("revenue"))
+                 money(F.sum("order_cents")).alias("revenue"),
+                 F.sum("order_cents").alias("revenue_cents"))
             .orderBy("month"))
 
 
@@ -83,29 +109,29 @@ def _product_sales(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     return (order_items.join(o, "order_id")
             .groupBy("product_id")
             .agg(F.sum("quantity").alias("units"),
-                 F.sum(F.col("quantity") * F.col("unit_price")).alias("rev")))
+                 F.sum(line_cents()).alias("rev")))
 
 
 def _category_rollup(orders, order_items, products, keys):
     ps = _product_sales(orders, order_items)
     p = products.select("product_id", "category", "subcategory", "cost_price")
     j = ps.join(p, "product_id")
-    # quantity * cost_price summed per line == cost_price * units per product
+    # sum over lines of quantity * cost_price == cost_price * units per product (in cents)
     return j.groupBy(*keys).agg(F.sum("units").alias("units_sold"),
                                 F.sum("rev").alias("_rev"),
-                                F.sum(F.col("units") * F.col("cost_price")).alias("_cost"))
+                                F.sum(cents(F.col("units") * F.col("cost_price"))).alias("_cost"))
 
 
 def category_margin(orders: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
     """Units, revenue, cost, margin % and share of category revenue per subcategory."""
     m = _category_rollup(orders, order_items, products, ["category", "subcategory"])
-    m = m.select("category", "subcategory", "units_sold",
-                 sql_round("_rev", 2).alias("revenue"),
-                 sql_round("_cost", 2).alias("total_cost"),
-                 sql_round(safe_div(F.col("_rev") - F.col("_cost"), F.col("_rev")) * 100, 2).alias("margin_pct"))
     # one row per (category, subcategory): a small table, the window is cheap
-    share = F.col("revenue") / F.sum("revenue").over(Window.partitionBy("category")) * 100
-    return (m.withColumn("pct_of_category", sql_round(share, 2))
+    share = F.col("_rev") / F.sum("_rev").over(Window.partitionBy("category")) * 100
+    return (m.select("category", "subcategory", "units_sold",
+                     money("_rev").alias("revenue"),
+                     money("_cost").alias("total_cost"),
+                     sql_round(safe_div(F.col("_rev") - F.col("_cost"), F.col("_rev")) * 100, 2).alias("margin_pct"),
+                     sql_round(share, 2).alias("pct_of_category"))
             .orderBy(F.col("category").asc_nulls_last(), F.col("revenue").desc_nulls_last()))
 
 
@@ -113,8 +139,8 @@ def category_performance(orders: DataFrame, order_items: DataFrame, products: Da
     """Revenue, cost and margin % (1 dp) per category, by revenue descending."""
     m = _category_rollup(orders, order_items, products, ["category"])
     return (m.select("category",
-                     sql_round("_rev", 2).alias("revenue"),
-                     sql_round("_cost", 2).alias("cost"),
+                     money("_rev").alias("revenue"),
+                     money("_cost").alias("cost"),
                      sql_round(safe_div(F.col("_rev") - F.col("_cost"), F.col("_rev")) * 100, 1).alias("margin_pct"))
             .orderBy(F.col("revenue").desc_nulls_last()))
 
@@ -123,7 +149,7 @@ def _customer_orders(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     ov = completed_order_values(orders, order_items)
     return (ov.groupBy("customer_id")
             .agg(F.count(F.lit(1)).alias("total_orders"),
-                 F.sum("order_revenue").alias("_ltv"),
+                 F.sum("order_cents").alias("_ltv"),
                  F.min("order_date").alias("first_order"),
                  F.max("order_date").alias("last_order")))
 
@@ -134,7 +160,7 @@ def customer_ltv(customers: DataFrame, orders: DataFrame, order_items: DataFrame
     c = customers.select("customer_id", "country", "segment")
     return c.join(co, "customer_id").select(
         "customer_id", "country", "segment", "total_orders",
-        sql_round("_ltv", 2).alias("lifetime_value"))
+        money("_ltv").alias("lifetime_value"))
 
 
 def percentile_thresholds(ranked: DataFrame, value_col: str, probs) -> DataFrame:
@@ -169,7 +195,7 @@ def customer_ltv_segments(customers: DataFrame, orders: DataFrame, order_items:
     c = customers.select("customer_id", "name", "country", "segment")
     ltv = c.join(co, "customer_id").select(
         "customer_id", "name", "country", "segment", "total_orders",
-        sql_round("_ltv", 2).alias("lifetime_value"), "first_order", "last_order",
+        money("_ltv").alias("lifetime_value"), "first_order", "last_order",
         day_diff("first_order", "last_order").alias("customer_tenure_days"))
     ranked = ordered_window(ltv, ["lifetime_value"], ["customer_id"], num_buckets=num_buckets)
     probs = [p for p, _ in LTV_SEGMENTS]
@@ -199,8 +225,7 @@ def top_products_return_rate(orders: DataFrame, order_items: DataFrame, products
           .groupBy("product_id")
           .agg(F.sum(F.when(completed, F.col("quantity")).otherwise(F.lit(0))).alias("units_sold"),
                F.sum(F.when(F.col("status") == RETURNED, F.col("quantity")).otherwise(F.lit(0))).alias("units_returned"),
-               sql_round(F.sum(F.when(completed, F.col("quantity") * F.col("unit_price"))
-                               .otherwise(F.lit(0))), 2).alias("revenue")))
+               money(F.sum(F.when(completed, line_cents()).otherwise(F.lit(0)))).alias("revenue")))
     top = ps.orderBy(F.col("revenue").desc_nulls_last(), F.col("product_id")).limit(n)
     top = broadcast_bounded(top, f"{n} rows: top-n")
     p = products.select("product_id", "name", "category")
@@ -218,14 +243,14 @@ def channel_performance(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     g = (ov.groupBy("channel")
          .agg(F.count(F.lit(1)).alias("orders"),
               F.count_distinct("customer_id").alias("customers"),
-              F.sum("order_revenue").alias("_rev"),
+              F.sum("order_cents").alias("_rev"),
               F.sum("n_items").alias("_items")))
     # one row per channel: the share window runs over a handful of rows
     share = F.col("_rev") / F.sum("_rev").over(Window.partitionBy()) * 100
     return (g.select("channel", "orders", "customers",
-                     sql_round("_rev", 2).alias("revenue"),
-                     sql_round(F.col("_rev") / F.col("_items"), 2).alias("avg_item_value"),
-                     sql_round(F.col("_rev") / F.col("orders"), 2).alias("avg_order_value"),
+                     money("_rev").alias("revenue"),
+                     avg_money(F.col("_rev"), F.col("_items")).alias("avg_item_value"),
+                     avg_money(F.col("_rev"), F.col("orders")).alias("avg_order_value"),
                      sql_round(share, 2).alias("revenue_share_pct"))
             .orderBy(F.col("revenue").desc_nulls_last()))
 
@@ -235,7 +260,7 @@ def channel_aov(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     ov = completed_order_values(orders, order_items)
     return (ov.groupBy("channel")
             .agg(F.count(F.lit(1)).alias("orders"),
-                 sql_round(F.sum("order_revenue") / F.count(F.lit(1)), 2).alias("avg_order_value"))
+                 avg_money(F.sum("order_cents"), F.count(F.lit(1))).alias("avg_order_value"))
             .orderBy(F.col("avg_order_value").desc_nulls_last()))
 
 
@@ -249,13 +274,14 @@ def customer_rank_by_country(customers: DataFrame, orders: DataFrame, order_item
     co = _customer_orders(orders, order_items)
     c = customers.select("customer_id", "name", "country")
     cr = c.join(co, "customer_id").select("customer_id", "name", "country",
-                                          sql_round("_ltv", 2).alias("total_revenue"))
+                                          money("_ltv").alias("total_revenue"),
+                                          F.col("_ltv").cast("double").alias("_cents"))
     r = ordered_window(cr, [("total_revenue", False)], ["customer_id"], partition_by=["country"],
-                       sum_cols=["total_revenue"], num_buckets=num_buckets)
+                       sum_cols=["_cents"], num_buckets=num_buckets)
     return (r.select("country", "name", "total_revenue",
                      F.col("rank").cast("bigint").alias("revenue_rank"),
                      F.col("dense_rank").cast("bigint").alias("revenue_dense_rank"),
-                     sql_round(F.col("total_revenue") / F.col("partition_sum_total_revenue") * 100, 2)
+                     sql_round(F.col("_cents") / F.col("partition_sum__cents") * 100, 2)
                      .alias("pct_of_country_revenue"))
             .orderBy(F.col("country").asc_nulls_last(), "revenue_rank"))
 
@@ -265,17 +291,18 @@ def mom_growth(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 
     The input of the window is one row per calendar month, so the ordered
     window over it is bounded by the number of months, not by the data.
-    Cumulative sums are rounded to cents and the moving average to 4 dp to
-    remove summation-order noise.
+    Cumulative and moving sums run over exact cents.
     """
-    m = monthly_orders_revenue(orders, order_items).select("month", "revenue")
+    m = monthly_orders_revenue(orders, order_items).select("month", "revenue", "revenue_cents")
     w = Window.orderBy("month")
     prev = F.lag("revenue").over(w)
+    trail = w.rowsBetween(-2, 0)
     return (m.select("month", "revenue", prev.alias("prev_month_revenue"),
                      sql_round(safe_div(F.col("revenue") - prev, prev) * 100, 2).alias("mom_growth_pct"),
-                     sql_round(F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2)
+                     money(F.sum("revenue_cents").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                      .alias("cumulative_revenue"),
-                     sql_round(F.avg("revenue").over(w.rowsBetween(-2, 0)), 4).alias("rolling_3m_avg"))
+                     (F.sum("revenue_cents").over(trail) / F.count("revenue_cents").over(trail) / F.lit(100))
+                     .alias("rolling_3m_avg"))
             .orderBy("month"))
 
 
@@ -287,15 +314,16 @@ def order_value_distribution(orders: DataFrame, order_items: DataFrame,
     pass.  Ties are broken by order_id.
     """
     ov = completed_order_values(orders, order_items).select(
-        "order_id", "order_date", sql_round("order_revenue", 2).alias("order_value"))
+        "order_id", "order_date", money("order_cents").alias("order_value"),
+        F.col("order_cents").cast("double").alias("_cents"))
     by_value = ordered_window(ov, ["order_value"], ["order_id"], num_buckets=num_buckets)
-    by_value = by_value.select("order_id", "order_date", "order_value",
+    by_value = by_value.select("order_id", "order_date", "order_value", "_cents",
                                sql_round(percent_rank_col() * 100, 2).alias("percentile"),
                                ntile_col(10).alias("decile"))
-    by_date = ordered_window(by_value, ["order_date"], ["order_id"], sum_cols=["order_value"],
+    by_date = ordered_window(by_value, ["order_date"], ["order_id"], sum_cols=["_cents"],
                              num_buckets=num_buckets)
     return (by_date.select("order_id", "order_date", "order_value",
-                           sql_round("running_order_value", 2).alias("running_total"),
+                           money(F.col("running__cents").cast("bigint")).alias("running_total"),
                            "percentile", "decile")
             .orderBy(F.col("order_date").asc_nulls_last(), "order_id"))
 

@@ -342,8 +342,9 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     res = res.withColumn("_u1", u1).withColumn("_u", F.greatest(F.col("_u1"), n1 * n2 - F.col("_u1")))
     n = n1 + n2
-    s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = (F.col("_u") - n1 * n2 / 2 - 0.5) / s
+    s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
+    # UDF arguments are evaluated for every row: keep them free of ANSI errors
+    z = F.try_divide(F.col("_u") - n1 * n2 / 2 - 0.5, s)
     exact = ((F.least(n1, n2) <= MWU_EXACT_MAX_N) & (F.col("_maxt") <= 1)
              & (n1 * n2 <= MWU_EXACT_MAX_CELLS))
     p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_udf(z))).otherwise(F.lit(1.0))

@@ -272,8 +272,10 @@ def q_box_stats_recovery_by_group(spark, sf_dir):
 def q_revenue_rolling(spark, sf_dir):
     t = _t(spark, sf_dir)
     m = sales.monthly_orders_revenue(t.orders(), t.order_items())
-    ts = plotdata.time_series_with_rolling(m, "month", "revenue", window=3)
-    return ts.select("month", "revenue", sql_round("rolling_mean", 4).alias("rolling_mean"))
+    # the rolling mean runs over exact cents
+    ts = plotdata.time_series_with_rolling(m, "month", "revenue_cents", window=3)
+    return ts.select("month", (F.col("revenue_cents") / 100).alias("revenue"),
+                     (F.col("rolling_mean") / 100).alias("rolling_mean"))
 
 
 def q_ranked_category_revenue(spark, sf_dir):

@@ -65,11 +65,14 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_expr(code: str = "o_orderstatus"):
+    """Status from the order code, as nested single-branch CASEs: a filter such
+    as ``status = 'completed'`` then folds to ``o_orderstatus = 'F'`` and is
+    pushed into the parquet scan (a multi-branch CASE is not simplified)."""
     c = F.col(code)
-    out = None
-    for k, v in STATUS_BY_CODE.items():
-        out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
-    return out.otherwise(F.lit(OTHER_STATUS))
+    out = F.lit(OTHER_STATUS)
+    for k, v in reversed(list(STATUS_BY_CODE.items())):
+        out = F.when(c.eqNullSafe(F.lit(k)), F.lit(v)).otherwise(out)
+    return out
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
