@@ -235,6 +235,16 @@ def q_correlation_patients(spark, sf_dir):
     return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
 
 
+def q_correlation_lineitem_kendall(spark, sf_dir):
+    li = _t(spark, sf_dir).raw("lineitem")
+    return _rounded_corr(stats.correlation_matrix(li, ["l_quantity", "l_discount", "l_tax"], method="kendall"))
+
+
+def q_correlation_patients_kendall(spark, sf_dir):
+    return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), ["age", "recovery_days"],
+                                                  method="kendall"))
+
+
 def q_strong_correlations(spark, sf_dir):
     return _rounded_corr(stats.strong_correlations(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
 
@@ -370,6 +380,8 @@ QUERIES: dict[str, Query] = {
     "correlation_lineitem_spearman": q_correlation_lineitem_spearman,
     "correlation_patients": q_correlation_patients,
     "strong_correlations": q_strong_correlations,
+    "correlation_lineitem_kendall": q_correlation_lineitem_kendall,
+    "correlation_patients_kendall": q_correlation_patients_kendall,
     "histogram_extendedprice": q_histogram_extendedprice,
     "kde_extendedprice": q_kde_extendedprice,
     "box_stats_ltv_by_country": q_box_stats_ltv_by_country,

@@ -897,6 +897,58 @@ SELECT * FROM (
 )
 """
 
+
+def _kendall(source: str, cols: list[str], min_periods: int = 30) -> str:
+    """Kendall tau-b: distinct points with weights, discordant pairs by a self
+    join of the points (fine for low-cardinality columns), scipy's tie-adjusted
+    asymptotic variance, normal tail via the incomplete gamma."""
+    parts = []
+    pair_id = 0
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            pair_id += 1
+            parts.append(f"""
+    SELECT {pair_id} AS id, '{a}' AS col_a, '{b}' AS col_b, * FROM (
+        WITH pts AS (SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y, COUNT(*)::DOUBLE AS w FROM {source}
+                     WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+        tx AS (SELECT SUM(t * (t - 1) / 2) AS xtie, SUM(t * (t - 1) * (t - 2)) AS x0,
+                      SUM(t * (t - 1) * (2 * t + 5)) AS x1 FROM (SELECT SUM(w) AS t FROM pts GROUP BY x)),
+        ty AS (SELECT SUM(t * (t - 1) / 2) AS ytie, SUM(t * (t - 1) * (t - 2)) AS y0,
+                      SUM(t * (t - 1) * (2 * t + 5)) AS y1 FROM (SELECT SUM(w) AS t FROM pts GROUP BY y))
+        SELECT (SELECT SUM(w) FROM pts) AS n, (SELECT SUM(w * (w - 1) / 2) FROM pts) AS ntie,
+               (SELECT COALESCE(SUM(p.w * q.w), 0) FROM pts p JOIN pts q ON p.x < q.x AND p.y > q.y) AS dis,
+               tx.*, ty.* FROM tx, ty)""")
+    union = "\n    UNION ALL".join(parts)
+    return f"""
+, kd AS ({union}
+),
+kt AS (
+    SELECT *, n * (n - 1) / 2 AS tot,
+           n * (n - 1) / 2 - xtie - ytie + ntie - 2 * dis AS cmd,
+           (n * (n - 1) * (2 * n + 5) - x1 - y1) / 18 + (2 * xtie * ytie) / (n * (n - 1))
+               + x0 * y0 / (9 * n * (n - 1) * (n - 2)) AS var
+    FROM kd
+),
+kz AS (SELECT id, 0.5::DOUBLE AS s, power(cmd / sqrt(var), 2) / 2 AS x FROM kt
+       WHERE var > 0 AND col_a <> col_b)
+{_gamma_q_ctes("kz", "kq")},
+kr AS (
+    SELECT t.col_a, t.col_b, t.n::BIGINT AS n,
+           ROUND(CASE WHEN t.n >= {min_periods} AND (t.tot - t.xtie) > 0 AND (t.tot - t.ytie) > 0
+                      THEN GREATEST(-1.0, LEAST(1.0, t.cmd / (sqrt(t.tot - t.xtie) * sqrt(t.tot - t.ytie))))
+                 END, 6) AS corr,
+           ROUND(CASE WHEN t.col_a = t.col_b OR t.n < {min_periods} THEN 1.0
+                      ELSE LEAST(1.0, q.q) END, 6) AS p_value
+    FROM kt t LEFT JOIN kq q ON t.id = q.id
+)
+SELECT * FROM kr
+UNION ALL SELECT col_b, col_a, n, corr, p_value FROM kr WHERE col_a <> col_b
+"""
+
+
+SQL["correlation_lineitem_kendall"] = _kendall("lineitem", ["l_quantity", "l_discount", "l_tax"])
+SQL["correlation_patients_kendall"] = _kendall("patients", ["age", "recovery_days"])
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: adapter CTEs followed by each query (a leading comma
     continues the WITH list)."""
