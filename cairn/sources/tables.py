@@ -36,8 +36,19 @@ STATUS_BY_CODE = {"F": "completed", "O": "returned"}
 OTHER_STATUS = "cancelled"
 
 
+# Table DataFrames already defined in a session (lazy plans, no data): a table
+# is listed and its parquet footers read once per session, not once per query.
+_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READ_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READ_CACHE[key] = df
+    return df
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
