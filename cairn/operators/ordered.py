@@ -148,7 +148,9 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
         partition_by: optional PARTITION BY keys (any cardinality, any skew).
         sum_cols: numeric columns for running sums (ROWS UNBOUNDED PRECEDING
             .. CURRENT ROW); NULL counts as 0 like SQL SUM over non-NULLs.
-        num_buckets: number of ranges (default ``spark.sql.shuffle.partitions``).
+        num_buckets: number of ranges (default: the larger of
+            ``spark.sql.shuffle.partitions`` and twice the cluster's default
+            parallelism, so each range stays a task-sized slice of the data).
 
     Adds ``row_number``, ``rank``, ``dense_rank``, ``partition_rows`` and, for
     each sum column, ``running_<col>`` and ``partition_sum_<col>``.
@@ -160,7 +162,8 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
     tiebreak = list(tiebreak)
     sum_cols = list(sum_cols)
     if num_buckets is None:
-        num_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        num_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          2 * spark.sparkContext.defaultParallelism)
     checkpoint_dir(spark)
 
     sort_exprs = ([F.col(c).asc_nulls_last() for c in part_cols]

@@ -94,13 +94,14 @@ def monthly_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 
 
 def monthly_orders_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """The notebook's monthly series: month, total_orders, revenue (and revenue_cents)."""
+    """The notebook's monthly series: month, total_orders, revenue (and revenue_cents).
+
+    Unordered: it feeds windows ordered by month (callers sort for display)."""
     ov = completed_order_values(orders, order_items)
     return (ov.groupBy(month_start("order_date").alias("month"))
             .agg(F.count(F.lit(1)).alias("total_orders"),
                  money(F.sum("order_cents")).alias("revenue"),
-                 F.sum("order_cents").alias("revenue_cents"))
-            .orderBy("month"))
+                 F.sum("order_cents").alias("revenue_cents")))
 
 
 def _product_sales(orders: DataFrame, order_items: DataFrame) -> DataFrame:
