@@ -148,9 +148,11 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
         partition_by: optional PARTITION BY keys (any cardinality, any skew).
         sum_cols: numeric columns for running sums (ROWS UNBOUNDED PRECEDING
             .. CURRENT ROW); NULL counts as 0 like SQL SUM over non-NULLs.
-        num_buckets: number of ranges (default: the larger of
-            ``spark.sql.shuffle.partitions`` and twice the cluster's default
-            parallelism, so each range stays a task-sized slice of the data).
+        num_buckets: number of ranges.  Default: Spark's shuffle partition
+            count (``spark.sql.adaptive.coalescePartitions.initialPartitionNum``
+            or ``spark.sql.shuffle.partitions``) with AQE merging adjacent
+            small ranges, so small inputs use few tasks and large ones as many
+            ranges as the session's partition settings give.
 
     Adds ``row_number``, ``rank``, ``dense_rank``, ``partition_rows`` and, for
     each sum column, ``running_<col>`` and ``partition_sum_<col>``.
@@ -161,17 +163,16 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
     part_cols = list(partition_by)
     tiebreak = list(tiebreak)
     sum_cols = list(sum_cols)
-    if num_buckets is None:
-        num_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          2 * spark.sparkContext.defaultParallelism)
     checkpoint_dir(spark)
 
     sort_exprs = ([F.col(c).asc_nulls_last() for c in part_cols]
                   + [_sort_expr(c, a) for c, a in order]
                   + [F.col(c).asc_nulls_last() for c in tiebreak])
-    ranged = (df.repartitionByRange(num_buckets, *sort_exprs)
-              .sortWithinPartitions(*sort_exprs)
-              .withColumn("_b", F.spark_partition_id()))
+    # Without an explicit count the range exchange may be coalesced by AQE;
+    # coalescing merges adjacent ranges, so partition ids stay in key order.
+    ranged = (df.repartitionByRange(*sort_exprs) if num_buckets is None
+              else df.repartitionByRange(num_buckets, *sort_exprs))
+    ranged = ranged.sortWithinPartitions(*sort_exprs).withColumn("_b", F.spark_partition_id())
 
     out_fields = list(ranged.schema.fields) + [
         T.StructField("_lrn", T.LongType()), T.StructField("_lrank", T.LongType()),

@@ -68,3 +68,19 @@ def test_plan_has_no_single_partition_exchange_on_rows(spark, skewed):
     plan = res._jdf.queryExecution().executedPlan().toString()
     # the only SinglePartition exchange allowed is over the per-range summary
     assert "rangepartitioning" in plan.lower() or "Scan ExistingRDD" in plan or "LogicalRDD" in plan
+
+
+def test_default_ranges_coalesced_by_aqe(spark, skewed):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        res = ordered_window(skewed, [("v", False)], ["id"], partition_by=["k"], sum_cols=["w"])
+        w = W.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), "id")
+        wr = W.partitionBy("k").orderBy(F.col("v").desc_nulls_last())
+        ref = skewed.select("id", F.row_number().over(w).alias("e_rn"), F.rank().over(wr).alias("e_rank"),
+                            F.sum("w").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("e_run"))
+        m = res.join(ref, "id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert (m.row_number == m.e_rn).all() and (m["rank"] == m.e_rank).all()
+    assert np.allclose(m.running_w, m.e_run)
