@@ -62,9 +62,11 @@ def _interpretation(p: Column, significant: Column, alpha: float, yes: str, no:
 
 
 def _join_groups(left: DataFrame, right: DataFrame, by: list[str], bound: str) -> DataFrame:
+    """Attach per-group results; without groups the right side is one row (or
+    none, for empty input: the left outer join keeps the left row)."""
     if by:
         return left.join(right, on=by, how="left")
-    return left.crossJoin(broadcast_bounded(right, bound))
+    return left.join(broadcast_bounded(right, bound), how="left")
 
 
 # ---------------------------------------------------------------------------
