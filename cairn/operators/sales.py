@@ -284,7 +284,7 @@ def customer_rank_by_country(customers: DataFrame, orders: DataFrame, order_item
                      F.col("dense_rank").cast("bigint").alias("revenue_dense_rank"),
                      sql_round(F.col("_cents") / F.col("partition_sum__cents") * 100, 2)
                      .alias("pct_of_country_revenue"))
-            .orderBy(F.col("country").asc_nulls_last(), "revenue_rank"))
+            .orderBy(F.col("country").asc_nulls_last(), "revenue_rank", "name"))
 
 
 def mom_growth(orders: DataFrame, order_items: DataFrame) -> DataFrame:
@@ -339,5 +339,7 @@ def first_last_purchase(orders: DataFrame) -> DataFrame:
          .agg(F.min("order_date").alias("first_purchase_date"),
               F.max("order_date").alias("last_purchase_date"),
               F.count(F.lit(1)).alias("total_orders")))
+    # customer_id breaks the (heavy) ties of the count, so the range-partitioned
+    # sort can split them over tasks
     return (g.withColumn("days_between_first_last", day_diff("first_purchase_date", "last_purchase_date"))
-            .orderBy(F.col("total_orders").desc()))
+            .orderBy(F.col("total_orders").desc(), F.col("customer_id")))
