@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.dist import norm_sf
+from cairn.functions.tails import norm_sf_col
 from cairn.functions.scalar import nan_to_null
 from cairn.operators.ordered import ordered_window
 
@@ -84,29 +84,22 @@ def kendall_p_exact(n: int, c: int) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def _kendall_p_udf(n: pd.Series, dis: pd.Series, xtie: pd.Series, ytie: pd.Series, x0: pd.Series,
-                   y0: pd.Series, x1: pd.Series, y1: pd.Series, ntie: pd.Series) -> pd.Series:
+def _kendall_exact_udf(n: pd.Series, c: pd.Series) -> pd.Series:
+    """Exact two-sided p; the caller passes NULL for rows that do not qualify
+    (ties, or n > 33 with more than one discordant and concordant pair)."""
     out = []
-    for vals in zip(n, dis, xtie, ytie, x0, y0, x1, y1, ntie):
-        nn, d, xt, yt, a0, b0, a1, b1, nt = [float(v) for v in vals]
-        tot = nn * (nn - 1) / 2
-        if nn < 2 or tot - xt <= 0 or tot - yt <= 0:
+    for nn, cc in zip(n, c):
+        if pd.isna(nn) or pd.isna(cc) or nn < 1 or (nn > EXACT_MAX_N and cc > 1):
             out.append(float("nan"))
-            continue
-        cmd = tot - xt - yt + nt - 2 * d
-        if xt == 0 and yt == 0 and (nn <= 33 or min(d, tot - d) <= 1):
-            out.append(kendall_p_exact(int(nn), int(round(min(d, tot - d)))))
-            continue
-        m = nn * (nn - 1.0)
-        var = (m * (2 * nn + 5) - a1 - b1) / 18 + (2 * xt * yt) / m + (a0 * b0 / (9 * m * (nn - 2)) if nn > 2 else 0.0)
-        if var <= 0:
-            out.append(float("nan"))
-            continue
-        z = cmd / math.sqrt(var)
-        out.append(min(1.0, 2 * norm_sf(abs(z))))
+        else:
+            out.append(kendall_p_exact(int(nn), int(round(cc))))
     return pd.Series(out, dtype=float)
 
 
+# exact p-value when there are no ties and n <= 33 (or at most one discordant/concordant pair)
+EXACT_MAX_N = 33
+
+
 def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
                   block_bits: int = BLOCK_BITS) -> DataFrame:
     """col_a, col_b, n, corr (tau-b), _p for every unordered pair incl. the diagonal."""
@@ -162,8 +155,15 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None =
     cmd = tot - F.col("xtie") - F.col("ytie") + F.col("ntie") - 2 * F.col("_dis")
     denom = F.sqrt(tot - F.col("xtie")) * F.sqrt(tot - F.col("ytie"))
     tau = F.when(denom > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cmd / denom)))
-    p = _kendall_p_udf(n, F.col("_dis"), F.col("xtie"), F.col("ytie"), F.col("x0"), F.col("y0"),
-                       F.col("x1"), F.col("y1"), F.col("ntie"))
+    m = n * (n - 1.0)
+    var = ((m * (2 * n + 5) - F.col("x1") - F.col("y1")) / 18 + 2 * F.col("xtie") * F.col("ytie") / m
+           + F.when(n > 2, F.col("x0") * F.col("y0") / (9 * m * (n - 2))).otherwise(F.lit(0.0)))
+    z = F.try_divide(cmd, F.sqrt(var))
+    c = F.least(F.col("_dis"), tot - F.col("_dis"))
+    exact = (F.col("xtie") == 0) & (F.col("ytie") == 0) & ((n <= EXACT_MAX_N) | (c <= 1))
+    p = (F.when((n < 2) | (tot - F.col("xtie") <= 0) | (tot - F.col("ytie") <= 0), F.lit(None))
+         .when(exact, _kendall_exact_udf(F.when(exact, n), F.when(exact, c)))
+         .when(var > 0, F.least(F.lit(1.0), 2 * norm_sf_col(F.abs(z)))))
     names = x.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                            "_pair int, col_a string, col_b string")
     out = stats.select("_pair", n.cast("bigint").alias("n"), tau.alias("corr"), p.alias("_p"))

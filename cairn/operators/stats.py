@@ -3,7 +3,8 @@ Cohen's d, Cramér's V, correlation matrices with p-values.
 
 Every test is: Spark aggregates the input to one row per test (or per group
 of ``by`` columns) -> closed form over that row with column expressions ->
-tail probability with an Arrow-batched pandas UDF (``cairn.functions.dist``).
+tail probability as a JVM column expression (``cairn.functions.tails``;
+only the exact small-sample Mann-Whitney distribution uses a pandas UDF).
 Samples are (DataFrame, value column) pairs; two samples are one DataFrame
 with a group column.  NaN is treated as missing, as pandas does.
 
@@ -21,8 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.dist import (MWU_EXACT_MAX_CELLS, MWU_EXACT_MAX_N, chi2_pvalue_udf,
-                                  mwu_exact_sf_udf, norm_sf_udf, t_pvalue_udf)
+from cairn.functions.dist import MWU_EXACT_MAX_CELLS, MWU_EXACT_MAX_N, mwu_exact_sf_udf
+from cairn.functions.tails import chi2_sf_col, norm_sf_col, t_two_sided_col
 from cairn.functions.scalar import nan_to_null, numeric_columns, sql_round
 from cairn.operators.ordered import exact_quantiles, ordered_window
 from cairn.plans.broadcast import broadcast_bounded
@@ -184,7 +185,7 @@ def two_sample_ttest(df: DataFrame, value_col: str, group_col: str, group_a, gro
                  / (se_a * se_a / (na - 1) + se_b * se_b / (nb - 1)))
     r = m.select(*by, "n_a", "n_b", "m_a", "m_b", t.alias("_t"), dof.alias("_df"),
                  _cohens_d_expr().alias("_d"))
-    r = r.withColumn("_p", F.when(F.col("_t").isNotNull(), t_pvalue_udf(F.col("_t"), F.col("_df"))))
+    r = r.withColumn("_p", F.when(F.col("_t").isNotNull(), t_two_sided_col(F.col("_t"), F.col("_df"))))
     sig = F.coalesce(F.col("_p") < F.lit(alpha), F.lit(False))
     return r.select(
         *by,
@@ -263,7 +264,7 @@ def chi_square_test(df: DataFrame, row_col: str, col_col: str, alpha: float = 0.
     by = list(by)
     core = _chi_square_core(df, row_col, col_col, by, yates)
     core = core.withColumn("_p", F.when(F.col("dof") == 0, F.lit(1.0))
-                           .otherwise(chi2_pvalue_udf(F.col("_chi2"), F.col("dof").cast("double"))))
+                           .otherwise(chi2_sf_col(F.col("_chi2"), F.col("dof").cast("double"))))
     v = _cramers_v_expr()
     sig = F.coalesce(F.col("_p") < F.lit(alpha), F.lit(False))
     return core.select(
@@ -349,7 +350,7 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     z = F.try_divide(F.col("_u") - n1 * n2 / 2 - 0.5, s)
     exact = ((F.least(n1, n2) <= MWU_EXACT_MAX_N) & (F.col("_maxt") <= 1)
              & (n1 * n2 <= MWU_EXACT_MAX_CELLS))
-    p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_udf(z))).otherwise(F.lit(1.0))
+    p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_col(z))).otherwise(F.lit(1.0))
     p_exact = F.least(F.lit(1.0), 2 * mwu_exact_sf_udf(F.col("_u"), n1, n2))
     res = res.withColumn("_p", F.when((n1 > 0) & (n2 > 0), F.when(exact, p_exact).otherwise(p_asym)))
 
@@ -443,7 +444,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
     else:
         r = F.col("corr")
         tstat = F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))
-        p_pair = F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_pvalue_udf(tstat, n - 2))
+        p_pair = F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided_col(tstat, n - 2))
     p = F.when(F.col("col_a") == F.col("col_b"), F.lit(1.0)).when(~ok, F.lit(1.0)).otherwise(p_pair)
     upper = long.select("col_a", "col_b", "n", corr.alias("corr"), p.alias("p_value"))
     # mirror the strict upper triangle to get all ordered pairs
