@@ -1,20 +1,26 @@
-"""Distribution tails as Spark column expressions (JVM-side, no Python worker).
+"""Distribution tails as Spark SQL expressions (JVM-side, no Python worker).
 
-* ``lgamma_col``: Lanczos approximation (g = 7, 9 coefficients), x >= 0.5.
-* ``betainc_col``: regularized incomplete beta by the modified Lentz continued
+* ``lgamma``: Lanczos approximation (g = 7, 9 coefficients), x >= 0.5, with a
+  Stirling-difference form for lgamma(big + small) - lgamma(big).
+* ``betainc``: regularized incomplete beta by the modified Lentz continued
   fraction, iterated with ``aggregate(sequence(1, n), state, step)``.
-* ``gamma_q_col``: regularized upper incomplete gamma; power series below
-  s + 1, continued fraction above.
-* ``t_two_sided_col``, ``chi2_sf_col``, ``norm_sf_col`` on top of them.
-
-The iteration counts are fixed (the fractions converge far earlier; further
-steps leave the value unchanged).  ``cairn.functions.dist`` holds the same
-formulas in plain Python, used for the exact small-sample distributions and
-as the test reference.
+* ``gamma_q``: regularized upper incomplete gamma; power series below s + 1,
+  continued fraction above.
+* ``t_two_sided_col``, ``chi2_sf_col``, ``norm_sf_col`` return Columns.
+
+Expressions are generated as SQL text (one ``F.expr`` call instead of
+thousands of Column operations); values used many times are bound once with
+``transform(array(named_struct(...)), v -> ...)``.  Iteration counts are
+fixed; the fractions converge far earlier and further steps leave the value
+unchanged.  ``cairn.functions.dist`` holds the same formulas in plain Python
+(exact small-sample distributions, test reference).
+
+Arguments are SQL expressions over the DataFrame's columns (e.g. ``"_t"``).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column
@@ -30,148 +36,164 @@ FPMIN = 1e-300
 BETA_STEPS = 400
 GAMMA_STEPS = 1000
 
+_ids = itertools.count()
 
-def _lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(float(v))
 
+def _d(v: float) -> str:
+    """A DOUBLE literal."""
+    return f"CAST({float(v)!r} AS DOUBLE)"
 
-def _let(values: dict, body) -> Column:
-    """Evaluate ``values`` once and pass them to ``body`` as lambda variables
-    (``transform`` over a one-element array of a struct): keeps expression
-    trees small when a value is used many times."""
-    packed = F.array(F.struct(*[_lit(v).alias(k) for k, v in values.items()]))
-    return F.element_at(F.transform(packed, lambda r: body(r)), 1)
 
+def _let(values: dict, body) -> str:
+    """Bind ``values`` once; ``body`` receives their names as lambda fields."""
+    var = f"lv{next(_ids)}"
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    names = {k: f"{var}.{k}" for k in values}
+    return f"element_at(transform(array(named_struct({fields})), {var} -> {body(names)}), 1)"
 
-def lgamma_col(x) -> Column:
-    """log Gamma(x) for x >= 0.5."""
+
+def _guard(v: str) -> str:
+    return _let({"v": v}, lambda r: f"CASE WHEN abs({r['v']}) < {_d(FPMIN)} THEN {_d(FPMIN)} ELSE {r['v']} END")
+
+
+def lgamma(x: str) -> str:
     def body(r):
-        z = r["x"] - 1.0
-        acc = F.lit(LANCZOS_COEFFS[0])
+        z = f"({r['x']} - 1.0D)"
+        acc = _d(LANCZOS_COEFFS[0])
         for i, c in enumerate(LANCZOS_COEFFS[1:], start=1):
-            acc = acc + F.lit(c) / (z + float(i))
-        t = z + LANCZOS_G + 0.5
-        return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(acc)
+            acc += f" + {_d(c)} / ({z} + {float(i)}D)"
+        t = f"({z} + {LANCZOS_G + 0.5}D)"
+        return f"({_d(0.5 * math.log(2 * math.pi))} + ({z} + 0.5D) * ln({t}) - {t} + ln({acc}))"
     return _let({"x": x}, body)
 
 
-def _stirling_corr(x: Column) -> Column:
-    """lgamma(x) - [(x - 1/2) ln x - x + ln(2 pi)/2] for large x."""
-    return 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x * x) + 1.0 / (1260.0 * F.pow(x, 5))
+def _stirling_corr(x: str) -> str:
+    return f"(1.0D / (12.0D * {x}) - 1.0D / (360.0D * {x} * {x} * {x}) + 1.0D / (1260.0D * pow({x}, 5)))"
 
 
-def lgamma_shift_col(big, small) -> Column:
-    """lgamma(big + small) - lgamma(big) without cancellation for large ``big``:
-    (big - 1/2) log1p(small/big) + small ln(big + small) - small + corr(big + small) - corr(big)."""
+def lgamma_shift(big: str, small: str) -> str:
+    """lgamma(big + small) - lgamma(big), stable for large ``big``."""
     def body(r):
-        big, small = r["big"], r["small"]
-        stable = ((big - 0.5) * F.log1p(small / big) + small * F.log(big + small) - small
-                  + _stirling_corr(big + small) - _stirling_corr(big))
-        return F.when(big > 100.0, stable).otherwise(lgamma_col(big + small) - lgamma_col(big))
+        b, s = r["big"], r["small"]
+        stable = (f"(({b} - 0.5D) * log1p({s} / {b}) + {s} * ln({b} + {s}) - {s} "
+                  f"+ {_stirling_corr(f'({b} + {s})')} - {_stirling_corr(b)})")
+        return f"CASE WHEN {b} > 100.0D THEN {stable} ELSE {lgamma(f'({b} + {s})')} - {lgamma(b)} END"
     return _let({"big": big, "small": small}, body)
 
 
-def _guard(v: Column) -> Column:
-    return _let({"v": v}, lambda r: F.when(F.abs(r["v"]) < FPMIN, F.lit(FPMIN)).otherwise(r["v"]))
-
-
-def betainc_col(a, b, x, steps: int = BETA_STEPS) -> Column:
+def betainc(a: str, b: str, x: str, steps: int = BETA_STEPS) -> str:
     """Regularized incomplete beta I_x(a, b)."""
 
+    def fraction(r):
+        aa, bb, xx = r["aa"], r["bb"], r["xx"]
+        acc, m = f"ac{next(_ids)}", f"m{next(_ids)}"
+        md = f"CAST({m} AS DOUBLE)"
+        e1 = f"({md} * ({bb} - {md}) * {xx} / (({aa} - 1.0D + 2.0D * {md}) * ({aa} + 2.0D * {md})))"
+        e2 = f"(-({aa} + {md}) * ({aa} + {bb} + {md}) * {xx} / (({aa} + 2.0D * {md}) * ({aa} + 1.0D + 2.0D * {md})))"
+
+        def second(u):
+            d1, c1 = u["d1"], u["c1"]
+            return _let({"d1": d1, "c1": c1,
+                         "d2": f"1.0D / {_guard(f'1.0D + {e2} * {d1}')}",
+                         "c2": _guard(f"1.0D + {e2} / {c1}")},
+                        lambda w: (f"named_struct('c', {w['c2']}, 'd', {w['d2']}, "
+                                   f"'h', {acc}.h * {w['d1']} * {w['c1']} * {w['d2']} * {w['c2']})"))
+
+        step = _let({"d1": f"1.0D / {_guard(f'1.0D + {e1} * {acc}.d')}",
+                     "c1": _guard(f"1.0D + {e1} / {acc}.c")}, second)
+        d0 = f"1.0D / {_guard(f'1.0D - ({aa} + {bb}) * {xx} / ({aa} + 1.0D)')}"
+        h = (f"aggregate(sequence(1, {int(steps)}), named_struct('c', 1.0D, 'd', {d0}, 'h', {d0}), "
+             f"({acc}, {m}) -> {step}).h")
+        front = (f"exp({lgamma_shift(f'greatest({aa}, {bb})', f'least({aa}, {bb})')} "
+                 f"- {lgamma(f'least({aa}, {bb})')} + {aa} * ln({xx}) + {bb} * log1p(-{xx}))")
+        val = f"({front} * {h} / {aa})"
+        return (f"CASE WHEN {r['x']} <= 0 THEN 0.0D WHEN {r['x']} >= 1 THEN 1.0D "
+                f"WHEN {r['sw']} THEN 1.0D - {val} ELSE {val} END")
+
     def swapped(r):
-        a, b, x = r["a"], r["b"], r["x"]
-        swap = x >= (a + 1.0) / (a + b + 2.0)
-        return _let({"aa": F.when(swap, b).otherwise(a), "bb": F.when(swap, a).otherwise(b),
-                     "xx": F.when(swap, 1.0 - x).otherwise(x), "sw": swap.cast("double"), "x": x},
-                    fraction)
+        sw = f"({r['x']} >= ({r['a']} + 1.0D) / ({r['a']} + {r['b']} + 2.0D))"
+        return _let({"aa": f"CASE WHEN {sw} THEN {r['b']} ELSE {r['a']} END",
+                     "bb": f"CASE WHEN {sw} THEN {r['a']} ELSE {r['b']} END",
+                     "xx": f"CASE WHEN {sw} THEN 1.0D - {r['x']} ELSE {r['x']} END",
+                     "sw": sw, "x": r["x"]}, fraction)
 
-    def fraction(r):
-        aa, bb, xx, x = r["aa"], r["bb"], r["xx"], r["x"]
-        d0 = 1.0 / _guard(1.0 - (aa + bb) * xx / (aa + 1.0))
-        init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-
-        def step(acc, m):
-            m = m.cast("double")
-            e1 = m * (bb - m) * xx / ((aa - 1.0 + 2.0 * m) * (aa + 2.0 * m))
-            e2 = -(aa + m) * (aa + bb + m) * xx / ((aa + 2.0 * m) * (aa + 1.0 + 2.0 * m))
-            first = _let({"d1": 1.0 / _guard(1.0 + e1 * acc["d"]), "c1": _guard(1.0 + e1 / acc["c"])},
-                         lambda u: _let({"d1": u["d1"], "c1": u["c1"],
-                                         "d2": 1.0 / _guard(1.0 + e2 * u["d1"]),
-                                         "c2": _guard(1.0 + e2 / u["c1"])},
-                                        lambda w: F.struct(w["c2"].alias("c"), w["d2"].alias("d"),
-                                                           (acc["h"] * w["d1"] * w["c1"] * w["d2"] * w["c2"])
-                                                           .alias("h"))))
-            return first
-
-        h = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["h"]
-        front = F.exp(lgamma_shift_col(F.greatest(aa, bb), F.least(aa, bb)) - lgamma_col(F.least(aa, bb))
-                      + aa * F.log(xx) + bb * F.log1p(-xx))
-        val = front * h / aa
-        inner = F.when(r["sw"] > 0, 1.0 - val).otherwise(val)
-        return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inner)
-
-    return _let({"a": a, "b": b, "x": x}, swapped)
-
-
-def gamma_q_col(s, x, steps: int = GAMMA_STEPS) -> Column:
+    return _let({"a": f"CAST({a} AS DOUBLE)", "b": f"CAST({b} AS DOUBLE)", "x": f"CAST({x} AS DOUBLE)"},
+                swapped)
+
+
+def gamma_q(s: str, x: str, steps: int = GAMMA_STEPS) -> str:
     """Regularized upper incomplete gamma Q(s, x), s >= 0.5."""
 
     def body(r):
-        s, x = r["s"], r["x"]
-        seq = F.sequence(F.lit(1), F.lit(steps))
-        # series: P = exp(-x + s ln x - lgamma s) * sum_k x^k / (s (s+1) ... (s+k))
-        ser_init = F.struct((1.0 / s).alias("d"), (1.0 / s).alias("t"))
-
-        def ser_step(acc, k):
-            d = acc["d"] * x / (s + k.cast("double"))
-            return F.struct(d.alias("d"), (acc["t"] + d).alias("t"))
-
-        total = F.aggregate(seq, ser_init, ser_step)["t"]
-        pref = F.exp(-x + s * F.log(x) - lgamma_col(s))
-        q_series = F.greatest(F.lit(0.0), 1.0 - total * pref)
-        # continued fraction (modified Lentz)
-        b0 = x + 1.0 - s
-        cf_init = F.struct(b0.alias("b"), F.lit(1.0 / FPMIN).alias("c"), (1.0 / _guard(b0)).alias("d"),
-                           (1.0 / _guard(b0)).alias("h"))
-
-        def cf_step(acc, i):
-            i = i.cast("double")
-            an = -i * (i - s)
-            b = acc["b"] + 2.0
-            return _let({"b": b, "d": 1.0 / _guard(an * acc["d"] + b), "c": _guard(b + an / acc["c"])},
-                        lambda w: F.struct(w["b"].alias("b"), w["c"].alias("c"), w["d"].alias("d"),
-                                           (acc["h"] * w["d"] * w["c"]).alias("h")))
-
-        q_cf = pref * F.aggregate(seq, cf_init, cf_step)["h"]
-        return F.when(x <= 0, F.lit(1.0)).when(x < s + 1.0, q_series).otherwise(q_cf)
-
-    return _let({"s": s, "x": x}, body)
-
-
-def t_two_sided_col(t, df) -> Column:
-    """P(|T| >= |t|), Student t with ``df`` degrees of freedom; NULL when undefined."""
+        s_, x_ = r["s"], r["x"]
+        acc, k = f"ac{next(_ids)}", f"k{next(_ids)}"
+        kd = f"CAST({k} AS DOUBLE)"
+        ser = (f"aggregate(sequence(1, {int(steps)}), named_struct('d', 1.0D / {s_}, 't', 1.0D / {s_}), "
+               f"({acc}, {k}) -> named_struct('d', {acc}.d * {x_} / ({s_} + {kd}), "
+               f"'t', {acc}.t + {acc}.d * {x_} / ({s_} + {kd}))).t")
+        pref = f"exp(-{x_} + {s_} * ln({x_}) - {lgamma(s_)})"
+        q_series = f"greatest(0.0D, 1.0D - {ser} * {pref})"
+        acc2, i = f"ac{next(_ids)}", f"i{next(_ids)}"
+        idd = f"CAST({i} AS DOUBLE)"
+        an = f"(-{idd} * ({idd} - {s_}))"
+        b0 = f"({x_} + 1.0D - {s_})"
+
+        def cf_body(w):
+            return (f"named_struct('b', {w['b']}, 'c', {w['c']}, 'd', {w['d']}, "
+                    f"'h', {acc2}.h * {w['d']} * {w['c']})")
+
+        cf_step = _let({"b": f"{acc2}.b + 2.0D",
+                        "d": f"1.0D / {_guard(f'{an} * {acc2}.d + {acc2}.b + 2.0D')}",
+                        "c": _guard(f"{acc2}.b + 2.0D + {an} / {acc2}.c")}, cf_body)
+        cf = (f"aggregate(sequence(1, {int(steps)}), named_struct('b', {b0}, 'c', {_d(1.0 / FPMIN)}, "
+              f"'d', 1.0D / {_guard(b0)}, 'h', 1.0D / {_guard(b0)}), ({acc2}, {i}) -> {cf_step}).h")
+        return (f"CASE WHEN {x_} <= 0 THEN 1.0D WHEN {x_} < {s_} + 1.0D THEN {q_series} "
+                f"ELSE {pref} * {cf} END")
+
+    return _let({"s": f"CAST({s} AS DOUBLE)", "x": f"CAST({x} AS DOUBLE)"}, body)
+
+
+def t_two_sided(t: str, df: str) -> str:
     def body(r):
-        t, df = r["t"], r["df"]
-        p = betainc_col(df / 2.0, F.lit(0.5), df / (df + t * t))
-        return (F.when(t.isNull() | df.isNull() | F.isnan(t) | F.isnan(df) | (df <= 0), F.lit(None))
-                .when(F.abs(t) == float("inf"), F.lit(0.0))
-                .otherwise(F.least(F.lit(1.0), p)))
-    return _let({"t": t, "df": df}, body)
+        tt, dd = r["t"], r["df"]
+        p = betainc(f"{dd} / 2.0D", "0.5D", f"{dd} / ({dd} + {tt} * {tt})")
+        return (f"CASE WHEN {tt} IS NULL OR {dd} IS NULL OR isnan({tt}) OR isnan({dd}) "
+                f"OR {dd} <= 0 THEN CAST(NULL AS DOUBLE) "
+                f"WHEN abs({tt}) = CAST('Infinity' AS DOUBLE) THEN 0.0D ELSE least(1.0D, {p}) END")
+    return _let({"t": f"CAST({t} AS DOUBLE)", "df": f"CAST({df} AS DOUBLE)"}, body)
 
 
-def chi2_sf_col(x, k) -> Column:
-    """P(X >= x), chi-square with ``k`` degrees of freedom (k = 0 -> 1)."""
+def chi2_sf(x: str, k: str) -> str:
     def body(r):
-        x, k = r["x"], r["k"]
-        return F.when(x.isNull() | k.isNull(), F.lit(None)).when(k <= 0, F.lit(1.0)) \
-            .otherwise(gamma_q_col(k / 2.0, x / 2.0))
-    return _let({"x": x, "k": k}, body)
+        xx, kk = r["x"], r["k"]
+        return (f"CASE WHEN {xx} IS NULL OR {kk} IS NULL THEN CAST(NULL AS DOUBLE) "
+                f"WHEN {kk} <= 0 THEN 1.0D ELSE {gamma_q(f'{kk} / 2.0D', f'{xx} / 2.0D')} END")
+    return _let({"x": f"CAST({x} AS DOUBLE)", "k": f"CAST({k} AS DOUBLE)"}, body)
 
 
-def norm_sf_col(z) -> Column:
-    """P(Z >= z), standard normal (erfc through Q(1/2, z^2/2))."""
+def norm_sf(z: str) -> str:
     def body(r):
-        z = r["z"]
-        q = gamma_q_col(F.lit(0.5), z * z / 2.0)
-        return F.when(z.isNull() | F.isnan(z), F.lit(None)).when(z >= 0, 0.5 * q).otherwise(1.0 - 0.5 * q)
-    return _let({"z": z}, body)
+        zz = r["z"]
+        q = gamma_q("0.5D", f"{zz} * {zz} / 2.0D")
+        return (f"CASE WHEN {zz} IS NULL OR isnan({zz}) THEN CAST(NULL AS DOUBLE) "
+                f"WHEN {zz} >= 0 THEN 0.5D * {q} ELSE 1.0D - 0.5D * {q} END")
+    return _let({"z": f"CAST({z} AS DOUBLE)"}, body)
+
+
+def lgamma_col(x: str) -> Column:
+    return F.expr(lgamma(x))
+
+
+def t_two_sided_col(t: str, df: str) -> Column:
+    """P(|T| >= |t|), Student t; NULL when undefined.  Arguments are SQL expressions."""
+    return F.expr(t_two_sided(t, df))
+
+
+def chi2_sf_col(x: str, k: str) -> Column:
+    """P(X >= x), chi-square with k degrees of freedom (k <= 0 -> 1)."""
+    return F.expr(chi2_sf(x, k))
+
+
+def norm_sf_col(z: str) -> Column:
+    """P(Z >= z), standard normal (erfc through Q(1/2, z^2/2))."""
+    return F.expr(norm_sf(z))

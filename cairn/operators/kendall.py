@@ -163,9 +163,10 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None =
     exact = (F.col("xtie") == 0) & (F.col("ytie") == 0) & ((n <= EXACT_MAX_N) | (c <= 1))
     p = (F.when((n < 2) | (tot - F.col("xtie") <= 0) | (tot - F.col("ytie") <= 0), F.lit(None))
          .when(exact, _kendall_exact_udf(F.when(exact, n), F.when(exact, c)))
-         .when(var > 0, F.least(F.lit(1.0), 2 * norm_sf_col(F.abs(z)))))
+         .when(var > 0, F.least(F.lit(1.0), 2 * norm_sf_col("_kz"))))
     names = x.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                            "_pair int, col_a string, col_b string")
+    stats = stats.withColumn("_kz", F.abs(z))
     out = stats.select("_pair", n.cast("bigint").alias("n"), tau.alias("corr"), p.alias("_p"))
     # one row per column pair on the left: a few rows
     return names.join(out, "_pair", "left").select(

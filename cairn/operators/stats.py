@@ -185,7 +185,7 @@ def two_sample_ttest(df: DataFrame, value_col: str, group_col: str, group_a, gro
                  / (se_a * se_a / (na - 1) + se_b * se_b / (nb - 1)))
     r = m.select(*by, "n_a", "n_b", "m_a", "m_b", t.alias("_t"), dof.alias("_df"),
                  _cohens_d_expr().alias("_d"))
-    r = r.withColumn("_p", F.when(F.col("_t").isNotNull(), t_two_sided_col(F.col("_t"), F.col("_df"))))
+    r = r.withColumn("_p", F.when(F.col("_t").isNotNull(), t_two_sided_col("_t", "_df")))
     sig = F.coalesce(F.col("_p") < F.lit(alpha), F.lit(False))
     return r.select(
         *by,
@@ -264,7 +264,7 @@ def chi_square_test(df: DataFrame, row_col: str, col_col: str, alpha: float = 0.
     by = list(by)
     core = _chi_square_core(df, row_col, col_col, by, yates)
     core = core.withColumn("_p", F.when(F.col("dof") == 0, F.lit(1.0))
-                           .otherwise(chi2_sf_col(F.col("_chi2"), F.col("dof").cast("double"))))
+                           .otherwise(chi2_sf_col("_chi2", "dof")))
     v = _cramers_v_expr()
     sig = F.coalesce(F.col("_p") < F.lit(alpha), F.lit(False))
     return core.select(
@@ -350,7 +350,8 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     z = F.try_divide(F.col("_u") - n1 * n2 / 2 - 0.5, s)
     exact = ((F.least(n1, n2) <= MWU_EXACT_MAX_N) & (F.col("_maxt") <= 1)
              & (n1 * n2 <= MWU_EXACT_MAX_CELLS))
-    p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_col(z))).otherwise(F.lit(1.0))
+    res = res.withColumn("_z", z)
+    p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_col("_z"))).otherwise(F.lit(1.0))
     p_exact = F.least(F.lit(1.0), 2 * mwu_exact_sf_udf(F.col("_u"), n1, n2))
     res = res.withColumn("_p", F.when((n1 > 0) & (n2 > 0), F.when(exact, p_exact).otherwise(p_asym)))
 
@@ -443,14 +444,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
         p_pair = F.col("_p")
     else:
         r = F.col("corr")
-        tstat = F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))
-        p_pair = F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided_col(tstat, n - 2))
+        long = long.withColumn("_tstat", F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))) \
+            .withColumn("_dfn", n - 2)
+        p_pair = F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided_col("_tstat", "_dfn"))
     p = F.when(F.col("col_a") == F.col("col_b"), F.lit(1.0)).when(~ok, F.lit(1.0)).otherwise(p_pair)
     upper = long.select("col_a", "col_b", "n", corr.alias("corr"), p.alias("p_value"))
-    # mirror the strict upper triangle to get all ordered pairs
-    lower = upper.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "n", "corr", "p_value")
-    return upper.unionByName(lower)
+    # every unordered pair is computed once and emitted in both orders
+    both = F.array(F.struct("col_a", "col_b", "n", "corr", "p_value"),
+                   F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "n", "corr", "p_value"))
+    return (upper.select(F.explode(F.when(F.col("col_a") == F.col("col_b"), F.slice(both, 1, 1))
+                                   .otherwise(both)).alias("r"))
+            .select("r.*"))
 
 
 def _stacked_midranks(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
