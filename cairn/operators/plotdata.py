@@ -39,14 +39,18 @@ def _range_stats(x: DataFrame) -> DataFrame:
                     F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, materialize: bool = False) -> DataFrame:
     """bin, bin_start, bin_end, count for ``bins`` equal-width bins (empty bins
     included), plus the sample mean and median on every row.
 
     Bin of x = min(floor((x - lo) * bins / (hi - lo)), bins - 1): half-open
     bins with the last one closed, as numpy/seaborn.  NULL/NaN are dropped.
+    ``materialize=True`` checkpoints the one input column first (for an
+    expensive derived ``df``; range, counts and median are three passes).
     """
     x = df.select(nan_to_null(F.col(col).cast("double")).alias("_x")).where(F.col("_x").isNotNull())
+    if materialize:
+        x = x.checkpoint(eager=True)
     st = broadcast_bounded(_range_stats(x), "1 row: range")
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))),
                 F.lit(bins - 1)).cast("int")
@@ -110,12 +114,14 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRIDSIZE, bins: int =
 
 
 def box_stats(df: DataFrame, value_col: str, group_col: str, whis: float = WHISKER,
-              num_buckets: int | None = None) -> DataFrame:
+              num_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Per group: n, q1, median, q3, whisker_low/high (furthest values within
     whis * IQR of the quartiles), n_fliers (values beyond the whiskers) and
     ``order`` (1 = highest median, the reference's plotting order)."""
-    x = df.select(F.col(group_col).alias("_g"), nan_to_null(F.col(value_col).cast("double")).alias("_x")) \
-        .where(F.col("_x").isNotNull())
+    x = (df.select(F.col(group_col).alias("_g"), nan_to_null(F.col(value_col).cast("double")).alias("_x"))
+         .where(F.col("_x").isNotNull()))
+    if materialize:   # for an expensive derived df: quantiles, fence join and whiskers re-read it
+        x = x.checkpoint(eager=True)
     q = exact_quantiles(x, "_x", [0.25, 0.5, 0.75], by=["_g"], num_buckets=num_buckets, prefix="q")
     q = q.select("_g", F.col("q_0_25").alias("q1"), F.col("q_0_5").alias("median"), F.col("q_0_75").alias("q3"))
     fence = q.select("_g", "q1", "median", "q3",

@@ -34,6 +34,11 @@ COHENS_D_BOUNDS = [(0.2, "negligible"), (0.5, "small"), (0.8, "medium")]
 CRAMERS_V_BOUNDS = [(0.1, "negligible"), (0.3, "small"), (0.5, "medium")]
 LARGE_LABEL = "large"
 
+# Interpretation sentences (fixed values): (significant, not significant) per test.
+TTEST_TEXT = ("Statistically significant difference", "No significant difference")
+CHI2_TEXT = ("Significant association", "No significant association")
+MWU_TEXT = ("Significant difference in distributions", "No significant difference")
+
 
 def _label(value: Column, bounds) -> Column:
     out = None
@@ -79,18 +84,22 @@ DESCRIBE_KEYS = ["count", "mean", "median", "std", "min", "q1", "q3", "max", "iq
 
 
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
-                     num_buckets: int | None = None) -> DataFrame:
+                     num_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Extended describe: count, mean, median, std, min, q1, q3, max, IQR,
     IQR-fence outliers, bias-corrected skewness and excess kurtosis, missing.
 
     Pass 1 is one aggregate (moments, min/max, missing); quantiles are exact
     (``exact_quantiles``); pass 2 counts values strictly outside the fences
     q1 - 1.5 IQR and q3 + 1.5 IQR.  Percentages divide by all rows including
-    missing ones.
+    missing ones.  ``materialize=True`` checkpoints the (narrow) input first —
+    worth it when ``df`` is an expensive derived DataFrame, since the passes
+    would otherwise recompute it; a plain table scan is cheaper to re-read.
     """
     by = list(by)
     x = nan_to_null(F.col(col).cast("double"))
     base = df.select(*by, x.alias("_x"))
+    if materialize:
+        base = base.checkpoint(eager=True)
     moments = base.groupBy(*by).agg(
         F.count("_x").alias("count"), F.count(F.lit(1)).alias("_rows"),
         F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_std"),
@@ -198,8 +207,7 @@ def two_sample_ttest(df: DataFrame, value_col: str, group_col: str, group_a, gro
         sql_round("m_a", 4).alias("mean_a"),
         sql_round("m_b", 4).alias("mean_b"),
         sql_round(F.col("m_a") - F.col("m_b"), 4).alias("mean_diff"),
-        _interpretation(F.col("_p"), sig, alpha, "Statistically significant difference",
-                        "No significant difference").alias("interpretation"))
+        _interpretation(F.col("_p"), sig, alpha, *TTEST_TEXT).alias("interpretation"))
 
 
 # ---------------------------------------------------------------------------
@@ -276,8 +284,7 @@ def chi_square_test(df: DataFrame, row_col: str, col_col: str, alpha: float = 0.
         sig.alias("significant"),
         sql_round(v, 4).alias("cramers_v"),
         interpret_cramers_v(v).alias("effect_size"),
-        _interpretation(F.col("_p"), sig, alpha, "Significant association",
-                        "No significant association").alias("interpretation"))
+        _interpretation(F.col("_p"), sig, alpha, *CHI2_TEXT).alias("interpretation"))
 
 
 def cramers_v(df: DataFrame, row_col: str, col_col: str, yates: bool = True,
@@ -368,8 +375,7 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
         sig.alias("significant"),
         sql_round(med("a"), 4).alias("median_a"),
         sql_round(med("b"), 4).alias("median_b"),
-        _interpretation(F.col("_p"), sig, alpha, "Significant difference in distributions",
-                        "No significant difference").alias("interpretation"))
+        _interpretation(F.col("_p"), sig, alpha, *MWU_TEXT).alias("interpretation"))
 
 
 # ---------------------------------------------------------------------------

@@ -166,7 +166,7 @@ def q_describe_discount_missing(spark, sf_dir):
 def q_describe_ltv(spark, sf_dir):
     t = _t(spark, sf_dir)
     ltv = sales.customer_ltv(t.customers(), t.orders(), t.order_items())
-    return stats.describe_numeric(ltv, "lifetime_value")
+    return stats.describe_numeric(ltv, "lifetime_value", materialize=True)
 
 
 def q_ttest_recovery_days(spark, sf_dir):
@@ -272,13 +272,35 @@ def _rounded_box(b, group_col):
 def q_box_stats_ltv_by_country(spark, sf_dir):
     t = _t(spark, sf_dir)
     ltv = sales.customer_ltv(t.customers(), t.orders(), t.order_items())
-    return _rounded_box(plotdata.box_stats(ltv, "lifetime_value", "country"), "country")
+    return _rounded_box(plotdata.box_stats(ltv, "lifetime_value", "country", materialize=True), "country")
 
 
 def q_box_stats_recovery_by_group(spark, sf_dir):
     return _rounded_box(plotdata.box_stats(_t(spark, sf_dir).patients(), "recovery_days", "group"), "group")
 
 
+def _ltv(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return sales.customer_ltv(t.customers(), t.orders(), t.order_items())
+
+
+def q_histogram_ltv(spark, sf_dir):
+    h = plotdata.histogram(_ltv(spark, sf_dir), "lifetime_value", materialize=True)
+    return h.select("bin", "bin_start", "bin_end", "count",
+                    sql_round("mean", 6).alias("mean"), sql_round("median", 6).alias("median"))
+
+
+def q_kde_ltv(spark, sf_dir):
+    k = plotdata.kde_curve(_ltv(spark, sf_dir), "lifetime_value")
+    return k.select("point", "x", sql_round("density", 12).alias("density"),
+                    sql_round("count", 6).alias("count"))
+
+
+def q_box_stats_improvement_by_age_group(spark, sf_dir):
+    return _rounded_box(plotdata.box_stats(_t(spark, sf_dir).patients(), "score_improvement", "age_group"),
+                        "age_group")
+
+
 def q_revenue_rolling(spark, sf_dir):
     t = _t(spark, sf_dir)
     m = sales.monthly_orders_revenue(t.orders(), t.order_items())
@@ -386,6 +408,9 @@ QUERIES: dict[str, Query] = {
     "kde_extendedprice": q_kde_extendedprice,
     "box_stats_ltv_by_country": q_box_stats_ltv_by_country,
     "box_stats_recovery_by_group": q_box_stats_recovery_by_group,
+    "box_stats_improvement_by_age_group": q_box_stats_improvement_by_age_group,
+    "histogram_ltv": q_histogram_ltv,
+    "kde_ltv": q_kde_ltv,
     "revenue_rolling": q_revenue_rolling,
     "ranked_category_revenue": q_ranked_category_revenue,
     "correlation_heatmap_patients": q_correlation_heatmap_patients,

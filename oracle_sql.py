@@ -949,6 +949,54 @@ UNION ALL SELECT col_b, col_a, n, corr, p_value FROM kr WHERE col_a <> col_b
 SQL["correlation_lineitem_kendall"] = _kendall("lineitem", ["l_quantity", "l_discount", "l_tax"])
 SQL["correlation_patients_kendall"] = _kendall("patients", ["age", "recovery_days"])
 
+
+def _histogram(source: str, value: str) -> str:
+    return f"""
+, hx AS (SELECT ({value})::DOUBLE AS x FROM {source}
+         WHERE ({value}) IS NOT NULL AND NOT isnan(({value})::DOUBLE)),
+hs AS (SELECT MIN(x) AS mn, MAX(x) AS mx, AVG(x) AS mean, quantile_cont(x, 0.5) AS median FROM hx),
+hr AS (SELECT *, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+              CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM hs),
+hb AS (SELECT LEAST(FLOOR((x - lo) * (40.0 / (hi - lo))), 39)::INTEGER AS bin, COUNT(*) AS n
+       FROM hx, hr GROUP BY 1)
+SELECT g.bin, lo + g.bin * ((hi - lo) / 40.0) AS bin_start, lo + (g.bin + 1) * ((hi - lo) / 40.0) AS bin_end,
+       COALESCE(hb.n, 0) AS count, ROUND(mean, 6) AS mean, ROUND(median, 6) AS median
+FROM (SELECT range::INTEGER AS bin FROM range(40)) g CROSS JOIN hr LEFT JOIN hb ON hb.bin = g.bin
+ORDER BY 1
+"""
+
+
+def _kde(source: str, value: str) -> str:
+    return f"""
+, kx AS (SELECT ({value})::DOUBLE AS x FROM {source}
+         WHERE ({value}) IS NOT NULL AND NOT isnan(({value})::DOUBLE)),
+ks AS (SELECT MIN(x) AS mn, MAX(x) AS mx, COUNT(x) AS n, STDDEV_SAMP(x) AS sd FROM kx),
+kr AS (SELECT *, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+              CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi,
+              sd * power(n::DOUBLE, -0.2) AS h, (mx - mn) / 199.0 AS step FROM ks),
+dens AS (SELECT g.point, SUM(exp(-0.5 * power((kr.mn + g.point * kr.step - kx.x) / kr.h, 2))) AS s
+         FROM (SELECT range::INTEGER AS point FROM range(200)) g, kr, kx GROUP BY g.point)
+SELECT point, mn + point * step AS x,
+       ROUND(s / (n * h * sqrt(2 * pi())), 12) AS density,
+       ROUND(s / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 40.0, 6) AS count
+FROM dens, kr ORDER BY point
+"""
+
+
+_LTV_CTE = """
+, customer_ltv AS (
+    SELECT c.customer_id, c.country, SUM(ROUND(oi.quantity * oi.unit_price * 100)) / 100 AS lifetime_value
+    FROM customers c
+    JOIN orders o       ON c.customer_id = o.customer_id
+    JOIN order_items oi ON o.order_id    = oi.order_id
+    WHERE o.status = 'completed'
+    GROUP BY 1, 2
+)"""
+
+SQL["histogram_ltv"] = _LTV_CTE + _histogram("customer_ltv", "lifetime_value")
+SQL["kde_ltv"] = _LTV_CTE + _kde("customer_ltv", "lifetime_value")
+SQL["box_stats_improvement_by_age_group"] = _box("patients", "score_improvement", "age_group")
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: adapter CTEs followed by each query (a leading comma
     continues the WITH list)."""
