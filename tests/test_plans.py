@@ -28,3 +28,21 @@ def test_ordered_queries_avoid_single_partition_on_rows(spark, sf_small):
     # the single-partition windows left are over the per-range summaries
     assert "Window" in p
     assert "rangepartitioning" in p.lower() or "ExistingRDD" in p or "Scan" in p
+
+
+@pytest.mark.parametrize("key", ["order_value_distribution", "customer_ltv_segments", "rank_basic",
+                                 "customer_rank_by_country", "describe_extendedprice",
+                                 "mann_whitney_quantity_linestatus", "order_sequence"])
+def test_single_partition_exchanges_are_fed_by_bounded_rows(spark, sf_small, key):
+    from cairn.plans.inspect import is_bounded_feed, single_partition_feeds
+    feeds = single_partition_feeds(QUERIES[key](spark, sf_small))
+    assert all(is_bounded_feed(f) for f in feeds), feeds
+
+
+def test_plain_global_window_would_be_flagged(spark, sf_small):
+    from pyspark.sql import Window, functions as F
+    from cairn.plans.inspect import is_bounded_feed, single_partition_feeds
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet")
+    df = li.select("l_orderkey", F.row_number().over(Window.orderBy("l_extendedprice")).alias("rn"))
+    feeds = single_partition_feeds(df)
+    assert feeds and not all(is_bounded_feed(f) for f in feeds)
