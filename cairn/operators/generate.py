@@ -10,7 +10,6 @@ The distributions match the reference; numpy's exact random stream does not.
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -149,11 +148,3 @@ def patients(spark: SparkSession, n: int = 300, seed: int = 7) -> DataFrame:
     return out.withColumn("score_improvement",
                           F.bround(F.col("followup_score") - F.col("baseline_score"), 1))
 
-
-def expected_share(probs: Sequence[float]) -> list[float]:
-    total = float(sum(probs))
-    return [p / total for p in probs]
-
-
-def lognormal_mean(mu: float = 3.5, sigma: float = 0.8) -> float:
-    return math.exp(mu + sigma * sigma / 2)

@@ -39,9 +39,6 @@ from pyspark.sql import types as T
 
 from cairn.session import checkpoint_dir
 
-LOCAL_COLS = ("_b", "_lrn", "_lrank", "_ldense")
-
-
 def _sort_expr(name: str, ascending: bool) -> Column:
     # Engine-independent NULL placement: NULLs last in both directions.
     return F.col(name).asc_nulls_last() if ascending else F.col(name).desc_nulls_last()
@@ -250,9 +247,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     hot value is one row after map-side combine — and cumulative counts over
     the sorted distinct values come from :func:`ordered_window`.  The rows at
     positions floor(h) and ceil(h), h = (n-1)p, are then picked by a range
-    test, so the result has one row per group and one column per p
-    (``q_0_25`` style names, or ``prefix`` + index when ``prefix`` is given
-    as a list).
+    test, so the result has one row per group and one column per p, named
+    ``<prefix>_<p>`` (e.g. ``q_0_25``).
     """
     by = list(by)
     counts = (df.where(F.col(value_col).isNotNull())
