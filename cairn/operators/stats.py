@@ -385,32 +385,31 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
 def _pearson_pairs(df: DataFrame, cols: list[str], x_of=None) -> DataFrame:
     """One aggregate pass: pairwise-complete n and Pearson r for every unordered pair.
 
-    ``x_of(a, b)`` returns the column standing for ``a`` within pair (a, b)
-    (ranks for Spearman); default: the value itself.
+    ``x_of(c)`` gives the SQL expression standing for column ``c`` (ranks for
+    Spearman); default: the value with NaN as NULL.  Aggregates are written as
+    SQL text: one expression per aggregate instead of many Column operations.
     """
-    x_of = x_of or (lambda a, b: nan_to_null(F.col(a).cast("double")))
-    aggs = []
-    pairs = []
+    x_of = x_of or (lambda c: f"CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END")
+    vals = df.select(*[F.expr(x_of(c)).alias(f"_v{i}") for i, c in enumerate(cols)])
+    aggs, pairs = [], []
     for i, a in enumerate(cols):
-        for b in cols[i:]:
-            xa, xb = x_of(a, b), x_of(b, a)
-            both = xa.isNotNull() & xb.isNotNull()
-            ka, kb = F.when(both, xa), F.when(both, xb)
-            tag = f"{i}_{cols.index(b)}"
-            aggs += [F.count(ka).alias(f"n_{tag}"),
-                     F.covar_pop(ka, kb).alias(f"cv_{tag}"),
-                     F.stddev_pop(ka).alias(f"sa_{tag}"),
-                     F.stddev_pop(kb).alias(f"sb_{tag}")]
-            pairs.append((a, b, tag))
-    row = df.agg(*aggs)
-    stacks = []
-    for a, b, tag in pairs:
-        r = F.try_divide(F.col(f"cv_{tag}"), F.col(f"sa_{tag}") * F.col(f"sb_{tag}"))
-        r = F.when((F.col(f"sa_{tag}") > 0) & (F.col(f"sb_{tag}") > 0),
-                   F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-        stacks.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                               F.col(f"n_{tag}").alias("n"), r.alias("corr")))
-    return row.select(F.explode(F.array(*stacks)).alias("s")).select("s.*")
+        for j in range(i, len(cols)):
+            xa, xb = f"_v{i}", f"_v{j}"
+            both = f"({xa} IS NOT NULL AND {xb} IS NOT NULL)"
+            ka, kb = f"CASE WHEN {both} THEN {xa} END", f"CASE WHEN {both} THEN {xb} END"
+            tag = f"{i}_{j}"
+            aggs += [F.expr(f"count({ka})").alias(f"n_{tag}"),
+                     F.expr(f"covar_pop({ka}, {kb})").alias(f"cv_{tag}"),
+                     F.expr(f"stddev_pop({ka})").alias(f"sa_{tag}"),
+                     F.expr(f"stddev_pop({kb})").alias(f"sb_{tag}")]
+            pairs.append((a, cols[j], tag))
+    row = vals.agg(*aggs)
+    structs = ", ".join(
+        f"named_struct('col_a', '{a}', 'col_b', '{b}', 'n', n_{t}, 'corr', "
+        f"CASE WHEN sa_{t} > 0 AND sb_{t} > 0 THEN greatest(-1.0D, least(1.0D, "
+        f"try_divide(cv_{t}, sa_{t} * sb_{t}))) END)"
+        for a, b, t in pairs)
+    return row.select(F.expr(f"explode(array({structs}))").alias("s")).select("s.*")
 
 
 def _midranks(df: DataFrame, col: str, num_buckets: int | None) -> DataFrame:
@@ -484,7 +483,7 @@ def _spearman_pairs(df: DataFrame, cols: list[str], num_buckets: int | None) ->
         for c in cols:
             rc = ranks.where(F.col("_c") == c).select(F.col("_v").alias(c), F.col("_rank").alias(f"_rank_{c}"))
             ranked = ranked.join(rc, on=c)
-        return _pearson_pairs(ranked, cols, x_of=lambda c, _o: F.col(f"_rank_{c}"))
+        return _pearson_pairs(ranked, cols, x_of=lambda c: f"`_rank_{c}`")
     results = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -495,10 +494,10 @@ def _spearman_pairs(df: DataFrame, cols: list[str], num_buckets: int | None) ->
             if a != b:
                 rb = _midranks(sub, b, num_buckets)
                 ranked = ranked.join(rb, on=b)
-                pr = _pearson_pairs(ranked, [a, b], x_of=lambda c, _o: F.col(f"_rank_{c}"))
+                pr = _pearson_pairs(ranked, [a, b], x_of=lambda c: f"`_rank_{c}`")
                 results.append(pr.where(F.col("col_a") != F.col("col_b")))
             else:
-                pr = _pearson_pairs(ranked, [a], x_of=lambda c, _o: F.col(f"_rank_{c}"))
+                pr = _pearson_pairs(ranked, [a], x_of=lambda c: f"`_rank_{c}`")
                 results.append(pr)
     out = results[0]
     for r in results[1:]:
