@@ -159,3 +159,16 @@ class DriverTables:
 
     def patients(self) -> DataFrame:
         return patients(self.spark, self.sf_dir)
+
+
+LOGICAL_TABLES = ("customers", "products", "orders", "order_items", "patients")
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Register the logical tables as temp views under the reference's names,
+    for analyses written as Spark SQL (``spark.sql("SELECT ... FROM orders o
+    JOIN order_items oi ...")``).  Views are lazy: nothing is read here."""
+    t = DriverTables(spark, sf_dir)
+    for name in LOGICAL_TABLES:
+        getattr(t, name)().createOrReplaceTempView(name)
+    return list(LOGICAL_TABLES)
