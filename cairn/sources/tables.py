@@ -51,11 +51,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_CHECKED_DIMS: dict[tuple[int, str], DataFrame] = {}
+
+
+def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation (25 rows in TPC-H), size-checked once per session before it is broadcast."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    df = _CHECKED_DIMS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
+                                max_rows=10_000)
+        _CHECKED_DIMS[key] = df
+    return df
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer")
-    # nation is a fixed 25-row dimension; checked before it is broadcast.
-    nation = broadcast_if_small(read_table(spark, sf_dir, "nation")
-                                .select("n_nationkey", "n_name"), max_rows=10_000)
+    nation = _nation(spark, sf_dir)
     return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
             .select(F.col("c_custkey").alias("customer_id"),
                     F.col("c_name").alias("name"),
