@@ -339,7 +339,8 @@ def q_order_sequence(spark, sf_dir):
     return s.select("customer_id", "order_id", "order_date",
                     F.col("row_number").cast("bigint").alias("order_seq"),
                     F.col("lead_order_date").alias("next_order_date"),
-                    day_diff("order_date", "lead_order_date").alias("days_to_next"))
+                    # NULL for the last order; double so both engines report one type
+                    day_diff("order_date", "lead_order_date").cast("double").alias("days_to_next"))
 
 
 def q_purchase_last_click(spark, sf_dir):
@@ -348,8 +349,10 @@ def q_purchase_last_click(spark, sf_dir):
     clicks = e.where(F.col("event_type") == "click").select(
         "user_id", F.col("event_id").alias("click_event_id"), F.col("ts").alias("click_ts"),
         F.col("value").alias("click_value"))
-    return joins.asof_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["event_id"],
-                           ["click_event_id"], ["click_event_id", "click_ts", "click_value"])
+    j = joins.asof_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["event_id"],
+                        ["click_event_id"], ["click_event_id", "click_ts", "click_value"])
+    # NULL when no earlier click; double so both engines report one type
+    return j.withColumn("click_event_id", F.col("click_event_id").cast("double"))
 
 
 def q_channel_status_pivot(spark, sf_dir):

@@ -878,7 +878,8 @@ SELECT customer_id, order_id, order_date,
        ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS order_seq,
        LEAD(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS next_order_date,
        DATE_DIFF('day', order_date,
-                 LEAD(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id)) AS days_to_next
+                 LEAD(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id))::DOUBLE
+           AS days_to_next
 FROM orders WHERE status = 'completed'
 """
 
@@ -886,7 +887,8 @@ SQL["purchase_last_click"] = """
 , purchases AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
 clicks AS (SELECT user_id, event_id AS click_event_id, ts AS click_ts, value AS click_value
            FROM events WHERE event_type = 'click')
-SELECT p.event_id, p.user_id, p.ts, p.value, c.click_event_id, c.click_ts, c.click_value
+SELECT p.event_id, p.user_id, p.ts, p.value, c.click_event_id::DOUBLE AS click_event_id,
+       c.click_ts, c.click_value
 FROM purchases p ASOF LEFT JOIN clicks c ON p.user_id = c.user_id AND p.ts >= c.click_ts
 """
 
