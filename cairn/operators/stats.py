@@ -215,7 +215,7 @@ def two_sample_ttest(df: DataFrame, value_col: str, group_col: str, group_a, gro
 # ---------------------------------------------------------------------------
 
 def _chi_square_core(df: DataFrame, row_col: str, col_col: str, by: list[str],
-                     yates: bool) -> DataFrame:
+                     yates: bool, count_col: str | None = None) -> DataFrame:
     """Per group: n, R, C, dof, chi2 (Yates-corrected when dof == 1 and ``yates``).
 
     Uses chi2 = sum over observed cells of O^2/E - n, so empty cells of the
@@ -223,7 +223,8 @@ def _chi_square_core(df: DataFrame, row_col: str, col_col: str, by: list[str],
     empty cells' terms from the (two) row and (two) column margins.
     """
     pairs = df.where(F.col(row_col).isNotNull() & F.col(col_col).isNotNull())
-    cells = pairs.groupBy(*by, row_col, col_col).agg(F.count(F.lit(1)).alias("_o"))
+    weight = F.sum(F.col(count_col)).cast("bigint") if count_col else F.count(F.lit(1))
+    cells = pairs.groupBy(*by, row_col, col_col).agg(weight.alias("_o")).where(F.col("_o") > 0)
     rows = cells.groupBy(*by, row_col).agg(F.sum("_o").alias("_r"))
     cols = cells.groupBy(*by, col_col).agg(F.sum("_o").alias("_c"))
     tot = cells.groupBy(*by).agg(F.sum("_o").alias("n"))
@@ -262,15 +263,18 @@ def _cramers_v_expr() -> Column:
 
 
 def chi_square_test(df: DataFrame, row_col: str, col_col: str, alpha: float = 0.05,
-                    yates: bool = True, by: Sequence[str] = ()) -> DataFrame:
+                    yates: bool = True, by: Sequence[str] = (), count_col: str | None = None) -> DataFrame:
     """Chi-square test of independence of two categorical columns (their crosstab).
 
+    ``df`` holds one row per observation, or — with ``count_col`` — a long
+    contingency table (row, col, count), e.g. the output of :func:`crosstab`.
+
     Columns: chi2, p_value, dof, alpha, significant, cramers_v, effect_size,
     interpretation.  A 2x2 table gets the Yates continuity correction (as the
     reference does implicitly); Cramér's V uses the same chi2.
     """
     by = list(by)
-    core = _chi_square_core(df, row_col, col_col, by, yates)
+    core = _chi_square_core(df, row_col, col_col, by, yates, count_col)
     core = core.withColumn("_p", F.when(F.col("dof") == 0, F.lit(1.0))
                            .otherwise(chi2_sf_col("_chi2", "dof")))
     v = _cramers_v_expr()
@@ -288,10 +292,10 @@ def chi_square_test(df: DataFrame, row_col: str, col_col: str, alpha: float = 0.
 
 
 def cramers_v(df: DataFrame, row_col: str, col_col: str, yates: bool = True,
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), count_col: str | None = None) -> DataFrame:
     """Cramér's V = sqrt(chi2 / (n (min(R, C) - 1))); 0.0 when a dimension is 1."""
     by = list(by)
-    core = _chi_square_core(df, row_col, col_col, by, yates)
+    core = _chi_square_core(df, row_col, col_col, by, yates, count_col)
     return core.select(*by, _cramers_v_expr().alias("cramers_v"))
 
 

@@ -169,3 +169,12 @@ def test_kendall_matches_brute_force(spark):
         assert abs(got - brute(x, y)) < 1e-12
     # exact null distribution: n = 5, at most 2 discordant pairs -> 2 * 14 / 120
     assert abs(kendall_p_exact(5, 2) - 28 / 120) < 1e-15
+
+
+def test_chi_square_from_contingency_table(spark):
+    rows = [("a", "x")] * 30 + [("a", "y")] * 10 + [("b", "x")] * 5 + [("b", "y")] * 25
+    raw = spark.createDataFrame(pd.DataFrame(rows, columns=["r", "c"]))
+    table = S.crosstab(raw, "r", "c")
+    a = S.chi_square_test(raw, "r", "c").toPandas().iloc[0]
+    b = S.chi_square_test(table, "r", "c", count_col="n").toPandas().iloc[0]
+    assert a["chi2"] == b["chi2"] and a["p_value"] == b["p_value"] and a["cramers_v"] == b["cramers_v"]
