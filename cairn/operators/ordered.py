@@ -240,7 +240,7 @@ def ntile_col(k: int, row_number: str = "row_number", total: str = "partition_ro
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), num_buckets: int | None = None,
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolation quantiles (``quantile_cont``/pandas ``quantile``).
 
     NULLs are ignored.  Values are first reduced to (value, count) pairs — a
@@ -249,8 +249,17 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     positions floor(h) and ceil(h), h = (n-1)p, are then picked by a range
     test, so the result has one row per group and one column per p, named
     ``<prefix>_<p>`` (e.g. ``q_0_25``).
+
+    ``approx=True`` (opt-in, for very large inputs where a rank error of
+    about 1/``accuracy`` is acceptable) uses ``percentile_approx`` instead: one
+    aggregate pass with a bounded sketch per group, no ordered pass.
     """
     by = list(by)
+    if approx:
+        names = [f"{prefix}_{str(p).replace('.', '_')}" for p in probs]
+        q = F.percentile_approx(F.col(value_col), [float(p) for p in probs], accuracy)
+        agg = df.where(F.col(value_col).isNotNull()).groupBy(*by).agg(q.alias("_qs"))
+        return agg.select(*by, *[F.col("_qs")[i].cast("double").alias(n) for i, n in enumerate(names)])
     counts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
     # value is unique within each group here, so it is its own tie-break

@@ -84,7 +84,8 @@ DESCRIBE_KEYS = ["count", "mean", "median", "std", "min", "q1", "q3", "max", "iq
 
 
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
-                     num_buckets: int | None = None, materialize: bool = False) -> DataFrame:
+                     num_buckets: int | None = None, materialize: bool = False,
+                     approx_quantiles: bool = False) -> DataFrame:
     """Extended describe: count, mean, median, std, min, q1, q3, max, IQR,
     IQR-fence outliers, bias-corrected skewness and excess kurtosis, missing.
 
@@ -94,6 +95,7 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
     missing ones.  ``materialize=True`` checkpoints the (narrow) input first —
     worth it when ``df`` is an expensive derived DataFrame, since the passes
     would otherwise recompute it; a plain table scan is cheaper to re-read.
+    ``approx_quantiles=True`` opts into ``percentile_approx`` for the quartiles.
     """
     by = list(by)
     x = nan_to_null(F.col(col).cast("double"))
@@ -106,7 +108,8 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
         F.stddev_pop("_x").alias("_sdp"),
         F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.skewness("_x").alias("_g1"), F.kurtosis("_x").alias("_g2"))
-    q = exact_quantiles(base, "_x", [0.25, 0.5, 0.75], by=by, num_buckets=num_buckets, prefix="q")
+    q = exact_quantiles(base, "_x", [0.25, 0.5, 0.75], by=by, num_buckets=num_buckets, prefix="q",
+                        approx=approx_quantiles)
     q = q.select(*by, F.col("q_0_25").alias("_q1"), F.col("q_0_5").alias("_med"),
                  F.col("q_0_75").alias("_q3"))
     fences = q.select(*by, (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),

@@ -91,3 +91,11 @@ def test_cohort_retention_by_hand(shop):
     # completed: c1 Jan+Mar, c2 Jan, c3 Jan -> cohort Jan size 3; month 2 active 1
     assert jan.set_index("months_since_first").loc[0, "cohort_size"] == 3
     assert jan.set_index("months_since_first").loc[2, "retention_pct"] == round(1 / 3 * 100, 1)
+
+
+
+def test_approx_distinct_opt_in(shop):
+    _, _, orders, items = shop
+    a = sales.monthly_revenue(orders, items).toPandas()
+    b = sales.monthly_revenue(orders, items, approx_distinct=True).toPandas()
+    assert list(a.unique_customers) == list(b.unique_customers)  # exact at this size

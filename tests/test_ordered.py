@@ -84,3 +84,11 @@ def test_default_ranges_coalesced_by_aqe(spark, skewed):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert (m.row_number == m.e_rn).all() and (m["rank"] == m.e_rank).all()
     assert np.allclose(m.running_w, m.e_run)
+
+
+
+def test_approx_quantiles_close_to_exact(spark, skewed):
+    ex = exact_quantiles(skewed, "w", [0.1, 0.5, 0.9], num_buckets=4).toPandas().iloc[0]
+    ap = exact_quantiles(skewed, "w", [0.1, 0.5, 0.9], approx=True).toPandas().iloc[0]
+    for c in ["q_0_1", "q_0_5", "q_0_9"]:
+        assert abs(ex[c] - ap[c]) < 0.01
