@@ -49,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     # right rows sort before left rows with the same timestamp
     u = lpart.unionByName(rpart).withColumn("_rs", F.lit(1) - F.col("_r"))
     ranked = ordered_window(u, ["_ts", "_rs"], tb, partition_by=by, sum_cols=["_r"],
-                            num_buckets=num_buckets)
+                            num_buckets=num_buckets, totals=not by)
     pos = F.col("running__r").cast("long").alias("_pos")
     lrows = ranked.where(F.col("_r") == 0).select(*by, pos, *[F.col("_lv_" + c).alias(c) for c in lcols])
     rrows = ranked.where(F.col("_r") == 1).select(*[F.col(k).alias("_k_" + k) for k in by],

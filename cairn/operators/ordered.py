@@ -95,6 +95,7 @@ def _local_numbering(part_cols: list[str], peer_cols: list[str], sum_cols: list[
         last_part = None          # partition-key tuple of the previous row
         last_peer = None          # order-key tuple of the previous row
         lrn = lrank = ldense = 0
+        seg_carry = -1            # index of the current partition-key segment in this range
         sums = {c: 0.0 for c in sum_cols}
         for pdf in batches:
             n = len(pdf)
@@ -119,9 +120,12 @@ def _local_numbering(part_cols: list[str], peer_cols: list[str], sum_cols: list[
                 v = pd.Series(pd.to_numeric(pdf[col], errors="coerce").astype(float)).fillna(0.0)
                 cs = v.groupby(seg).cumsum().to_numpy() + np.where(carried, sums[col], 0.0)
                 out["_lsum_" + col] = cs
+            segidx = seg_carry + np.cumsum(new_part)
             out["_lrn"] = pos.astype(np.int64)
             out["_lrank"] = rank
             out["_ldense"] = dense.astype(np.int64)
+            out["_seg"] = segidx.astype(np.int64)
+            seg_carry = int(segidx[-1])
             lrn, lrank, ldense = int(pos[-1]), int(rank[-1]), int(dense[-1])
             for col in sum_cols:
                 sums[col] = float(out["_lsum_" + col].iloc[-1])
@@ -134,7 +138,7 @@ def _local_numbering(part_cols: list[str], peer_cols: list[str], sum_cols: list[
 
 def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
                    partition_by: Sequence[str] = (), sum_cols: Sequence[str] = (),
-                   num_buckets: int | None = None) -> DataFrame:
+                   num_buckets: int | None = None, totals: bool = True) -> DataFrame:
     """Add global window numbers to ``df``.
 
     Args:
@@ -153,6 +157,14 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
 
     Adds ``row_number``, ``rank``, ``dense_rank``, ``partition_rows`` and, for
     each sum column, ``running_<col>`` and ``partition_sum_<col>``.
+
+    ``totals=False`` (with ``partition_by``) skips the partition totals
+    (``partition_rows``, ``partition_sum_*`` are not returned).  Then only the
+    first and last partition-key segment of each range take part in the
+    offset computation (a key that continues across ranges is the last one
+    of the earlier range and the first one of the later), and the offsets are
+    joined back by range id: at most one row per range, broadcast.  Use it
+    for high-cardinality PARTITION BY keys (e.g. per customer).
     """
     spark = df.sparkSession
     order = _norm_order(order_by)
@@ -173,7 +185,7 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
 
     out_fields = list(ranged.schema.fields) + [
         T.StructField("_lrn", T.LongType()), T.StructField("_lrank", T.LongType()),
-        T.StructField("_ldense", T.LongType())] + [
+        T.StructField("_ldense", T.LongType()), T.StructField("_seg", T.LongType())] + [
         T.StructField("_lsum_" + c, T.DoubleType()) for c in sum_cols]
     local = ranged.mapInPandas(_local_numbering(part_cols, peer_cols, sum_cols),
                                T.StructType(out_fields))
@@ -189,6 +201,16 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
     aggs += [F.max_by(F.col("_lsum_" + c), F.col("_lrn")).alias("_tot_" + c) for c in sum_cols]
     summary = local.groupBy("_b", *part_cols).agg(*aggs)
 
+    fast = part_cols and not totals
+    if fast:
+        aggs.append(F.max("_seg").alias("_segno"))
+        summary = local.groupBy("_b", *part_cols).agg(*aggs)
+        last_seg = summary.groupBy("_b").agg(F.max("_segno").alias("_lastseg"))
+        # at most two segments per range can cross a range boundary
+        summary = (summary.join(F.broadcast(last_seg), "_b")
+                   .where((F.col("_segno") == 0) | (F.col("_segno") == F.col("_lastseg")))
+                   .drop("_lastseg"))
+
     w = Window.partitionBy(*[F.col(c) for c in part_cols]).orderBy("_b")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     summary = (summary
@@ -208,6 +230,32 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
     ] + [F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols] + [
         F.sum("_tot_" + c).over(Window.partitionBy(*[F.col(c) for c in part_cols])).alias("partition_sum_" + c)
         for c in sum_cols]
+    if fast:
+        # windows are evaluated before the filter: compute on all kept segments, then keep the first ones
+        first = (summary.select(
+            "_b", "_segno",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rn_off"),
+            F.coalesce(F.sum(F.col("_dist") - F.col("_cont")).over(before), F.lit(0)).alias("_dense_off"),
+            F.col("_cont"),
+            F.when(F.col("_cont") == 1, F.lag("_cum_tail").over(w)).otherwise(F.lit(0)).alias("_carry"),
+            *[F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols])
+            .where(F.col("_segno") == 0).drop("_segno").withColumnRenamed("_b", "_ob"))
+        # one row per range: a bounded broadcast
+        joined = local.join(F.broadcast(first), F.col("_b") == F.col("_ob"), "left")
+        in_first = F.col("_seg") == 0
+
+        def off(c, zero):
+            return F.when(in_first, F.coalesce(F.col(c), zero)).otherwise(zero)
+
+        rn_off, dense_off = off("_rn_off", F.lit(0)), off("_dense_off", F.lit(0))
+        cont, carry = off("_cont", F.lit(0)), off("_carry", F.lit(0))
+        return joined.select(
+            *[F.col(c) for c in df.columns],
+            (rn_off + F.col("_lrn")).alias("row_number"),
+            (rn_off + F.col("_lrank") - F.when(F.col("_lrank") == 1, carry).otherwise(F.lit(0))).alias("rank"),
+            (dense_off + F.col("_ldense") - cont).alias("dense_rank"),
+            *[(off("_off_" + c, F.lit(0.0)) + F.col("_lsum_" + c)).alias("running_" + c) for c in sum_cols])
+
     offsets = summary.select(*cols)
 
     cond = [F.col("_b") == F.col("_ob")] + [F.col(c).eqNullSafe(F.col("_op_" + c)) for c in part_cols]
@@ -264,7 +312,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
     # value is unique within each group here, so it is its own tie-break
     ranked = ordered_window(counts, [value_col], [], partition_by=by,
-                            sum_cols=["_cnt"], num_buckets=num_buckets)
+                            sum_cols=["_cnt"], num_buckets=num_buckets, totals=not by)
     # running__cnt = rows with value <= this value; rows before = that - cnt
     cum_hi = F.col("running__cnt").cast("long")
     cum_lo = cum_hi - F.col("_cnt")

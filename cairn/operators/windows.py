@@ -20,7 +20,9 @@ def sequence(df: DataFrame, partition_by: Sequence[str], order_by: Sequence, tie
              num_buckets: int | None = None) -> DataFrame:
     """Add ``row_number`` and ``lead_<c>`` / ``lag_<c>`` (offset 1) columns."""
     part = list(partition_by)
-    r = ordered_window(df, order_by, tiebreak, partition_by=part, num_buckets=num_buckets)
+    # no partition totals needed: offsets are joined back per range (broadcast)
+    r = ordered_window(df, order_by, tiebreak, partition_by=part, num_buckets=num_buckets,
+                       totals=not part)
     r = r.drop("rank", "dense_rank", "partition_rows")
     out = r
     for shift, cols, prefix in ((1, lead_cols, "lead_"), (-1, lag_cols, "lag_")):

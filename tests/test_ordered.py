@@ -92,3 +92,22 @@ def test_approx_quantiles_close_to_exact(spark, skewed):
     ap = exact_quantiles(skewed, "w", [0.1, 0.5, 0.9], approx=True).toPandas().iloc[0]
     for c in ["q_0_1", "q_0_5", "q_0_9"]:
         assert abs(ex[c] - ap[c]) < 0.01
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 31])
+def test_partitioned_without_totals_matches_plain_window(spark, skewed, buckets):
+    # many small partition keys plus one hot key, so ranges hold many segments
+    df = skewed.withColumn("k2", F.when(F.col("k") == "hot", F.lit("hot")).otherwise(
+        F.concat(F.col("k"), (F.col("id") % 97).cast("string"))))
+    res = ordered_window(df, [("v", True)], ["id"], partition_by=["k2"], sum_cols=["w"],
+                         num_buckets=buckets, totals=False)
+    assert "partition_rows" not in res.columns
+    w = W.partitionBy("k2").orderBy(F.col("v").asc_nulls_last(), "id")
+    wr = W.partitionBy("k2").orderBy(F.col("v").asc_nulls_last())
+    ref = df.select("id", F.row_number().over(w).alias("e_rn"), F.rank().over(wr).alias("e_rank"),
+                    F.dense_rank().over(wr).alias("e_dense"),
+                    F.sum("w").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("e_run"))
+    m = res.join(ref, "id").toPandas()
+    assert len(m) == 3000
+    assert (m.row_number == m.e_rn).all() and (m["rank"] == m.e_rank).all()
+    assert (m.dense_rank == m.e_dense).all() and np.allclose(m.running_w, m.e_run)
