@@ -111,3 +111,19 @@ def test_partitioned_without_totals_matches_plain_window(spark, skewed, buckets)
     assert len(m) == 3000
     assert (m.row_number == m.e_rn).all() and (m["rank"] == m.e_rank).all()
     assert (m.dense_rank == m.e_dense).all() and np.allclose(m.running_w, m.e_run)
+
+
+@pytest.mark.parametrize("totals", [True, False])
+def test_null_partition_keys_and_values(spark, totals):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"id": np.arange(600), "k": rng.choice(["a", "b", None], 600),
+                        "v": rng.choice([1.0, 2.0, np.nan], 600)})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    res = ordered_window(df, ["v"], ["id"], partition_by=["k"], num_buckets=9, totals=totals)
+    w = W.partitionBy("k").orderBy(F.col("v").asc_nulls_last(), "id")
+    wr = W.partitionBy("k").orderBy(F.col("v").asc_nulls_last())
+    ref = df.select("id", F.row_number().over(w).alias("e_rn"), F.rank().over(wr).alias("e_rank"),
+                    F.dense_rank().over(wr).alias("e_dense"))
+    m = res.join(ref, "id").toPandas()
+    assert len(m) == 600
+    assert (m.row_number == m.e_rn).all() and (m["rank"] == m.e_rank).all() and (m.dense_rank == m.e_dense).all()
