@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import op3_token_counts, op4_sharding, op5_packing, op9_binary
+from cairn.llm import (op1_ann, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_fingerprints,
+                       op7_simhash, op8_html, op9_binary, op10_mixing)
 from cairn.llm.common import read
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return op2_toxicity.score(docs, op2_toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits: the first 64 characters again
     at a quarter, a tenth (200 characters at most) cut at the middle, and 40 characters in upper
@@ -36,15 +46,42 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "partition_bins", "partition_bound")
 
 
+def op6_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+def op7_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = op7_simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, radius=4)
+    bits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return got.select("doc_id", bits.alias("fingerprint"), "component_id")
+
+
+def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_html.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_binary.round_trip(read(spark, sf_dir, "documents"), end_id=2)
 
 
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for the target weights of language and quality domains."""
+    docs = read(spark, sf_dir, "documents")
+    labelled = op10_mixing.quality_domains(docs, read(spark, sf_dir, "labels"))
+    return op10_mixing.mix(docs, labelled, op10_mixing.TARGETS)
+
+
 QUERIES = {
+    "op1_cross_polytope": op1_cross_polytope,
+    "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_token_counts": op3_token_counts_query,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_best_fit": op5_best_fit,
+    "op6_ctph": op6_ctph,
+    "op7_vp_simhash": op7_vp_simhash,
+    "op8_tag_paths": op8_tag_paths,
     "op9_simple8b": op9_simple8b,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
