@@ -19,6 +19,7 @@ labelled row posteriors are even; rows with a null id are rated too; an empty ta
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,9 +81,9 @@ def with_posteriors(df: DataFrame, model: list[list[float]]) -> DataFrame:
     shifted = logs.withColumn("__top", top).withColumns({f"__e{i}": F.exp(F.col(f"__l{i}") - F.col("__top"))
                                                          for i in range(k)})
     total = reduce(lambda a, b: a + b, [F.col(f"__e{i}") for i in range(k)])
-    normed = shifted.withColumn("__sum", total).withColumns({f"__p{i}": F.col(f"__e{i}") / F.col("__sum")
+    normed = shifted.withColumn("__whole", total).withColumns({f"__p{i}": F.col(f"__e{i}") / F.col("__whole")
                                                              for i in range(k)})
-    return normed.drop("__top", "__sum", *[f"__{x}{i}" for x in "tle" for i in range(k)])
+    return normed.drop("__top", "__whole", *[f"__{x}{i}" for x in "tle" for i in range(k)])
 
 
 def rate(steps: list[list[float]], k: int, ridge: float, least: float) -> Column:
@@ -137,21 +138,25 @@ def copies(rate_col: Column, id_col: Column) -> Column:
     return F.floor(rate_col + even).cast("int")
 
 
+def row_key() -> dict[str, Column]:
+    """Hashes that name a row by its id and text, nulls included."""
+    return {"__row": F.xxhash64("doc_id", "text"), "__sum": F.crc32(F.coalesce(F.col("text"), F.lit("")))}
+
+
+@dataclass
 class Mixture:
     """A fitted classifier and the steps of the fitted rates."""
 
-    def __init__(self, domains: list[str], model: list[list[float]], steps: list[list[float]], ridge: float, least: float):
-        self.domains, self.model, self.steps, self.ridge, self.least = domains, model, steps, ridge, least
-
-    def rates(self, df: DataFrame) -> DataFrame:
-        """``df`` (with __tokens and __bins) with posteriors and __rate."""
-        k = len(self.domains)
-        return with_posteriors(df, self.model).withColumn("__rate", rate(self.steps, k, self.ridge, self.least))
+    domains: list[str]
+    model: list[list[float]]
+    steps: list[list[float]]
+    ridge: float
+    least: float
 
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = -1.0,
         least_rate: float = 0.0, ridge: float = 0.01, softness: float = 4.0) -> tuple[Mixture, DataFrame]:
-    """The mixture, and the table (doc_id, __tokens, __bins, posteriors) that it was fitted on.
+    """The mixture, and the table (doc_id, row key, __tokens, __bins, posteriors) that it was fitted on.
 
     ``targets``: each domain's share of all tokens (scaled to 1).  ``total``: tokens aimed at; -1 for
     as many as there are, None for the least for which no domain must shrink.  ``softness`` divides
@@ -160,7 +165,8 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     domains = sorted(targets)
     scale = sum(targets.values())
     shares = [targets[d] / scale for d in domains]
-    table = materialize(with_features(docs.select("doc_id", "text")).select("doc_id", "__tokens", "__bins"), "bins")
+    rows = with_features(docs.select("doc_id", "text")).withColumns(row_key())
+    table = materialize(rows.select("doc_id", "__row", "__sum", "__tokens", "__bins"), "bins")
     model = fit_classifier(table, labelled, domains, softness)
     scored = materialize(with_posteriors(table, model), "posteriors")
     if total == -1.0:
@@ -182,11 +188,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how)
 
 
 def remix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how) -> DataFrame:
-    """``docs`` with each row as many times as its rate says; all columns as they are."""
-    m, _ = fit(docs, labelled, targets, **how)
-    rated = m.rates(with_features(docs)).withColumn("__copies", copies(F.col("__rate"), F.col("doc_id")))
-    return rated.filter(F.col("__copies") > 0) \
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """``docs`` with each row as many times as its rate says; all columns as they are.
+
+    Only rows with other than one copy are looked up, by hashes of the id and the text.
+    """
+    m, scored = fit(docs, labelled, targets, **how)
+    rates = rate(m.steps, len(m.domains), m.ridge, m.least)
+    counted = scored.withColumn("__copies", copies(rates, F.col("doc_id"))).select("__row", "__sum", "__copies")
+    other = materialize(counted.filter("__copies != 1").distinct(), "copies")
+    rows = docs.withColumns(row_key()).join(other, ["__row", "__sum"], "left") \
+        .withColumn("__copies", F.coalesce("__copies", F.lit(1))).filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def quality_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
