@@ -99,6 +99,27 @@ class CountedText:
         return len(new)
 
 
+def _known(row: tuple) -> list[str]:
+    """A row's text at its segments' lengths."""
+    out, at = [], 0
+    for n in row[3]:
+        out.append((row[1] or "")[at:at + n])
+        at += n
+    return out
+
+
+def _counts(tok: WordTokenizer, parts: list[list[str]]) -> list[list[int]]:
+    """Token counts of the segments of many texts."""
+    sizes: list[int] = []
+    for _, _, _, at in tok.batch(pa.array([p for x in parts for p in x], pa.large_string())):
+        sizes += [(y - x) // 4 for x, y in zip(at, at[1:])]
+    out, i = [], 0
+    for x in parts:
+        out.append(sizes[i:i + len(x)])
+        i += len(x)
+    return out
+
+
 def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int32()),
               ("edited_chars", pa.int64()), ("edited_tokens", pa.int64()), ("recounted_chars", pa.int64())]
@@ -118,16 +139,13 @@ def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool
         tok = WordTokenizer.of(tokenizer_path)
         for b in batches:
             out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))))
+            cut = [_known(r) if known and r[3] else segments(r[1] or "") for r in rows]
+            counts_of = _counts(tok, [[] if known and r[3] else c for r, c in zip(rows, cut)])
+            for row, parts, counts in zip(rows, cut, counts_of):
                 doc, text, edits = row[0], row[1] or "", row[2] or []
                 if known and row[3]:
-                    parts, counts, at = [], row[4], 0
-                    for n in row[3]:
-                        parts.append(text[at:at + n])
-                        at += n
-                else:
-                    parts = segments(text)
-                    counts = [tok.count(p) for p in parts]
+                    counts = row[4]
                 tree = CountedText(parts, counts)
                 n, again = tree.tokens[1], 0
                 for e in edits:

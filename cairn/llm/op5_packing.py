@@ -45,12 +45,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         first = TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = tok.ids(text) + end
-                n += 1
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at:at + step]
-                    out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), first + n))
+            names = b.column(0).to_pylist()
+            for low, high, ids, places in tok.batch(b.column(1)):
+                for doc, x, y in zip(names[low:high], places, places[1:]):
+                    n += 1
+                    own = ids[x:y] + end
+                    for i, at in enumerate(range(0, len(own), step)):
+                        part = own[at:at + step]
+                        out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), first + n))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)]
                                              if out else [pa.array([], t.type) for t in schema], schema=schema)
 
