@@ -15,7 +15,13 @@ from cairn.session import checkpoint_dir
 _ROOTS: dict[str, str] = {}
 
 
+#: Rows in a batch that tasks exchange with Python: texts are long, Spark's 10,000 are for numbers.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

@@ -34,7 +34,7 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 #: Words between two stored id offsets.
 STRIDE = 1024
 #: A block is closed when it has this many ids.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 
 BLOCK = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()),
                    ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
@@ -124,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     """Encode every document and write the blocks to ``path``, in ascending ``doc_id`` order."""
     spark, file = docs.sparkSession, tokenizer_path or default_path()
     n = docs.count()
-    tasks = partitions_for(spark, n, 4 * docs_per_range)
+    tasks = partitions_for(spark, n, 2 * docs_per_range)
     placed = range_buckets(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", -(-n // docs_per_range) or 1)
     ordered = placed.repartition(tasks, "__bucket").sortWithinPartitions("__bucket", "doc_id", "text") \
         .select("__bucket", "doc_id", "text")
@@ -133,15 +133,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
         tok, end = WordTokenizer.of(file), end_id.to_bytes(4, "little")
         now, block, before, size, ids, names = None, 0, 0, 0, [], []
         for b in batches:
-            for range_, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if ids and (range_ != now or size >= BLOCK_IDS):
-                    yield _rows([_block(now, block, before, names, ids)])
-                    block, before, size, ids, names = block + 1, before + size, 0, [], []
-                if range_ != now:
-                    now, block, before = range_, 0, 0
-                ids.append(tok.ids(text) + end)
-                names.append(doc)
-                size += len(ids[-1]) // 4
+            ranges, docs_ = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for low, high, got, places in tok.batch(b.column(2)):
+                for range_, doc, x, y in zip(ranges[low:high], docs_[low:high], places, places[1:]):
+                    if ids and (range_ != now or size >= BLOCK_IDS):
+                        yield _rows([_block(now, block, before, names, ids)])
+                        block, before, size, ids, names = block + 1, before + size, 0, [], []
+                    if range_ != now:
+                        now, block, before = range_, 0, 0
+                    ids.append(got[x:y] + end)
+                    names.append(doc)
+                    size += len(ids[-1]) // 4
         if ids:
             yield _rows([_block(now, block, before, names, ids)])
 
@@ -154,24 +156,25 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     sums = blocks.groupBy("range").agg(F.sum("n_ids").alias("__ids"))
     # one row per range of thousands of documents
     ranges = sums.select("range", (F.sum("__ids").over(Window.orderBy("range")) - F.col("__ids")).alias("__first"))
-    placed = blocks.join(ranges, "range").select((F.col("__first") + F.col("ids_before")).alias("first"),
-                                                 "doc_ids", "lengths", "words", "escapes")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
+    schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()),
                         ("ids_crc32", pa.int64())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                first, docs, lengths, words, escapes = (b.column(c)[i].as_py() for c in range(5))
+                range_, before, docs, lengths, words, escapes = (b.column(c)[i].as_py() for c in range(6))
                 ids = decode(np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8")).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 sums = [zlib.crc32(ids[4 * x:4 * y]) for x, y in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + first, pa.int64()),
-                                                  pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
-                                                 schema=schema)
-
-    return placed.mapInArrow(expand, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                yield pa.RecordBatch.from_arrays([pa.array([range_] * len(docs), pa.int32()), pa.array(docs, pa.int64()),
+                                                  pa.array(begins + before, pa.int64()), pa.array(lengths, pa.int64()),
+                                                  pa.array(sums, pa.int64())], schema=schema)
+
+    decoded = blocks.select("range", "ids_before", "doc_ids", "lengths", "words", "escapes").mapInArrow(
+        expand, "range int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return decoded.join(ranges, "range").select("doc_id", (F.col("__first") + F.col("place")).alias("start"),
+                                                "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
