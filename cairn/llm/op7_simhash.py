@@ -158,8 +158,8 @@ def _shard_links(radius: int):
     return links
 
 
-def links(prints: DataFrame, radius: int = 4, leaf: int = 8192, sample: int = 200_000,
-          block: int = 32_768) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, leaf: int = 32_768, sample: int = 200_000,
+          block: int = 65_536) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that span every group within ``radius``.
 
     ``sample`` bounds the fingerprints that the tree's upper levels are fitted on; every
