@@ -46,14 +46,27 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
             .orderBy("cohort_month", "months_since_first"))
 
 
-def cohort_matrix(retention: DataFrame) -> DataFrame:
-    """Pivot: one row per cohort (``yyyy-MM``), one ``Month k`` column per period.
+def cohort_grid(retention: DataFrame) -> DataFrame:
+    """The cohort matrix in long form: one row per cohort (``yyyy-MM``) and period (``Month k``) that
+    any cohort has, with NULL where that cohort has no such period.
+
+    A cohort's cells are one map (a cell per calendar month at most), so the set of periods is
+    gathered from as many rows as there are cohorts.
+    """
+    cells = retention.groupBy("cohort_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("months_since_first", "retention_pct"))).alias("cells"))
+    periods = F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells")).over(Window.partitionBy())))
+    return (cells.withColumn("periods", periods).withColumn("k", F.explode("periods"))
+            .select(month_label("cohort_month").alias("cohort"),
+                    F.concat(F.lit(PERIOD_LABEL_PREFIX), F.col("k").cast("string")).alias("period"),
+                    F.col("cells")[F.col("k")].alias("retention_pct")))
+
+
+def cohort_matrix(retention: DataFrame, periods: list[int]) -> DataFrame:
+    """Pivot: one row per cohort (``yyyy-MM``), one ``Month k`` column for each of ``periods``.
 
     Cells are the mean retention (one value per cell); absent cells are NULL.
-    The period list is read first (at most one value per calendar month) and
-    passed to ``pivot`` explicitly.
     """
-    periods = sorted(r[0] for r in retention.select("months_since_first").distinct().collect())
     labels = [f"{PERIOD_LABEL_PREFIX}{p}" for p in periods]
     src = retention.select(month_label("cohort_month").alias("cohort"),
                            F.concat(F.lit(PERIOD_LABEL_PREFIX), F.col("months_since_first").cast("string"))

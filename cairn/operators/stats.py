@@ -166,8 +166,8 @@ def _two_sample_moments(df: DataFrame, value_col: str, group_col: str, group_a,
 
 def _cohens_d_expr() -> Column:
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    pooled = F.sqrt(F.try_divide((na - 1) * F.coalesce(F.col("v_a"), F.lit(0.0))
-                                 + (nb - 1) * F.coalesce(F.col("v_b"), F.lit(0.0)), na + nb - 2))
+    # a group of one value has no variance: pooled is NULL and the effect 0.0
+    pooled = F.sqrt(F.try_divide((na - 1) * F.col("v_a") + (nb - 1) * F.col("v_b"), na + nb - 2))
     return F.when(pooled > 0, (F.col("m_a") - F.col("m_b")) / pooled).otherwise(F.lit(0.0))
 
 

@@ -90,7 +90,7 @@ def q_cohort_retention(spark, sf_dir):
 
 
 def q_cohort_matrix(spark, sf_dir):
-    return cohort.cohort_matrix(cohort.cohort_retention(_t(spark, sf_dir).orders()))
+    return cohort.cohort_grid(cohort.cohort_retention(_t(spark, sf_dir).orders()))
 
 
 def q_retention_curve(spark, sf_dir):

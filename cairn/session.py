@@ -49,8 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses ``spark.checkpoint.dir`` when the cluster names one (a shared
     folder).  Only a local-mode session without that setting (tests, local
-    benchmarks) gets a fresh scratch folder; a cluster session without it
-    falls back to a folder under the (shared) warehouse directory.
+    benchmarks) gets a fresh scratch folder; elsewhere it must be set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,10 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if sc.master.startswith("local"):
-            path = tempfile.mkdtemp(prefix="cairn-ckpt-", dir="/tmp")
-        else:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir")
-            path = warehouse.rstrip("/") + "/_cairn_checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="cairn-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.session import get_session
 
-# Rows a caller may pull to the driver with :func:`to_pandas_bounded`.
-DEFAULT_COLLECT_LIMIT = 1_000_000
-
 
 def session(db_path: str | None = None) -> SparkSession:
     """The session handle.  ``db_path`` (optional) becomes the warehouse
@@ -106,7 +103,7 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def to_pandas_bounded(df: DataFrame, limit: int = DEFAULT_COLLECT_LIMIT) -> pd.DataFrame:
+def to_pandas_bounded(df: DataFrame, limit: int) -> pd.DataFrame:
     """Materialise a *bounded* result on the driver; refuses results over ``limit`` rows."""
     head = df.limit(limit + 1).toPandas()
     if len(head) > limit:

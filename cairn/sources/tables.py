@@ -36,33 +36,13 @@ STATUS_BY_CODE = {"F": "completed", "O": "returned"}
 OTHER_STATUS = "cancelled"
 
 
-# Table DataFrames already defined in a session (lazy plans, no data): a table
-# is listed and its parquet footers read once per session, not once per query.
-_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READ_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READ_CACHE[key] = df
-    return df
-
-
-_CHECKED_DIMS: dict[tuple[int, str], DataFrame] = {}
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation (25 rows in TPC-H), size-checked once per session before it is broadcast."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    df = _CHECKED_DIMS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                                max_rows=10_000)
-        _CHECKED_DIMS[key] = df
-    return df
+    """nation (25 rows in TPC-H), size-checked before it is broadcast."""
+    return broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), max_rows=10_000)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

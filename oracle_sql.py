@@ -335,11 +335,10 @@ SELECT * FROM retention ORDER BY cohort_month, months_since_first
 """
 
 SQL["cohort_matrix"] = RETENTION + """
-SELECT * FROM (
-    PIVOT (SELECT strftime(cohort_month, '%Y-%m') AS cohort,
-                  'Month ' || months_since_first AS period, retention_pct FROM retention)
-    ON period USING avg(retention_pct) GROUP BY cohort
-) ORDER BY cohort
+SELECT strftime(c.cohort_month, '%Y-%m') AS cohort, 'Month ' || p.k AS period, r.retention_pct
+FROM (SELECT DISTINCT cohort_month FROM retention) c
+CROSS JOIN (SELECT DISTINCT months_since_first AS k FROM retention) p
+LEFT JOIN retention r ON r.cohort_month = c.cohort_month AND r.months_since_first = p.k
 """
 
 # mean over integer tenths (retention_pct has one decimal): exact in both engines

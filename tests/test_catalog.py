@@ -20,7 +20,7 @@ def test_load_and_count(spark):
 
 def test_filter_returns_dataframe(spark):
     catalog.load_dataframe(spark, SAMPLE, "t_filter")
-    res = catalog.to_pandas_bounded(catalog.query(spark, "SELECT name, score FROM t_filter WHERE score > 80"))
+    res = catalog.to_pandas_bounded(catalog.query(spark, "SELECT name, score FROM t_filter WHERE score > 80"), limit=10)
     assert isinstance(res, pd.DataFrame)
     assert len(res) == 2
 
