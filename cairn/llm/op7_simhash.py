@@ -139,13 +139,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray
 
 def _shard_links(radius: int):
     def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Spanning links of one shard's part: its home points against its home points and visitors."""
+        """Spanning links of one shard's part: the points that ask in part i, home points or
+        visitors, against the home points that answer in part j."""
         _, i, j = (int(k) for k in key)
         rows = rows.sort_values("fp", kind="stable")
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        home, part = rows["home"].to_numpy(bool), rows["part"].to_numpy(np.int64)
-        base = np.flatnonzero(home & (part == j))
-        ask = np.flatnonzero(part == i)
+        base = np.flatnonzero(rows["home"].to_numpy(bool) & (rows["answers"].to_numpy(np.int64) == j))
+        ask = np.flatnonzero(rows["asks"].to_numpy(np.int64) == i)
         root = np.arange(len(fp))
         for at in range(0, len(ask), 512):
             block = ask[at:at + 512]
@@ -159,12 +159,13 @@ def _shard_links(radius: int):
 
 
 def links(prints: DataFrame, radius: int = 4, leaf: int = 32_768, sample: int = 200_000,
-          block: int = 65_536) -> DataFrame:
+          block: int = 65_536, ask_block: int = 131_072) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that span every group within ``radius``.
 
     ``sample`` bounds the fingerprints that the tree's upper levels are fitted on; every
-    fingerprint is then routed.  A shard with more than ``block`` points is worked on in pairs of
-    its parts, so that no task holds more than two parts.
+    fingerprint is then routed.  A shard's home points answer in parts of about ``block``, all its
+    points ask in parts of about ``ask_block`` (askers pass by 512 at a time), and a task holds one
+    part of each, so its memory is bounded whatever the size of a shard.
     """
     spark = prints.sparkSession
     n = prints.count()
@@ -182,18 +183,21 @@ def links(prints: DataFrame, radius: int = 4, leaf: int = 32_768, sample: int =
                                              schema=schema)
 
     routed = materialize(prints.select("fp").mapInArrow(route, "fp long, shard int, home boolean"), "routed")
-    # parts of a shard: about ``block`` points each; the list has one row per large shard
-    large = (routed.groupBy("shard").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
-             .select("shard", F.ceil(F.col("__n") / block).cast("int").alias("parts")))
-    sized = routed.join(F.broadcast(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) \
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # a point asks every part (as ``i``) and, at home, answers every part (as ``j``)
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    mixed = F.transform(others, lambda o: F.struct(F.col("part").alias("i"), o.alias("j")))
-    answers = F.transform(others, lambda o: F.struct(o.alias("i"), F.col("part").alias("j")))
-    meet = F.array_distinct(F.when(F.col("home"), F.concat(mixed, answers)).otherwise(mixed))
-    dealt = sized.select("fp", "home", "part", "shard", F.explode(meet).alias("m")) \
-        .select("fp", "home", "part", "shard", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
+    # the list has one row per shard that is cut into parts
+    large = (routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ask_block).cast("int").alias("m"),
+                                         F.greatest(F.lit(1), F.ceil(F.count_if("home") / block)).cast("int").alias("n"))
+             .filter((F.col("m") > 1) | (F.col("n") > 1)))
+    sized = routed.join(F.broadcast(large), "shard", "left").withColumns(
+        {"m": F.coalesce("m", F.lit(1)), "n": F.coalesce("n", F.lit(1))}).withColumns(
+        {"asks": F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"),
+         "answers": F.pmod(F.xxhash64("fp", F.lit(2)), F.col("n")).cast("int")})
+    # a point asks every part of the home points and, at home, answers every part of the askers
+    ask = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.col("asks").alias("i"), o.alias("j")))
+    answer = F.transform(F.sequence(F.lit(0), F.col("m") - 1),
+                         lambda o: F.struct(o.alias("i"), F.col("answers").alias("j")))
+    meet = F.array_distinct(F.when(F.col("home"), F.concat(ask, answer)).otherwise(ask))
+    dealt = sized.select("fp", "home", "asks", "answers", "shard", F.explode(meet).alias("p")) \
+        .select("fp", "home", "asks", "answers", "shard", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
     return dealt.groupBy("shard", "i", "j").applyInPandas(_shard_links(radius), "a long, b long")
 
 

@@ -117,7 +117,7 @@ def test_tree_shards_and_parts_lose_no_link(spark):
     signed = np.array(points, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     found = {x.node: x.component for x in
-             components(op7_simhash.links(df, leaf=64, sample=200, block=50)).collect()}
+             components(op7_simhash.links(df, leaf=64, sample=200, block=50, ask_block=90)).collect()}
     groups = simple_groups(points)
     size = {g: groups.count(g) for g in groups}
     for p, g in zip(signed, groups):
