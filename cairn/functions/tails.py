@@ -33,6 +33,9 @@ LANCZOS_COEFFS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
                   -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
 
 FPMIN = 1e-300
+#: From this shape on the incomplete gamma comes from its uniform expansion: series and fraction
+#: need about 8 sqrt(shape) steps, so GAMMA_STEPS are enough below it.
+UNIFORM_FROM = 5000.0
 BETA_STEPS = 400
 GAMMA_STEPS = 1000
 
@@ -121,8 +124,40 @@ def betainc(a: str, b: str, x: str, steps: int = BETA_STEPS) -> str:
                 swapped)
 
 
+def _gamma_q_uniform(s: str, x: str) -> str:
+    """Q(s, x) for large s: the normal tail of eta sqrt(s) and two terms of the uniform
+    expansion in 1/s, eta^2 / 2 = mu - ln(1 + mu), mu = x/s - 1; the rest is below 1e-8."""
+
+    def with_half(r):
+        mu = r["mu"]
+        series = " + ".join(f"({(-1) ** k / k!r}D) * pow({mu}, {k})" for k in range(2, 16))
+        half = f"CASE WHEN abs({mu}) < 0.1D THEN {series} ELSE {mu} - log1p({mu}) END"
+        return _let({"s": r["s"], "mu": mu, "half": half},
+                    lambda w: _let({"s": w["s"], "mu": w["mu"], "half": w["half"],
+                                    "eta": f"signum({w['mu']}) * sqrt(2.0D * {w['half']})"}, terms))
+
+    def terms(r):
+        a, mu, half, eta = r["s"], r["mu"], r["half"], r["eta"]
+        c0 = (f"CASE WHEN abs({eta}) < 0.01D THEN -1.0D / 3.0D + {eta} / 12.0D - 2.0D * {eta} * {eta} / 135.0D "
+              f"ELSE 1.0D / {mu} - 1.0D / {eta} END")
+        c1 = (f"CASE WHEN abs({eta}) < 0.1D THEN -1.0D / 540.0D - {eta} / 288.0D + {eta} * {eta} / 378.0D "
+              f"ELSE 1.0D / pow({eta}, 3) - 1.0D / pow({mu}, 3) - 1.0D / pow({mu}, 2) - 1.0D / (12.0D * {mu}) END")
+        tail = f"0.5D * {_gamma_q_steps('0.5D', f'{a} * {half}', GAMMA_STEPS)}"
+        return (f"greatest(0.0D, (CASE WHEN {mu} >= 0 THEN {tail} ELSE 1.0D - {tail} END) + exp(-{a} * {half}) "
+                f"/ sqrt({_d(2 * math.pi)} * {a}) * (({c0}) + ({c1}) / {a}))")
+
+    return _let({"s": s, "mu": f"({x} - {s}) / {s}"}, with_half)
+
+
 def gamma_q(s: str, x: str, steps: int = GAMMA_STEPS) -> str:
     """Regularized upper incomplete gamma Q(s, x), s >= 0.5."""
+    return _let({"s": f"CAST({s} AS DOUBLE)", "x": f"CAST({x} AS DOUBLE)"},
+                lambda r: (f"CASE WHEN {r['s']} >= {_d(UNIFORM_FROM)} AND {r['x']} > 0 "
+                           f"THEN {_gamma_q_uniform(r['s'], r['x'])} ELSE {_gamma_q_steps(r['s'], r['x'], steps)} END"))
+
+
+def _gamma_q_steps(s: str, x: str, steps: int) -> str:
+    """Q(s, x) by ``steps`` terms of the series or the continued fraction."""
 
     def body(r):
         s_, x_ = r["s"], r["x"]
@@ -174,7 +209,7 @@ def chi2_sf(x: str, k: str) -> str:
 def norm_sf(z: str) -> str:
     def body(r):
         zz = r["z"]
-        q = gamma_q("0.5D", f"{zz} * {zz} / 2.0D")
+        q = _gamma_q_steps("0.5D", f"{zz} * {zz} / 2.0D", GAMMA_STEPS)
         return (f"CASE WHEN {zz} IS NULL OR isnan({zz}) THEN CAST(NULL AS DOUBLE) "
                 f"WHEN {zz} >= 0 THEN 0.5D * {q} ELSE 1.0D - 0.5D * {q} END")
     return _let({"z": f"CAST({z} AS DOUBLE)"}, body)

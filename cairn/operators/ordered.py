@@ -9,7 +9,7 @@ with the data spread over many tasks:
    and a sort inside each range.  Because the tie-break is unique, a hot
    partition key or a hot order value is split over many ranges like any
    other key: no task receives "all rows of one group".
-2. One sequential pass per range (``mapInPandas``, vectorised per Arrow
+2. One sequential pass per range (``mapInArrow``, vectorised per Arrow
    batch, state carried across batches) numbers the rows *locally*: row
    number, rank and dense rank restart at each partition key, running sums
    accumulate.
@@ -33,6 +33,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,83 +57,83 @@ def _norm_order(order_by) -> list[tuple[str, bool]]:
     return out
 
 
-def _changed(cur: pd.DataFrame, prev_row: tuple | None) -> np.ndarray:
-    """True where a row's key tuple differs from the previous row's.
+def _differs(col: pa.Array) -> np.ndarray:
+    """For every value but the first: is it another one than its predecessor?
 
-    NULL/NaN equal NULL/NaN (they are peers in SQL ordering).
+    NULL equals NULL and NaN equals NaN (they are peers in SQL ordering), but NULL is not NaN.
     """
-    n = len(cur)
-    if cur.shape[1] == 0:
-        out = np.zeros(n, dtype=bool)
-        if n:
-            out[0] = prev_row is None
-        return out
+    cur, prev = col[1:], col[:-1]
+    other = pc.fill_null(pc.not_equal(cur, prev), False)
+    if pa.types.is_floating(col.type):
+        both = pc.and_(pc.is_nan(cur), pc.is_nan(prev))
+        other = pc.and_not(other, pc.fill_null(both, False))
+    return pc.or_(other, pc.xor(cur.is_null(), prev.is_null())).to_numpy(zero_copy_only=False)
+
+
+def _changed(cols: list[pa.Array], last: list[pa.Array] | None, n: int) -> np.ndarray:
+    """True where a row's key differs from the previous row's; ``last`` holds the key before the batch."""
     changed = np.zeros(n, dtype=bool)
-    for j, name in enumerate(cur.columns):
-        s = cur[name]
-        prev = s.shift(1)
-        if n:
-            prev = prev.astype(object)
-            prev.iloc[0] = None if prev_row is None else prev_row[j]
-        a_na = s.isna().to_numpy()
-        b_na = pd.isna(prev).to_numpy()
-        with np.errstate(invalid="ignore"):
-            neq = (s.astype(object).to_numpy() != prev.to_numpy())
-        col_changed = np.where(a_na & b_na, False, np.where(a_na | b_na, True, neq))
-        changed |= col_changed.astype(bool)
-    if n and prev_row is None:
-        changed[0] = True
+    changed[0] = last is None
+    for j, col in enumerate(cols):
+        if last is None:
+            changed[1:] |= _differs(col)
+        else:
+            changed |= _differs(pa.concat_arrays([last[j], col]))
     return changed
 
 
+def _addends(col: pa.Array) -> np.ndarray:
+    """Values to sum: whole numbers stay whole; NULL and NaN count as 0."""
+    if pa.types.is_integer(col.type):
+        return pc.fill_null(col.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    return np.nan_to_num(pc.fill_null(col.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False),
+                         posinf=np.inf, neginf=-np.inf)
+
+
 def _local_numbering(part_cols: list[str], peer_cols: list[str], sum_cols: list[str]):
-    """Build the per-range sequential pass used by ``mapInPandas``.
+    """Build the per-range sequential pass used by ``mapInArrow``.
 
-    Rows arrive sorted.  State (position, rank, dense rank and sums of the
-    current partition-key segment) is carried from one Arrow batch to the next.
+    Rows arrive sorted and leave as they came, with the local numbers beside them.  State
+    (position, rank, dense rank and sums of the current partition-key segment) is carried from
+    one Arrow batch to the next.
     """
 
     def run(batches):
-        last_part = None          # partition-key tuple of the previous row
-        last_peer = None          # order-key tuple of the previous row
+        last_part = last_peer = None   # keys of the previous row
         lrn = lrank = ldense = 0
-        seg_carry = -1            # index of the current partition-key segment in this range
-        sums = {c: 0.0 for c in sum_cols}
-        for pdf in batches:
-            n = len(pdf)
+        seg_carry = -1                 # index of the current partition-key segment in this range
+        sums: dict = {}
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            if part_cols:
-                new_part = _changed(pdf[part_cols], last_part)
-            else:
-                new_part = np.zeros(n, dtype=bool)
-                new_part[0] = last_part is None
-            new_peer = new_part | _changed(pdf[peer_cols], last_peer)
+            part = [batch.column(c) for c in part_cols]
+            peers = [batch.column(c) for c in peer_cols]
+            new_part = _changed(part, last_part, n)
+            new_peer = new_part | _changed(peers, last_peer, n)
             seg = pd.Series(np.cumsum(new_part))        # 0 = continues the carried segment
             carried = (seg == 0).to_numpy()
             pos = seg.groupby(seg).cumcount().to_numpy() + 1 + np.where(carried, lrn, 0)
-            first = pd.Series(np.where(new_peer, pos, np.nan)).ffill().to_numpy()
-            rank = np.where(np.isnan(first), lrank, first).astype(np.int64)
+            # position of the latest new peer: it only grows inside a segment, and a segment starts with one
+            start = np.maximum.accumulate(np.where(new_peer, np.arange(n), -1))
+            rank = np.where(start < 0, lrank, pos[start])
             dense = (pd.Series(new_peer.astype(np.int64)).groupby(seg).cumsum().to_numpy()
                      + np.where(carried, ldense, 0))
-            out = pdf
-            for col in sum_cols:
-                v = pd.Series(pd.to_numeric(pdf[col], errors="coerce").astype(float)).fillna(0.0)
-                cs = v.groupby(seg).cumsum().to_numpy() + np.where(carried, sums[col], 0.0)
-                out["_lsum_" + col] = cs
             segidx = seg_carry + np.cumsum(new_part)
-            out["_lrn"] = pos.astype(np.int64)
-            out["_lrank"] = rank
-            out["_ldense"] = dense.astype(np.int64)
-            out["_seg"] = segidx.astype(np.int64)
-            seg_carry = int(segidx[-1])
-            lrn, lrank, ldense = int(pos[-1]), int(rank[-1]), int(dense[-1])
+            numbers = [pos, rank, dense, segidx]
             for col in sum_cols:
-                sums[col] = float(out["_lsum_" + col].iloc[-1])
-            last_part = tuple(pdf[part_cols].iloc[-1]) if part_cols else ()
-            last_peer = tuple(pdf[peer_cols].iloc[-1])
-            yield out
+                v = _addends(batch.column(col))
+                cs = pd.Series(v).groupby(seg).cumsum().to_numpy()
+                cs = np.where(carried, cs + sums.get(col, v.dtype.type(0)), cs)
+                sums[col] = cs[-1]
+                numbers.append(cs)
+            seg_carry, lrn, lrank, ldense = int(segidx[-1]), int(pos[-1]), int(rank[-1]), int(dense[-1])
+            last_part = [c[n - 1:] for c in part]
+            last_peer = [c[n - 1:] for c in peers]
+            arrays = [*batch.columns, *[pa.array(x if x.dtype == np.float64 else x.astype(np.int64))
+                                        for x in numbers]]
+            names = [*batch.schema.names, "_lrn", "_lrank", "_ldense", "_seg", *["_lsum_" + c for c in sum_cols]]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
@@ -183,11 +185,15 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
               else df.repartitionByRange(num_buckets, *sort_exprs))
     ranged = ranged.sortWithinPartitions(*sort_exprs).withColumn("_b", F.spark_partition_id())
 
+    # whole numbers are summed as such: doubles would lose units beyond 2**53
+    sum_types = {c: T.LongType() if isinstance(ranged.schema[c].dataType, T.IntegralType) else T.DoubleType()
+                 for c in sum_cols}
+    zero = {c: F.lit(0).cast(t) for c, t in sum_types.items()}
     out_fields = list(ranged.schema.fields) + [
         T.StructField("_lrn", T.LongType()), T.StructField("_lrank", T.LongType()),
         T.StructField("_ldense", T.LongType()), T.StructField("_seg", T.LongType())] + [
-        T.StructField("_lsum_" + c, T.DoubleType()) for c in sum_cols]
-    local = ranged.mapInPandas(_local_numbering(part_cols, peer_cols, sum_cols),
+        T.StructField("_lsum_" + c, sum_types[c]) for c in sum_cols]
+    local = ranged.mapInArrow(_local_numbering(part_cols, peer_cols, sum_cols),
                                T.StructType(out_fields))
     # Fix the range assignment on reliable storage (see module docstring).
     local = local.checkpoint(eager=True)
@@ -227,7 +233,7 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
         F.col("_cont"),
         F.when(F.col("_cont") == 1, F.lag("_cum_tail").over(w)).otherwise(F.lit(0)).alias("_carry"),
         F.sum("_n").over(Window.partitionBy(*[F.col(c) for c in part_cols])).alias("partition_rows"),
-    ] + [F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols] + [
+    ] + [F.coalesce(F.sum("_tot_" + c).over(before), zero[c]).alias("_off_" + c) for c in sum_cols] + [
         F.sum("_tot_" + c).over(Window.partitionBy(*[F.col(c) for c in part_cols])).alias("partition_sum_" + c)
         for c in sum_cols]
     if fast:
@@ -238,7 +244,7 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
             F.coalesce(F.sum(F.col("_dist") - F.col("_cont")).over(before), F.lit(0)).alias("_dense_off"),
             F.col("_cont"),
             F.when(F.col("_cont") == 1, F.lag("_cum_tail").over(w)).otherwise(F.lit(0)).alias("_carry"),
-            *[F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols])
+            *[F.coalesce(F.sum("_tot_" + c).over(before), zero[c]).alias("_off_" + c) for c in sum_cols])
             .where(F.col("_segno") == 0).drop("_segno").withColumnRenamed("_b", "_ob"))
         # one row per range: a bounded broadcast
         joined = local.join(F.broadcast(first), F.col("_b") == F.col("_ob"), "left")
@@ -254,7 +260,7 @@ def ordered_window(df: DataFrame, order_by: Sequence, tiebreak: Sequence[str],
             (rn_off + F.col("_lrn")).alias("row_number"),
             (rn_off + F.col("_lrank") - F.when(F.col("_lrank") == 1, carry).otherwise(F.lit(0))).alias("rank"),
             (dense_off + F.col("_ldense") - cont).alias("dense_rank"),
-            *[(off("_off_" + c, F.lit(0.0)) + F.col("_lsum_" + c)).alias("running_" + c) for c in sum_cols])
+            *[(off("_off_" + c, zero[c]) + F.col("_lsum_" + c)).alias("running_" + c) for c in sum_cols])
 
     offsets = summary.select(*cols)
 
