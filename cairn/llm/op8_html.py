@@ -4,8 +4,12 @@ A page is read once into text nodes, each with its path of tags from the root (c
 and its block.  What can only be furniture is left out on sight: head, scripts, styles, forms,
 menus, footers, asides and elements that name themselves so.  For every path that is left, text
 length and punctuation are summed; their ratios to the path's nodes tell running text from labels.
-Ratios are smoothed along the page by neighbouring nodes, fused with those of the path's container,
-and nodes of paths under a threshold relative to the page's own running text are dropped.
+Ratios are smoothed along the page by neighbouring nodes and fused with those of the path's container.
+A threshold relative to the page's own running text then chooses containers: an article or main (the
+outermost), or else the nearest div, section or body.  All text of a chosen container stays, so short
+lines, list items and table cells stay with the text around them.  Only outside article and main, a
+list, table or block that is mostly links stays by its own ratio or between kept text of its container.
+Text that is in no chosen container stays where its own ratio reaches the threshold.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; unclosed, misnested and
 cut-off markup is read as far as it goes; a text outside any tag is a block; repeated rows give the
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,11 @@ NAMES = frozenset("ad ads adv advert advertisement advertising adsense banner br
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                   "toolbar form".split())
 MAIN = frozenset(("article", "main"))
+# Elements whose own text is judged together, and elements that stay or go as one outside articles.
+BOXES = frozenset("div section article main body center".split())
+CHUNKS = frozenset("ul ol dl table".split())
+# A table cell that holds one of these lays out the page and is judged by itself.
+LAYOUT = frozenset("div section center table h1 h2 h3 h4 h5 h6".split())
 # Tags that end an open <p> and tags that end an open one of their own kind.
 ENDS_ITSELF = frozenset("p li dt dd option tr td th".split())
 
@@ -52,12 +62,49 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？；：]")
 _CLOSERS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
-#: A path whose fused ratio is under this share of the page's running text is dropped.
+#: A container whose fused ratio is under this share of the page's running text is not chosen.
 THRESHOLD = 0.15
 #: Neighbours on each side, and the width of the weights, in smoothing.
 REACH, WIDTH = 3, 1.5
 
 
+class Place(NamedTuple):
+    """Where a text is: numbers of the outermost article or main (-1 if none), of the nearest box and
+    of the outermost list or table in that box (-1 if none), and whether it is in a link."""
+
+    article: int = -1
+    box: int = 0
+    chunk: int = -1
+    link: bool = False
+
+    def inside(self, tag: str, number: int, parent: tuple[str, int]) -> Place:
+        article, box, chunk, link = self
+        if article < 0 and tag in MAIN:
+            article, box, chunk = number, number, -1
+        elif article < 0 and tag in LAYOUT and parent[0] in ("td", "th"):
+            box, chunk = parent[1], -1
+        if tag in BOXES and chunk < 0:
+            box = number
+        elif tag in CHUNKS and chunk < 0:
+            chunk = number
+        return Place(article, box, chunk, link or tag == "a")
+
+
+class Node(NamedTuple):
+    path: str
+    block: int
+    text: str
+    place: Place
+
+
+class _Open(NamedTuple):
+    tag: str
+    path: str
+    furniture: bool
+    number: int
+    place: Place
+
+
 def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     """Whether an element is furniture by itself, and its name in paths."""
     if tag in FURNITURE or (tag == "header" and not in_main):
@@ -80,15 +127,21 @@ def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     return bad, tag + names
 
 
-def text_nodes(page: str) -> list[tuple[str, int, str, bool]]:
-    """(path, block number, raw text, within article or main) of each text node that may be content."""
-    out: list[tuple[str, int, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, furniture
-    block, at, n, main = 0, 0, len(page), 0
+def text_nodes(page: str) -> list[Node]:
+    """Each text node that may be content: path, block number, raw text, place."""
+    out: list[Node] = []
+    root = _Open("", "", False, 0, Place())
+    stack: list[_Open] = []
+    block, at, n, number = 0, 0, len(page), 0
+
+    def put(s: str) -> None:
+        of = stack[-1] if stack else root
+        if not of.furniture:
+            out.append(Node(of.path, block, s, of.place))
 
     def text(a: int, b: int) -> None:
-        if b > a and not (stack and stack[-1][2]):
-            out.append((stack[-1][1] if stack else "", block, html.unescape(page[a:b]), main > 0))
+        if b > a:
+            put(html.unescape(page[a:b]))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -105,14 +158,12 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool]]:
             block += 1
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    main -= sum(x[0] in MAIN for x in stack[i:])
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
             continue
         if tag == "br":
-            if not (stack and stack[-1][2]):
-                out.append((stack[-1][1] if stack else "", block, " ", main > 0))
+            put(" ")
             continue
         if tag in RAW:
             end = _CLOSERS[tag].search(page, at)
@@ -122,23 +173,24 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool]]:
             continue
         if tag in BLOCKS:  # an open paragraph, and what is open inside it, ends here
             for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
+                t = stack[i].tag
                 if t == "p" or (t == tag and tag in ENDS_ITSELF):
                     del stack[i:]
                     break
                 if t in BLOCKS:
                     break
-        bad, name = _furniture(tag, attrs, main > 0)
-        path, was = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        stack.append((tag, f"{path}/{name}", bad or was))
-        main += tag in MAIN
+        of = stack[-1] if stack else root
+        bad, name = _furniture(tag, attrs, of.place.article >= 0)
+        number += 1
+        stack.append(_Open(tag, f"{of.path}/{name}", bad or of.furniture, number,
+                           of.place.inside(tag, number, (of.tag, of.number))))
 
 
-def keep_nodes(nodes: list[tuple[str, int, str, bool]]) -> np.ndarray:
-    """Which text nodes are content, by fused and smoothed tag-path ratios."""
+def keep_nodes(nodes: list[Node]) -> np.ndarray:
+    """Which text nodes are content, by fused and smoothed tag-path ratios of their containers."""
     n = len(nodes)
-    length = np.array([len(x[2].strip()) for x in nodes], np.float64)
-    marks = np.array([len(_PUNCTUATION.findall(x[2])) for x in nodes], np.float64)
+    length = np.array([len(x.text.strip()) for x in nodes], np.float64)
+    marks = np.array([len(_PUNCTUATION.findall(x.text)) for x in nodes], np.float64)
     real = length > 0
     if not real.any():
         return np.zeros(n, bool)
@@ -148,7 +200,7 @@ def keep_nodes(nodes: list[tuple[str, int, str, bool]]) -> np.ndarray:
         count = np.maximum(np.bincount(of, real), 1)
         return (np.bincount(of, length) / count)[of], (np.bincount(of, marks) / count)[of]
 
-    paths = [x[0] for x in nodes]
+    paths = [x.path for x in nodes]
     long_, pointed = ratios(paths)
     # the block that holds a path: inline tags and the last block are cut off
     holder = []
@@ -173,23 +225,44 @@ def keep_nodes(nodes: list[tuple[str, int, str, bool]]) -> np.ndarray:
     fused = np.sqrt(v * smooth)
     # running text: the mean over characters, not nodes, of the fused ratio
     typical = float((fused * length[where]).sum() / length[where].sum())
+    least = THRESHOLD * typical
     good = np.zeros(n, bool)
-    good[where] = fused >= THRESHOLD * typical
+    good[where] = fused >= least
+
+    # containers: the mean over characters of their texts' fused ratios
+    article = np.array([x.place.article for x in nodes])
+    box = np.array([x.place.box for x in nodes])
+    _, of = np.unique(np.where(article >= 0, article, box), return_inverse=True)
+    chars = np.bincount(of, length)
+    chosen = (np.bincount(of[where], fused * length[where], len(chars)) >= least * chars)[of]
+    # outside articles, lists, tables and blocks that are mostly links are not taken with their container
+    piece = [x.place.chunk if x.place.chunk >= 0 else -1 - x.block for x in nodes]
+    _, part = np.unique(piece, return_inverse=True)
+    linked = np.bincount(part, length * [x.place.link for x in nodes])
+    links = (2 * linked > np.bincount(part, length))[part] & (article < 0)
+    good |= real & chosen & ~links
+    # ... unless kept text of the container comes before and after them
+    first, last = np.full(box.max() + 1, n), np.full(box.max() + 1, -1)
+    kept = np.flatnonzero(good & real)
+    np.minimum.at(first, box[kept], kept)
+    np.maximum.at(last, box[kept], kept)
+    i = np.arange(n)
+    good |= real & links & (first[box] < i) & (i < last[box])
     return good | ~real  # blanks between kept nodes are white space of their block
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the article, white space within each as one blank, joined by an empty line."""
     nodes = text_nodes(page or "")
-    inside = sum(len(x[2].strip()) for x in nodes if x[3])
-    if 2 * inside >= sum(len(x[2].strip()) for x in nodes):
-        nodes = [x for x in nodes if x[3]]
+    inside = sum(len(x.text.strip()) for x in nodes if x.place.article >= 0)
+    if 2 * inside >= sum(len(x.text.strip()) for x in nodes):
+        nodes = [x for x in nodes if x.place.article >= 0]
     if not nodes:
         return ""
     blocks: dict[int, list[str]] = {}
-    for (_, block, s, _), good in zip(nodes, keep_nodes(nodes).tolist()):
+    for x, good in zip(nodes, keep_nodes(nodes).tolist()):
         if good:
-            blocks.setdefault(block, []).append(s)
+            blocks.setdefault(x.block, []).append(x.text)
     texts = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 

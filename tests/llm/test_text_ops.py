@@ -140,6 +140,36 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got) and got[4].n_chars == 50_000 * 6 - 1
 
 
+def article_with(middle, around="<article>{}</article>", paragraphs=8):
+    """A page whose text has ``middle`` among paragraphs of 400 characters with 4 marks."""
+    p = "<p>" + ("a" * 99 + ".") * 4 + "</p>"
+    text = "<h2>Heading of it</h2>" + p * (paragraphs // 2) + middle + p * (paragraphs - paragraphs // 2)
+    return "<html><body><div><ul><li><a>Home</a><li><a>News</a></ul></div>" + around.format(text) + "</body></html>"
+
+
+def test_html_keeps_short_nodes_of_an_article():
+    def items(n, size):
+        return [f"i{k}".ljust(size, "x") for k in range(n)]
+
+    tables = {"list": lambda x: "<ul>" + "".join(f"<li>{s}</li>" for s in x) + "</ul>",
+              "terms": lambda x: "<dl>" + "".join(f"<dt>{s}<dd>{s}z" for s in x) + "</dl>",
+              "lines": lambda x: "".join(f"<p class=line>{s}</p>" for s in x),
+              "table": lambda x: "<table>" + "".join(f"<tr>{''.join(f'<td>{s}</td>' for s in x[i:i + 4])}</tr>"
+                                                    for i in range(0, len(x), 4)) + "</table>"}
+    for around in ("<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>"):
+        for n, size in ((12, 25), (5, 25), (12, 60), (24, 8)):
+            for make in tables.values():
+                got = op8_html.main_text(article_with(make(items(n, size)), around)).split("\n\n")
+                assert [s for s in items(n, size) if s not in got] == []
+                assert "Home" not in got and "News" not in got and got[0] == "Heading of it"
+    links = "<ul>" + "".join(f"<li><a>{s}</a></li>" for s in items(12, 25)) + "</ul>"
+    for around in ("<article>{}</article>", "<div id=content>{}</div>"):
+        got = op8_html.main_text(article_with(links, around)).split("\n\n")
+        assert [s for s in items(12, 25) if s not in got] == []
+    after = "<article>{}" + tables["list"](items(5, 25)) + "</article>"
+    assert op8_html.main_text(article_with("", after)).split("\n\n")[-5:] == items(5, 25)
+
+
 def test_mixing_meets_targets(spark, documents):
     rows = [(i, ("the cat of the hill, and " * (3 + i % 5)) if i % 4 else ("der Hund und die " * (3 + i % 3)))
             for i in range(800)] + [(900, None), (901, ""), (None, "the end, of it")]
