@@ -1,8 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into text nodes, each with its path of tags from the root (classes included)
-and its block.  What can only be furniture is left out on sight: head, scripts, styles, forms,
-menus, footers, asides and elements that name themselves so.  For every path that is left, text
+and its block.  What can only be furniture is left out on sight: head, scripts, styles, controls.
+Forms, menus, footers, asides and hidden elements are left out unless they hold a main, the page's
+longest article or (but for menus, footers and asides) most of its running text.  An element whose
+class or id is a word for furniture is not left out: unless it is or holds such, its ratios count for
+less.  For every path that is left, text
 length and punctuation are summed; their ratios to the path's nodes tell running text from labels.
 Ratios are smoothed along the page by neighbouring nodes and fused with those of the path's container.
 A threshold relative to the page's own running text then chooses containers: an article or main (the
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -46,6 +50,9 @@ NAMES = frozenset("ad ads adv advert advertisement advertising adsense banner br
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                   "toolbar form".split())
 MAIN = frozenset(("article", "main"))
+# Furniture that may still be found to hold the page; the second set is not judged by its size.
+HOLDERS = frozenset("nav footer aside form dialog menu fieldset header".split())
+ASIDE = frozenset("nav footer aside menu".split())
 # Elements whose own text is judged together, and elements that stay or go as one outside articles.
 BOXES = frozenset("div section article main body center".split())
 CHUNKS = frozenset("ul ol dl table".split())
@@ -57,13 +64,17 @@ ENDS_ITSELF = frozenset("p li dt dd option tr td th".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、！？；：]")
 _CLOSERS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 #: A container whose fused ratio is under this share of the page's running text is not chosen.
 THRESHOLD = 0.15
+#: The ratios of an element that names itself as furniture count for this share.
+PRIOR = 0.05
+#: The longest article speaks for what holds it when it has this share of the running text.
+WEIGHTY = 0.25
 #: Neighbours on each side, and the width of the weights, in smoothing.
 REACH, WIDTH = 3, 1.5
 
@@ -95,6 +106,8 @@ class Node(NamedTuple):
     block: int
     text: str
     place: Place
+    #: The outermost element around it that names itself as furniture, 0 if none.
+    named: int = 0
 
 
 class _Open(NamedTuple):
@@ -103,33 +116,69 @@ class _Open(NamedTuple):
     furniture: bool
     number: int
     place: Place
+    marks: tuple[int, ...] = ()  # numbers of the articles, mains and suspects that are open
 
 
-def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
-    """Whether an element is furniture by itself, and its name in paths."""
-    if tag in FURNITURE or (tag == "header" and not in_main):
-        return True, tag
-    if not attrs or attrs.isspace():
-        return False, tag
-    names, bad = "", False
+def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool, str]:
+    """Whether an element is furniture by itself, by its tag or role unless it holds the page, or by
+    its names; and its name in paths."""
+    never = tag in FURNITURE and tag not in HOLDERS
+    bad = tag in HOLDERS and not (tag == "header" and in_main)
+    if never or not attrs or attrs.isspace():
+        return never, bad, False, tag
+    names, called = "", False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
         if key in ("class", "id"):
-            words = _NAME.findall(value)
-            bad = bad or (tag not in ("body", "html") and any(w in NAMES for w in words))
-            names += "." + "-".join(words) if key == "class" else ""
+            called = called or (tag not in MAIN and tag not in ("body", "html") and not NAMES.isdisjoint(value.split()))
+            names += "." + "-".join(_WORD.findall(value)) if key == "class" else ""
         elif key == "role":
             bad = bad or value in ROLES
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             bad = True
         elif key == "style" and "display:none" in value.replace(" ", ""):
             bad = True
-    return bad, tag + names
+    return False, bad, called, tag + names
+
+
+class _Suspect(NamedTuple):
+    aside: bool
+    by_tag: bool
+    around: tuple[int, ...]  # marks open around it
+    holds: list[int]  # articles and mains in it
+
+
+def _judge(nodes: list[tuple[Node, tuple[int, ...]]], suspects: dict[int, _Suspect], mains: dict[int, str]) -> list[Node]:
+    """The nodes without those in furniture; those in elements that name themselves so carry its number."""
+    held: Counter[int] = Counter()  # running text: characters outside links
+    total = 0
+    for x, marks in nodes:
+        size = 0 if x.place.link else len(x.text.strip())
+        total += size
+        for k in marks:
+            held[k] += size
+    longest = max((held[k] for k, tag in mains.items() if tag == "article"), default=0)
+    weighty = max(longest, WEIGHTY * total, 1)
+    left = {k: s for k, s in suspects.items()
+            if not any(held[i] and (mains[i] == "main" or held[i] >= weighty) for i in s.holds)}
+    # size speaks where no article or main with text lies elsewhere, but for those in furniture
+    lost = {i for s in left.values() if s.by_tag for i in s.holds}
+    free = {i for i in mains if held[i]} - lost
+    left = {k: s.by_tag for k, s in left.items()
+            if s.aside or 2 * held[k] <= total or not free.issubset({*s.holds, *s.around})}
+    out = []
+    for x, marks in nodes:
+        bad = [k for k in marks if k in left]
+        if not any(left[k] for k in bad):
+            out.append(x._replace(named=bad[0]) if bad else x)
+    return out
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Each text node that may be content: path, block number, raw text, place."""
-    out: list[Node] = []
+    """Each text node that may be content, in the order of the page."""
+    out: list[tuple[Node, tuple[int, ...]]] = []
+    suspects: dict[int, _Suspect] = {}
+    mains: dict[int, str] = {}
     root = _Open("", "", False, 0, Place())
     stack: list[_Open] = []
     block, at, n, number = 0, 0, len(page), 0
@@ -137,7 +186,7 @@ def text_nodes(page: str) -> list[Node]:
     def put(s: str) -> None:
         of = stack[-1] if stack else root
         if not of.furniture:
-            out.append(Node(of.path, block, s, of.place))
+            out.append((Node(of.path, block, s, of.place), of.marks))
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -147,7 +196,7 @@ def text_nodes(page: str) -> list[Node]:
         m = _TOKEN.search(page, at)
         if m is None:
             text(at, n)
-            return out
+            return _judge(out, suspects, mains) if suspects else [x for x, _ in out]
         text(at, m.start())
         at = m.end()
         tag = m[2] or m[5]
@@ -180,10 +229,21 @@ def text_nodes(page: str) -> list[Node]:
                 if t in BLOCKS:
                     break
         of = stack[-1] if stack else root
-        bad, name = _furniture(tag, attrs, of.place.article >= 0)
+        of = stack[-1] if stack else root
+        never, bad, called, name = _furniture(tag, attrs, of.place.article >= 0)
         number += 1
-        stack.append(_Open(tag, f"{of.path}/{name}", bad or of.furniture, number,
-                           of.place.inside(tag, number, (of.tag, of.number))))
+        marks = of.marks
+        if tag in MAIN and not of.furniture:
+            mains[number] = tag
+            for k in marks:
+                if k in suspects:
+                    suspects[k].holds.append(number)
+        if bad or called:
+            suspects[number] = _Suspect(tag in ASIDE, bad, marks, [])
+        if bad or called or tag in MAIN:
+            marks += (number,)
+        stack.append(_Open(tag, f"{of.path}/{name}", never or of.furniture, number,
+                           of.place.inside(tag, number, (of.tag, of.number)), marks))
 
 
 def keep_nodes(nodes: list[Node]) -> np.ndarray:
@@ -222,9 +282,12 @@ def keep_nodes(nodes: list[Node]) -> np.ndarray:
         smooth[a:b] += w * v[a + k:b + k]
         weight[a:b] += w
     smooth /= weight
-    fused = np.sqrt(v * smooth)
+    named = np.array([x.named for x in nodes])
+    fused = np.sqrt(v * smooth) * np.where(named[where], PRIOR, 1)
     # running text: the mean over characters, not nodes, of the fused ratio
-    typical = float((fused * length[where]).sum() / length[where].sum())
+    plain = np.where(named[where], 0, length[where])
+    plain = plain if plain.any() else length[where]
+    typical = float((fused * plain).sum() / plain.sum())
     least = THRESHOLD * typical
     good = np.zeros(n, bool)
     good[where] = fused >= least
@@ -232,15 +295,15 @@ def keep_nodes(nodes: list[Node]) -> np.ndarray:
     # containers: the mean over characters of their texts' fused ratios
     article = np.array([x.place.article for x in nodes])
     box = np.array([x.place.box for x in nodes])
-    _, of = np.unique(np.where(article >= 0, article, box), return_inverse=True)
+    _, of = np.unique(np.where(named, named, np.where(article >= 0, article, box)), return_inverse=True)
     chars = np.bincount(of, length)
     chosen = (np.bincount(of[where], fused * length[where], len(chars)) >= least * chars)[of]
     # outside articles, lists, tables and blocks that are mostly links are not taken with their container
     piece = [x.place.chunk if x.place.chunk >= 0 else -1 - x.block for x in nodes]
     _, part = np.unique(piece, return_inverse=True)
     linked = np.bincount(part, length * [x.place.link for x in nodes])
-    links = (2 * linked > np.bincount(part, length))[part] & (article < 0)
-    good |= real & chosen & ~links
+    links = (2 * linked > np.bincount(part, length))[part] & (article < 0) & (named == 0)
+    good = np.where(named, real & chosen, good | (real & chosen & ~links))
     # ... unless kept text of the container comes before and after them
     first, last = np.full(box.max() + 1, n), np.full(box.max() + 1, -1)
     kept = np.flatnonzero(good & real)
@@ -254,8 +317,8 @@ def keep_nodes(nodes: list[Node]) -> np.ndarray:
 def main_text(page: str | None) -> str:
     """Blocks of the article, white space within each as one blank, joined by an empty line."""
     nodes = text_nodes(page or "")
-    inside = sum(len(x.text.strip()) for x in nodes if x.place.article >= 0)
-    if 2 * inside >= sum(len(x.text.strip()) for x in nodes):
+    size = [len(x.text.strip()) * (PRIOR if x.named else 1) for x in nodes]
+    if 2 * sum(n for n, x in zip(size, nodes) if x.place.article >= 0) >= sum(size):
         nodes = [x for x in nodes if x.place.article >= 0]
     if not nodes:
         return ""

@@ -170,6 +170,26 @@ def test_html_keeps_short_nodes_of_an_article():
     assert op8_html.main_text(article_with("", after)).split("\n\n")[-5:] == items(5, 25)
 
 
+def test_html_names_are_not_a_verdict():
+    want = op8_html.main_text(article_with(""))
+    body = "<article>{}</article>"
+    holders = ("<div class='layout has-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>",
+               "<main class='no-sidebar'>{}</main>", "<section id='related-work'>{}</section>", "<form>{}</form>",
+               "<div class='layout sidebar'>{}</div>", "<article class='tags share'>{}</article>",
+               "<main id=comments>{}</main>", "<section id=related>{}</section>", "<form id=form1 role=form>{}</form>",
+               "<form><div class='share'>{}</div></form>", "<div class=hidden>" + body + "</div>",
+               "<form>" + body + "</form>", "<article><div class=widget>{}</div></article>",
+               "<div class=notice><div class=widget><main>" + body + "</main></div></div>")
+    others = ("<div class=comments>" + "<p>I like it, thanks a lot.</p>" * 5 + "</div><footer>Imprint, 2020.</footer>"
+              "<aside class=related><article><a>Other</a> teaser, short.</article></aside><form>Search: <input></form>")
+    for around in holders:
+        for more in ("", others):
+            got = op8_html.main_text(article_with("", around + more))
+            assert got.endswith(want) and got[:len(got) - len(want)] in ("", "See more, here.\n\n"), around
+    long = "<div class='comments'>" + ("<p>" + "My view of it, in short. " * 20 + "</p>") * 40 + "</div>"
+    assert op8_html.main_text(article_with("", body + long)) == want
+
+
 def test_mixing_meets_targets(spark, documents):
     rows = [(i, ("the cat of the hill, and " * (3 + i % 5)) if i % 4 else ("der Hund und die " * (3 + i % 3)))
             for i in range(800)] + [(900, None), (901, ""), (None, "the end, of it")]
