@@ -3,9 +3,10 @@
 Every document's ids (with an end id) are cut only where they exceed a sequence; the pieces are
 dealt into partitions and each partition is packed best-fit decreasing.  Dual-feasible functions
 give a lower bound on the sequences any packing of that partition needs.  A partition that meets
-its bound is final.  The others give their loosely filled sequences away: these are pooled, a
-number of partitions at a time, and packed again; a pool keeps its old sequences if the new packing
-is not smaller.  Rounds go on while they save sequences.
+its bound is final.  The others give their loosely filled sequences away: these are dealt anew, by a
+hash that differs each round, into as many pools as their rows need (a pool has about as many rows as
+a partition, however many sequences are loose) and packed again; a pool keeps its old sequences if
+the new packing is not smaller.  Rounds go on while they save sequences.
 
 Edge cases: a null or empty text is a document of its end id alone; repeated rows are packed each;
 an empty table gives no rows; other columns are ignored.
@@ -31,8 +32,6 @@ PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, salt
           "offset long, loose boolean, partition_bins long, partition_bound long")
 #: A sequence is given away when at least this share of it is free.
 LOOSE = 0.01
-#: Partitions whose loose sequences are pooled together.
-POOL = 32
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -132,19 +131,22 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_partition: int = 50_0
     todo = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(parts))) \
         .withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     done: list[DataFrame] = []
-    waste = None
+    given = None
     for r in range(rounds + 1):
         got = materialize(todo.groupBy("__part").applyInPandas(_packer(capacity, r), PACKED), f"packed-{r}")
-        loose = got.filter("loose")
-        used, content = loose.agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+        loose = F.col("loose")
+        made, used, content, rows = got.groupBy("sequence_id").agg(
+            F.first("loose").alias("loose"), F.sum("length").alias("__length"), F.count(F.lit(1)).alias("__rows")).agg(
+            F.count(F.lit(1)), F.count(F.when(loose, 1)), F.sum(F.when(loose, F.col("__length"))),
+            F.sum(F.when(loose, F.col("__rows")))).first()
         spare = used - -(-(content or 0) // capacity)
-        if r == rounds or spare <= 0 or (waste is not None and used >= waste and parts == 1):
+        if r == rounds or spare <= 0 or (given is not None and made >= given):
             done.append(got)
             break
-        waste = used
+        given = used
         done.append(got.filter("not loose"))
-        parts = max(1, -(-parts // POOL))
-        todo = loose.withColumn("__part", F.pmod(F.xxhash64("sequence_id"), F.lit(parts)))
+        parts = max(1, -(-rows // rows_per_partition))
+        todo = got.filter("loose").withColumn("__part", F.pmod(F.xxhash64("sequence_id", F.lit(r + 1)), F.lit(parts)))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -107,6 +107,17 @@ def test_exchange_between_partitions(spark):
     assert check_packing(got, 100)[0] <= check_packing(many, 100)[0]
 
 
+def test_loose_sequences_never_meet_in_one_group(spark):
+    r = random.Random(6)
+    rows = [(i, 0, 0, r.randint(300, 499), 0, i) for i in range(6000)]
+    pieces = spark.createDataFrame(rows, op5_packing.PIECES)
+    alone = op5_packing.pack(pieces, capacity=2048, rows_per_partition=200, rounds=0).collect()
+    got = op5_packing.pack(pieces, capacity=2048, rows_per_partition=200).collect()
+    assert sorted(x.doc_id for x in got) == list(range(6000))
+    assert check_packing(got, 2048)[0] <= check_packing(alone, 2048)[0]
+    assert max(x.partition_bins for x in got) < 100  # about four pieces in a sequence
+
+
 def test_lower_bound_never_exceeds_a_packing():
     r = np.random.default_rng(0)
     for _ in range(200):
