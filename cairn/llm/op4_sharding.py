@@ -68,11 +68,17 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
           packets: int = PACKETS, rows_per_task: int = 200_000) -> DataFrame:
     """Rows (id, size, text_crc32, shard, slot); ``slot`` counts a shard's rows from 0 without gaps."""
+    return _place(docs, shards, id_col, text_col, packets, rows_per_task, [])
+
+
+def _place(docs: DataFrame, shards: int, id_col: str, text_col: str, packets: int, rows_per_task: int,
+           own: list[str]) -> DataFrame:
+    """The rows of ``shard``, with the columns ``own`` of the documents (numbers that tell rows apart)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), text_key(text).alias("__key")), "shard-rows")
+        F.crc32(text).alias("text_crc32"), text_key(text).alias("__key"), *own), "shard-rows")
     n, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     groups = materialize(rows.groupBy("__key").agg(F.sum("size").alias("__bytes")), "shard-groups")
     least = (total or 0) // (BIG_PER_SHARD * shards)
@@ -89,20 +95,25 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
                                       "__packet int, __with int")
     placed = (rows.withColumn("__packet", packet)
               .join(F.broadcast(of_big), "__key", "left").join(F.broadcast(of_packet), "__packet", "left")
-              .select("doc_id", "size", "text_crc32", F.coalesce("__own", "__with").alias("shard"),
+              .select("doc_id", "size", "text_crc32", *own, F.coalesce("__own", "__with").alias("shard"),
                       F.pmod(F.xxhash64("doc_id", "__key"), F.lit(partitions_for(spark, n, rows_per_task))).alias("__b")))
     counts = placed.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("shard", "__b", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__b"))
                                             - F.col("__n")).alias("__before"))
-    w = Window.partitionBy("shard", "__b").orderBy("doc_id", "text_crc32")
+    w = Window.partitionBy("shard", "__b").orderBy("doc_id", "text_crc32", *own)
     return (placed.withColumn("__i", F.row_number().over(w)).join(before, ["shard", "__b"])
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("__before") + F.col("__i") - 1).alias("slot")))
+            .select("doc_id", "size", "text_crc32", *own, "shard", (F.col("__before") + F.col("__i") - 1).alias("slot")))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """Write the rows (id, text) as one folder ``shard=k`` per shard."""
-    keyed = shard(docs, shards).select("doc_id", "text_crc32", "shard", "slot").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    (docs.select("doc_id", "text").withColumn("text_crc32", F.crc32(text)).join(keyed, ["doc_id", "text_crc32"])
+    """Write the rows (id, text), each once, as one folder ``shard=k`` per shard.
+
+    Rows are numbered once, in a written copy, and get their places by that number: ids may be null
+    or repeated, and texts of one id may have equal checksums.
+    """
+    rows = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row")), "shard-texts")
+    places = _place(rows, shards, "doc_id", "text", PACKETS, 200_000, ["__row"])
+    (rows.join(places.select("__row", "text_crc32", "shard", "slot"), "__row")
+     .select("doc_id", "text_crc32", "text", "shard", "slot")
      .repartition(F.col("shard"), F.pmod("slot", F.lit(16))).sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))

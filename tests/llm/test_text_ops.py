@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm import op4_sharding, op6_fingerprints, op7_simhash, op8_html, op10_mixing
-from cairn.llm.common import components
+from cairn.llm.common import components, scratch
 
 
 def test_sharding(spark, documents, odd_rows):
@@ -26,6 +26,22 @@ def test_sharding(spark, documents, odd_rows):
     assert op4_sharding.shard(documents([])).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, documents, odd_rows):
+    # two texts of one id with equal checksums, null ids, and one row many times
+    rows = odd_rows + [(70, "plumless"), (70, "buckeroo"), (None, None), (None, "no id here")] + [(71, "again")] * 20
+    path = scratch(spark, "test-shards")
+    op4_sharding.write_shards(documents(rows), path, shards=5)
+    got = spark.read.parquet(path).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted(rows, key=key)
+    slots, shard_of = {}, {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        shard_of.setdefault(r.text or "", set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for s in shard_of.values())
+
+
 def test_differencing_balances():
     r = random.Random(0)
     sizes = [r.randint(1, 10_000) for _ in range(2000)]
