@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.dist import MWU_EXACT_MAX_CELLS, MWU_EXACT_MAX_N, mwu_exact_sf_udf
+from cairn.functions.dist import MWU_EXACT_MAX_N, mwu_exact_sf_udf
 from cairn.functions.tails import chi2_sf_col, norm_sf_col, t_two_sided_col
 from cairn.functions.scalar import nan_to_null, numeric_columns, sql_round
 from cairn.operators.ordered import exact_quantiles, ordered_window
@@ -321,9 +321,9 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     — and cumulative counts over the sorted distinct values (one distributed
     ordered pass) give mid-ranks, the rank sum of group a, the tie term and
     both medians.  U is reported for group a.  p: exact null distribution when
-    the smaller sample has at most 8 values and there are no ties (and
-    n_a * n_b <= 10,000); otherwise normal approximation with tie correction
-    and continuity correction.
+    the smaller sample has at most 8 values and there are no ties, whatever the
+    size of the other; otherwise normal approximation with tie correction and
+    continuity correction.
     """
     by = list(by)
     x = nan_to_null(F.col(value_col).cast("double"))
@@ -362,8 +362,7 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     s = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     # UDF arguments are evaluated for every row: keep them free of ANSI errors
     z = F.try_divide(F.col("_u") - n1 * n2 / 2 - 0.5, s)
-    exact = ((F.least(n1, n2) <= MWU_EXACT_MAX_N) & (F.col("_maxt") <= 1)
-             & (n1 * n2 <= MWU_EXACT_MAX_CELLS))
+    exact = (F.least(n1, n2) <= MWU_EXACT_MAX_N) & (F.col("_maxt") <= 1)
     res = res.withColumn("_z", z)
     p_asym = F.when(s > 0, F.least(F.lit(1.0), 2 * norm_sf_col("_z"))).otherwise(F.lit(1.0))
     p_exact = F.least(F.lit(1.0), 2 * mwu_exact_sf_udf(F.col("_u"), n1, n2))

@@ -82,6 +82,21 @@ def test_mann_whitney_all_tied_and_exact(spark):
     assert r["u_stat"] == 6.0 and r["p_value"] == 1.0
 
 
+def test_mann_whitney_exact_at_any_size(spark):
+    from itertools import combinations
+    from math import comb
+    for m, n in ((1, 6), (2, 5), (3, 4), (4, 4), (5, 3)):
+        us = [sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m)]
+        for u in range(-1, m * n + 2):
+            assert abs(mwu_exact_sf(u, m, n) - sum(x >= u for x in us) / len(us)) < 1e-15
+    assert mwu_exact_sf(8 * 1300, 8, 1300) == 1 / comb(1308, 8)
+    assert abs(mwu_exact_sf(4 * 10 ** 9, 8, 10 ** 9) - 0.5) < 1e-8
+    for value, p in ((20_000.5, 2 / 10_002), (4.5, 12 / 10_002)):  # a rare group of one against 10,001
+        df = spark.range(10_001).selectExpr("'B' g", "cast(id as double) v").unionByName(
+            spark.createDataFrame([("A", value)], "g string, v double"))
+        assert one(S.mann_whitney_test(df, "v", "g", "A", "B"))["p_value"] == round(p, 6)
+
+
 def test_cohens_d(spark):
     a = RNG.normal(0, 1, 200)
     b = RNG.normal(3, 1, 200)
