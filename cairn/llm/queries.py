@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import (op1_ann, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_fingerprints,
-                       op7_simhash, op8_html, op9_binary, op10_mixing)
+                       op7_simhash, op8_html, op9_binary, op10_mixing, op11_whitening, op13_byte_bpe)
 from cairn.llm.common import read
 
 
@@ -71,6 +71,14 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing.mix(docs, labelled, op10_mixing.TARGETS)
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_byte_bpe.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cross_polytope": op1_cross_polytope,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
@@ -82,6 +90,8 @@ QUERIES = {
     "op8_tag_paths": op8_tag_paths,
     "op9_simple8b": op9_simple8b,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_exact_whitening": op11_exact_whitening,
+    "op13_merge_replay": op13_merge_replay,
 }
 
 ORACLE_SQL: dict[str, str] = {}
