@@ -7,9 +7,10 @@ ranks join to the places where the pair stands.  Pairs are taken in rank order;
 all its places in all words at once, and only the two neighbours of a merged place get new index
 entries.  The ids of the words are then gathered for their occurrences.
 
-Parts are cut where the vocabulary's bytes reach ``PART_BYTES``, also inside one very long text,
-so memory depends neither on the length of a text nor on the size of a partition.  Nothing is
-shuffled, and a lost executor costs the parts it worked on.
+Parts are cut where the bytes of new words reach ``PART_BYTES``, also inside one very long text; the
+words of earlier parts of a task stay known, ``KNOWN_WORDS`` at most.  So memory depends neither on the
+length of a text nor on the size of a partition.  Nothing is shuffled, and a lost executor costs the
+parts it worked on.
 
 Nulls are empty texts (no ids); an empty text has no ids and decodes to no bytes; repeated rows
 and null ids are kept as they are; an empty table gives an empty table.  Of the input's columns only the key
@@ -22,6 +23,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of distinct words that share one index.
-PART_BYTES = 1 << 20
+#: Characters of new distinct words that share one index, and words whose ids a task keeps.
+PART_BYTES, KNOWN_WORDS = 1 << 20, 300_000
+#: Longer texts are cut into words by and by.
+CUT_CHARS = 1 << 16
 #: Word occurrences (4 bytes each) that wait for their part's ids at most.
 PART_WORDS = 1 << 21
 #: Ids (4 bytes each) or rows in a batch that leaves a task.
@@ -66,7 +70,10 @@ class MergeReplay:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a * base + b] = rank
-        self.pairs = pairs
+        #: left id -> right id -> rank of the joined token
+        self.joins: list[dict[int, int]] = [{} for _ in range(base)]
+        for code, rank in pairs.items():
+            self.joins[code // base][code % base] = rank
         self.codes = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.code_ranks = np.fromiter((pairs[c] for c in self.codes.tolist()), np.int64, len(pairs))
 
@@ -112,15 +119,16 @@ class MergeReplay:
         left[ends - lengths] = -1
         index = self._index(start, ends)
         token, right, left = start.tolist(), right.tolist(), left.tolist()
-        pair_rank, base = self.pairs.get, self.base
+        joins = self.joins
         queue = list(index)
         heapify(queue)
         while queue:
             rank = heappop(queue)
+            after_rank = joins[rank].get         # what the merged token makes with its right neighbour
             held, later = -1, []                 # a word that has a lower pair now, and its places
             for p in sorted(index.pop(rank)):    # overlapping places: the leftmost first
                 a, q = token[p], right[p]
-                if a < 0 or q < 0 or pair_rank(a * base + token[q]) != rank:
+                if a < 0 or q < 0 or joins[a].get(token[q]) != rank:
                     continue
                 if held >= 0:
                     if int(np.searchsorted(ends, p, side="right")) == held:
@@ -129,22 +137,27 @@ class MergeReplay:
                     held = -1
                 after, before = right[q], left[p]
                 token[p], token[q], right[p] = rank, -1, after
-                touched = []
                 if after >= 0:
                     left[after] = p
-                    touched.append((pair_rank(rank * base + token[after]), p))
+                    new = after_rank(token[after])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(queue, new)
+                        if new < rank:
+                            held = int(np.searchsorted(ends, p, side="right"))
                 if before >= 0:
-                    touched.append((pair_rank(token[before] * base + rank), before))
-                for new, place in touched:
-                    if new is None:
-                        continue
-                    if new in index:
-                        index[new].append(place)
-                    else:
-                        index[new] = [place]
-                        heappush(queue, new)
-                    if new < rank:
-                        held = int(np.searchsorted(ends, p, side="right"))
+                    new = joins[token[before]].get(rank)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
+                            heappush(queue, new)
+                        if new < rank:
+                            held = int(np.searchsorted(ends, p, side="right"))
             if later:
                 index[rank] = later
                 heappush(queue, rank)
@@ -153,55 +166,75 @@ class MergeReplay:
         return left_over[alive], np.add.reduceat(alive.astype(np.int64), ends - lengths)
 
 
+class _Words(dict):
+    """Word -> its number; a word that is asked for the first time gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.new_size = 0
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        self.new_size += len(word)
+        return k
+
+
 class _Part:
-    """Rows that wait for ids: the words of their texts by number, and the vocabulary so far."""
+    """Rows that wait for ids: the words of their texts by number, and the words known so far."""
 
-    def __init__(self, replay: MergeReplay, find):
-        self.replay, self.find = replay, find
+    def __init__(self, replay: MergeReplay, pattern):
+        self.replay, self.pattern = replay, pattern
         self.keys: list = []
         self.pieces: list[list[bytes]] = []      # by row
         self.spans: list[tuple[int, int]] = []   # (row, its first word in this part)
-        self._restart()
+        self.seen = array("i")
+        self._forget()
 
-    def _restart(self) -> None:
-        self.number: dict[str, int] = {}
-        self.bytes, self.seen = 0, array("i")
+    def _forget(self) -> None:
+        self.words = _Words()
+        self.ids, self.first, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def full(self) -> bool:
-        return self.bytes >= PART_BYTES or len(self.seen) >= PART_WORDS
+        return self.words.new_size >= PART_BYTES or len(self.seen) >= PART_WORDS
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= CUT_CHARS:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while some := list(islice(found, CUT_CHARS // 8)):
+            yield some
 
     def add(self, key, text: str) -> None:
         row = len(self.keys)
         self.keys.append(key)
         self.pieces.append([])
         self.spans.append((row, len(self.seen)))
-        number, seen = self.number, self.seen
-        for match in self.find(text):
-            word = match.group()
-            k = number.get(word)
-            if k is None:
-                k = number[word] = len(number)
-                self.bytes += len(word)
-            seen.append(k)
-            if self.bytes >= PART_BYTES or len(seen) >= PART_WORDS:
+        for words in self._cut(text):
+            if self.full():
                 self.encode()
                 self.spans.append((row, 0))
-                number, seen = self.number, self.seen
+            self.seen.extend(map(self.words.__getitem__, words))
 
     def encode(self) -> None:
-        """Replay the merges over the vocabulary, hand the ids to the rows, start a new part."""
-        ids, n = self.replay.encode([w.encode() for w in self.number])
+        """Replay the merges over the new words, hand the ids to the rows, start a new part."""
+        ids, n = self.replay.encode([w.encode() for w in self.words.new])
+        self.first = np.concatenate((self.first, np.cumsum(n) - n + len(self.ids)))
+        self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, n))
         seen = np.frombuffer(self.seen, np.int32) if self.seen else np.empty(0, np.int32)
-        counts = n[seen] if len(seen) else np.empty(0, np.int64)
+        counts = self.counts[seen]
         borders = np.concatenate(([0], np.cumsum(counts)))
-        first = (np.cumsum(n) - n)[seen] if len(seen) else counts
-        place = np.arange(borders[-1]) + np.repeat(first - borders[:-1], counts)
-        out = ids[place].astype("<u4")
+        place = np.arange(borders[-1]) + np.repeat(self.first[seen] - borders[:-1], counts)
+        out = self.ids[place].astype("<u4")
         ends = [start for _, start in self.spans[1:]] + [len(seen)]
         for (row, start), end in zip(self.spans, ends):
             self.pieces[row].append(out[borders[start]:borders[end]].tobytes())
-        self.spans = []
-        self._restart()
+        self.spans, self.seen = [], array("i")
+        self.words.new, self.words.new_size = [], 0
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
 
     def take(self) -> Iterator[tuple[list, list[bytes]]]:
         """The rows whose texts have ended, with their ids, in portions."""
@@ -218,7 +251,7 @@ class _Part:
 def _encoder(path: str, pattern: str):
     def run(batches):
         import regex
-        part = _Part(MergeReplay(read_ranks(path)), regex.compile(pattern).finditer)
+        part = _Part(MergeReplay(read_ranks(path)), regex.compile(pattern))
 
         def out(schema):
             for keys, rows in part.take():

@@ -43,7 +43,9 @@ def test_parts_cut_inside_texts_change_nothing(spark, documents, library, monkey
     for limits in ((40, 1 << 21), (1 << 20, 7), (1000, 300)):
         monkeypatch.setattr(op, "PART_BYTES", limits[0])
         monkeypatch.setattr(op, "PART_WORDS", limits[1])
-        part, got = op._Part(replay, regex.compile(op.default_pattern()).finditer), {}
+        monkeypatch.setattr(op, "CUT_CHARS", 64)
+        monkeypatch.setattr(op, "KNOWN_WORDS", limits[1] * 3 // 2)
+        part, got = op._Part(replay, regex.compile(op.default_pattern())), {}
         for i, text in enumerate(texts):
             part.add(i, text)
             if part.full():
