@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import (op1_ann, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_fingerprints,
-                       op7_simhash, op8_html, op9_binary, op10_mixing, op11_whitening, op13_byte_bpe)
+                       op7_simhash, op8_html, op9_binary, op10_mixing, op11_whitening, op12_ranked_search,
+                       op13_byte_bpe)
 from cairn.llm.common import read
 
 
@@ -75,6 +76,10 @@ def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_byte_bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -91,7 +96,8 @@ QUERIES = {
     "op9_simple8b": op9_simple8b,
     "op10_soft_mixing": op10_soft_mixing,
     "op11_exact_whitening": op11_exact_whitening,
+    "op12_nra": op12_nra,
     "op13_merge_replay": op13_merge_replay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_nra": op12_ranked_search.SQL}
