@@ -206,7 +206,8 @@ def customer_ltv_segments(customers: DataFrame, orders: DataFrame, order_items:
         "customer_id", "name", "country", "segment", "total_orders",
         money("_ltv").alias("lifetime_value"), "first_order", "last_order",
         day_diff("first_order", "last_order").alias("customer_tenure_days"))
-    ranked = ordered_window(ltv, ["lifetime_value"], ["customer_id"], num_buckets=num_buckets)
+    ranked = ordered_window(ltv, ["lifetime_value"], ["customer_id"], num_buckets=num_buckets, ranks=False,
+                            materialize=True)
     probs = [p for p, _ in LTV_SEGMENTS]
     thresholds = broadcast_bounded(percentile_thresholds(ranked, "lifetime_value", probs),
                                    "1 row: global percentiles")
@@ -283,10 +284,9 @@ def customer_rank_by_country(customers: DataFrame, orders: DataFrame, order_item
     co = _customer_orders(orders, order_items)
     c = customers.select("customer_id", "name", "country")
     cr = c.join(co, "customer_id").select("customer_id", "name", "country",
-                                          money("_ltv").alias("total_revenue"),
-                                          F.col("_ltv").cast("double").alias("_cents"))
+                                          money("_ltv").alias("total_revenue"), F.col("_ltv").alias("_cents"))
     r = ordered_window(cr, [("total_revenue", False)], ["customer_id"], partition_by=["country"],
-                       sum_cols=["_cents"], num_buckets=num_buckets)
+                       sum_cols=["_cents"], num_buckets=num_buckets, materialize=True)
     return (r.select("country", "name", "total_revenue",
                      F.col("rank").cast("bigint").alias("revenue_rank"),
                      F.col("dense_rank").cast("bigint").alias("revenue_dense_rank"),
@@ -323,16 +323,15 @@ def order_value_distribution(orders: DataFrame, order_items: DataFrame,
     pass.  Ties are broken by order_id.
     """
     ov = completed_order_values(orders, order_items).select(
-        "order_id", "order_date", money("order_cents").alias("order_value"),
-        F.col("order_cents").cast("double").alias("_cents"))
-    by_value = ordered_window(ov, ["order_value"], ["order_id"], num_buckets=num_buckets)
+        "order_id", "order_date", money("order_cents").alias("order_value"), F.col("order_cents").alias("_cents"))
+    by_value = ordered_window(ov, ["order_value"], ["order_id"], num_buckets=num_buckets, materialize=True)
     by_value = by_value.select("order_id", "order_date", "order_value", "_cents",
                                sql_round(percent_rank_col() * 100, 2).alias("percentile"),
                                ntile_col(10).alias("decile"))
-    by_date = ordered_window(by_value, ["order_date"], ["order_id"], sum_cols=["_cents"],
-                             num_buckets=num_buckets)
+    by_date = ordered_window(by_value, ["order_date"], ["order_id"], sum_cols=["_cents"], num_buckets=num_buckets,
+                             totals=False, ranks=False, materialize=True)
     return (by_date.select("order_id", "order_date", "order_value",
-                           money(F.col("running__cents").cast("bigint")).alias("running_total"),
+                           money(F.col("running__cents")).alias("running_total"),
                            "percentile", "decile")
             .orderBy(F.col("order_date").asc_nulls_last(), "order_id"))
 

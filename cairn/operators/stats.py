@@ -317,7 +317,7 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
                       num_buckets: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U test of ``group_a`` vs ``group_b``.
 
-    Values are reduced to (value, n_a, n_b) — a heavily tied value is one row
+    Only rows of the two groups are read.  Values are reduced to (value, n_a, n_b) — a heavily tied value is one row
     — and cumulative counts over the sorted distinct values (one distributed
     ordered pass) give mid-ranks, the rank sum of group a, the tie term and
     both medians.  U is reported for group a.  p: exact null distribution when
@@ -328,20 +328,15 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
     by = list(by)
     x = nan_to_null(F.col(value_col).cast("double"))
     g = F.col(group_col)
-    counts = (df.select(*by, x.alias("_v"), g.alias("_g")).where(F.col("_v").isNotNull())
-              .groupBy(*by, "_v")
-              .agg(F.count_if(F.col("_g") == F.lit(group_a)).cast("double").alias("_na"),
-                   F.count_if(F.col("_g") == F.lit(group_b)).cast("double").alias("_nb"))
-              .where((F.col("_na") + F.col("_nb")) > 0)
+    counts = (df.where(g.isin(group_a, group_b)).select(*by, x.alias("_v"), g.alias("_g"))
+              .where(F.col("_v").isNotNull()).groupBy(*by, "_v")
+              .agg(F.count_if(F.col("_g") == F.lit(group_a)).alias("_na"),
+                   F.count_if(F.col("_g") == F.lit(group_b)).alias("_nb"))
               .withColumn("_t", F.col("_na") + F.col("_nb")))
     r = ordered_window(counts, ["_v"], [], partition_by=by, sum_cols=["_t", "_na", "_nb"],
-                       num_buckets=num_buckets)
-    t = F.col("_t")
-    midrank = F.col("running__t") - t + (t + 1) / 2
-    totals = r.groupBy(*by).agg(
-        F.sum("_na").alias("n1"), F.sum("_nb").alias("n2"),
-        F.sum(F.col("_na") * midrank).alias("_r1"),
-        F.sum(t * t * t - t).alias("_ties"), F.max(t).alias("_maxt"))
+                       num_buckets=num_buckets, ranks=False, materialize=True)
+    t = F.col("_t").cast("double")
+    midrank = F.col("running__t") - F.col("_t") + (t + 1) / 2
     # medians of each group from the same cumulative counts
     med_parts = []
     for tag, cnt, run in (("a", "_na", "running__na"), ("b", "_nb", "running__nb")):
@@ -353,8 +348,10 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
             F.max(F.when((F.col(cnt) > 0) & (before <= lo) & (lo < upto), F.col("_v"))).alias(f"_lo_{tag}"),
             F.max(F.when((F.col(cnt) > 0) & (before <= hi) & (hi < upto), F.col("_v"))).alias(f"_hi_{tag}"),
             F.max(h - lo).alias(f"_d_{tag}")]
-    meds = r.groupBy(*by).agg(*med_parts)
-    res = _join_groups(totals, meds, by, "1 row")
+    res = r.groupBy(*by).agg(
+        F.sum("_na").cast("double").alias("n1"), F.sum("_nb").cast("double").alias("n2"),
+        F.sum(F.col("_na") * midrank).alias("_r1"),
+        F.sum(t * t * t - t).alias("_ties"), F.max("_t").alias("_maxt"), *med_parts)
     n1, n2 = F.col("n1"), F.col("n2")
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     res = res.withColumn("_u1", u1).withColumn("_u", F.greatest(F.col("_u1"), n1 * n2 - F.col("_u1")))
@@ -422,7 +419,8 @@ def _midranks(df: DataFrame, col: str, num_buckets: int | None) -> DataFrame:
     """(value, mid-rank) for the non-NULL values of ``col`` (average rank of ties)."""
     counts = (df.select(nan_to_null(F.col(col).cast("double")).alias("_v"))
               .where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("_t")))
-    r = ordered_window(counts, ["_v"], [], sum_cols=["_t"], num_buckets=num_buckets)
+    r = ordered_window(counts, ["_v"], [], sum_cols=["_t"], num_buckets=num_buckets, totals=False, ranks=False,
+                       materialize=True)
     return r.select(F.col("_v").alias(col), (F.col("running__t") - F.col("_t") + (F.col("_t") + 1) / 2)
                     .alias(f"_rank_{col}"))
 

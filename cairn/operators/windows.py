@@ -1,8 +1,8 @@
 """Window helpers at scale: ROW_NUMBER and LEAD/LAG over any partitioning.
 
-``sequence`` numbers rows with the distributed ordered pass (a hot partition
-key is split over many tasks) and gets LEAD / LAG by an equi-join on
-(partition, row_number +/- 1): the key is unique, so the join is skew-free.
+``sequence`` numbers rows with the distributed ordered pass, in which a hot partition key is split
+over many tasks.  LEAD and LAG come from the same pass: inside a range from its own rows, across a
+border from the neighbouring range's first or last row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cairn.operators.ordered import ordered_window
 
@@ -19,18 +18,5 @@ def sequence(df: DataFrame, partition_by: Sequence[str], order_by: Sequence, tie
              lead_cols: Sequence[str] = (), lag_cols: Sequence[str] = (),
              num_buckets: int | None = None) -> DataFrame:
     """Add ``row_number`` and ``lead_<c>`` / ``lag_<c>`` (offset 1) columns."""
-    part = list(partition_by)
-    # no partition totals needed: offsets are joined back per range (broadcast)
-    r = ordered_window(df, order_by, tiebreak, partition_by=part, num_buckets=num_buckets,
-                       totals=not part)
-    r = r.drop("rank", "dense_rank", "partition_rows")
-    out = r
-    for shift, cols, prefix in ((1, lead_cols, "lead_"), (-1, lag_cols, "lag_")):
-        if not cols:
-            continue
-        nxt = r.select(*[F.col(k).alias(f"_p_{k}") for k in part],
-                       (F.col("row_number") - shift).alias("_rn"),
-                       *[F.col(c).alias(prefix + c) for c in cols])
-        cond = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in part] + [F.col("row_number") == F.col("_rn")]
-        out = out.join(nxt, on=cond, how="left").drop(*[f"_p_{k}" for k in part], "_rn")
-    return out
+    return ordered_window(df, order_by, tiebreak, partition_by=partition_by, num_buckets=num_buckets,
+                          totals=False, ranks=False, lead=lead_cols, lag=lag_cols)

@@ -32,7 +32,7 @@ def single_partition_feeds(df: DataFrame) -> list[str]:
     return feeds
 
 
-def is_bounded_feed(feed: str, bounded_keys: tuple[str, ...] = ("_b",)) -> bool:
+def is_bounded_feed(feed: str, bounded_keys: tuple[str, ...] = ("__r",)) -> bool:
     """True if a single-partition exchange is fed by a keyless (partial)
     aggregate or by an aggregate keyed on a bounded summary key (per range)."""
     m = re.search(r"(?:HashAggregate|SortAggregate|ObjectHashAggregate)\((?:keys|key)=\[([^\]]*)\]", feed)

@@ -1,5 +1,10 @@
 """The distributed ordered window equals Spark's plain window functions."""
 
+import datetime
+import math
+import random
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.operators.ordered import exact_quantiles, ntile_col, ordered_window, percent_rank_col
+from cairn.operators.ranges import key_struct, range_number
+from cairn.plans.inspect import is_bounded_feed, plan_text, single_partition_feeds
 
 
 @pytest.fixture(scope="module")
@@ -63,11 +70,79 @@ def test_exact_quantiles_match_pandas(spark, skewed):
             assert abs(row[name] - s.quantile(p)) < 1e-9
 
 
-def test_plan_has_no_single_partition_exchange_on_rows(spark, skewed):
-    res = ordered_window(skewed, ["v"], ["id"], num_buckets=4)
-    plan = res._jdf.queryExecution().executedPlan().toString()
-    # the only SinglePartition exchange allowed is over the per-range summary
-    assert "rangepartitioning" in plan.lower() or "Scan ExistingRDD" in plan or "LogicalRDD" in plan
+def test_plan_is_jvm_only_and_single_partitions_are_bounded(spark, skewed, tmp_path):
+    skewed.write.parquet(f"{tmp_path}/t")
+    res = ordered_window(spark.read.parquet(f"{tmp_path}/t"), ["v"], ["id"], partition_by=["k"], sum_cols=["w"],
+                         num_buckets=4)
+    plan = plan_text(res)
+    assert "hashpartitioning(__r" in plan and "Scan parquet" in plan
+    assert not any(x in plan for x in ("InArrow", "InPandas", "EvalPython", "ExistingRDD"))
+    assert all(is_bounded_feed(f) for f in single_partition_feeds(res))
+
+
+@pytest.mark.parametrize("buckets", [1, 6, 40])
+def test_neighbours_and_latest_row_cross_ranges(spark, skewed, buckets):
+    df = skewed.withColumn("flag", F.col("id") % 17 == 0)
+    res = ordered_window(df, [("v", False)], ["id"], partition_by=["k"], num_buckets=buckets, totals=False, ranks=False,
+                         lead=["id", "w"], lag=["v"], latest=("flag", ["id", "w"]))
+    w = W.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), "id")
+    ref = df.select(F.col("id").alias("e"), F.lead("id").over(w).alias("e_lead"), F.lead("w").over(w).alias("e_w"),
+                    F.lag("v").over(w).alias("e_lag"),
+                    F.last(F.when(F.col("flag"), F.col("id")), ignorenulls=True).over(w).alias("e_at"))
+    bad = res.join(ref, res.id == ref.e).where(~(F.col("lead_id").eqNullSafe(F.col("e_lead"))
+                                                 & F.col("lead_w").eqNullSafe(F.col("e_w"))
+                                                 & F.col("lag_v").eqNullSafe(F.col("e_lag"))
+                                                 & F.col("latest_id").eqNullSafe(F.col("e_at"))))
+    assert res.count() == 3000 and bad.count() == 0
+
+
+def test_hot_value_is_spread_over_ranges(spark):
+    """Half of the rows have one key and one value: the tie-break splits them, ranks still agree."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"),
+                                    F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") % 7).alias("v"))
+    numbered = range_number(df, key_struct(df, [("k", True), ("v", True), ("id", True)]), 32)
+    sizes = [r["count"] for r in numbered.groupBy("_r").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 2 * 40_000 / 32
+    res = ordered_window(df, ["v"], ["id"], partition_by=["k"], num_buckets=32)
+    w = W.partitionBy("k").orderBy("v")
+    ref = df.select(F.col("id").alias("e"), F.rank().over(w).alias("e_rank"), F.dense_rank().over(w).alias("e_dense"),
+                    F.count("*").over(W.partitionBy("k")).alias("e_n"))
+    bad = res.join(ref, res.id == ref.e).where((F.col("rank") != F.col("e_rank")) | (F.col("dense_rank") != F.col("e_dense"))
+                                               | (F.col("partition_rows") != F.col("e_n")))
+    assert bad.count() == 0
+
+
+KINDS = {"double": [None, 1.5, math.nan, math.inf, -math.inf, -0.0, 2.25, 1e300], "long": [None, -2 ** 63, 2 ** 63 - 1, 0, 5],
+         "string": [None, "", "a", "ab", "é", 'b"c', "日", "😀"], "boolean": [None, True, False],
+         "date": [None, datetime.date(2020, 1, 1), datetime.date(1, 1, 1)],
+         "timestamp": [None, datetime.datetime(2020, 1, 1, 1, 2, 3, 4), datetime.datetime(1970, 1, 1)],
+         "timestamp_ntz": [None, datetime.datetime(2020, 1, 1, 1, 2, 3, 45), datetime.datetime(2020, 1, 1, 1, 2, 3, 5)],
+         "decimal(38,10)": [None, Decimal("1.5"), Decimal("-123456789012345678901234567.5")], "binary": [None, b"", b"\x00\xff", b"a"]}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_range_numbers_follow_the_order_of_every_type(spark, kind):
+    r = random.Random(kind)
+    rows = [(r.choice(KINDS[kind]), r.choice(KINDS[kind]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}, id int")
+    for asc in (True, False):
+        numbered = range_number(df, key_struct(df, [("a", asc), ("b", not asc), ("id", True)]), 29)
+        order = [F.col("a").asc_nulls_last() if asc else F.col("a").desc_nulls_last(),
+                 F.col("b").desc_nulls_last() if asc else F.col("b").asc_nulls_last(), F.col("id")]
+        got = [x["_r"] for x in numbered.orderBy(*order).collect()]
+        assert got == sorted(got) and len(set(got)) == 29
+
+
+def test_types_without_an_order_are_refused(spark):
+    df = spark.createDataFrame([([1],)], "a array<int>")
+    with pytest.raises(TypeError, match="array<int>"):
+        ordered_window(df, ["a"], [])
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "k string, v double, id long")
+    res = ordered_window(df, ["v"], ["id"], partition_by=["k"], sum_cols=["v"], lead=["v"], lag=["v"])
+    assert res.collect() == [] and {"row_number", "rank", "partition_rows", "running_v", "lead_v"} <= set(res.columns)
 
 
 def test_default_ranges_coalesced_by_aqe(spark, skewed):

@@ -22,17 +22,17 @@ def test_top_products_is_take_ordered(spark, sf_small):
     assert "BroadcastExchange" in p or "BroadcastHashJoin" in p
 
 
-def test_ordered_queries_avoid_single_partition_on_rows(spark, sf_small):
-    df = QUERIES["order_value_distribution"](spark, sf_small)
-    p = plan(df)
-    # the single-partition windows left are over the per-range summaries
-    assert "Window" in p
-    assert "rangepartitioning" in p.lower() or "ExistingRDD" in p or "Scan" in p
+@pytest.mark.parametrize("key", ["rank_basic", "order_sequence", "order_value_distribution", "purchase_last_click",
+                                 "customer_rank_by_country"])
+def test_ordered_queries_run_on_range_windows_in_the_jvm(spark, sf_small, key):
+    p = plan(QUERIES[key](spark, sf_small))
+    assert "hashpartitioning(__r" in p and "Window" in p
+    assert not any(x in p for x in ("InArrow", "InPandas", "EvalPython", "Scan ExistingRDD"))
 
 
 @pytest.mark.parametrize("key", ["order_value_distribution", "customer_ltv_segments", "rank_basic",
                                  "customer_rank_by_country", "describe_extendedprice",
-                                 "mann_whitney_quantity_linestatus", "order_sequence"])
+                                 "mann_whitney_quantity_linestatus", "order_sequence", "purchase_last_click"])
 def test_single_partition_exchanges_are_fed_by_bounded_rows(spark, sf_small, key):
     from cairn.plans.inspect import is_bounded_feed, single_partition_feeds
     feeds = single_partition_feeds(QUERIES[key](spark, sf_small))
