@@ -265,63 +265,3 @@ def ntile_col(k: int, row_number: str = "row_number", total: str = "partition_ro
     big = r * (q + 1)
     return (F.when(rn <= big, F.ceil(rn / (q + 1)))
             .otherwise(r + F.ceil((rn - big) / q))).cast("bigint")
-
-
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), num_buckets: int | None = None,
-                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """Exact linear-interpolation quantiles (``quantile_cont``/pandas ``quantile``).
-
-    NULLs are ignored.  Values are first reduced to (value, count) pairs — a
-    hot value is one row after map-side combine — and cumulative counts over
-    the sorted distinct values come from :func:`ordered_window`.  The rows at
-    positions floor(h) and ceil(h), h = (n-1)p, are then picked by a range
-    test, so the result has one row per group and one column per p, named
-    ``<prefix>_<p>`` (e.g. ``q_0_25``).
-
-    ``approx=True`` (opt-in, for very large inputs where a rank error of
-    about 1/``accuracy`` is acceptable) uses ``percentile_approx`` instead: one
-    aggregate pass with a bounded sketch per group, no ordered pass.
-    """
-    by = list(by)
-    if approx:
-        names = [f"{prefix}_{str(p).replace('.', '_')}" for p in probs]
-        q = F.percentile_approx(F.col(value_col), [float(p) for p in probs], accuracy)
-        agg = df.where(F.col(value_col).isNotNull()).groupBy(*by).agg(q.alias("_qs"))
-        return agg.select(*by, *[F.col("_qs")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    counts = (df.where(F.col(value_col).isNotNull())
-              .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    # value is unique within each group here, so it is its own tie-break
-    ranked = ordered_window(counts, [value_col], [], partition_by=by,
-                            sum_cols=["_cnt"], num_buckets=num_buckets, totals=not by)
-    # running__cnt = rows with value <= this value; rows before = that - cnt
-    cum_hi = F.col("running__cnt").cast("long")
-    cum_lo = cum_hi - F.col("_cnt")
-    n = F.col("_n_rows")
-    totals = counts.groupBy(*by).agg(F.sum("_cnt").alias("_n_rows"))
-    ranked = ranked.join(totals, on=by, how="inner") if by else ranked.crossJoin(
-        F.broadcast(totals))  # 1 row: the global total
-    picks = []
-    names = []
-    for i, p in enumerate(probs):
-        h = (n - 1) * F.lit(float(p))
-        lo_pos, hi_pos = F.floor(h), F.ceil(h)
-        name = f"{prefix}_{str(p).replace('.', '_')}"
-        names.append(name)
-        lo_val = F.max(F.when((cum_lo <= lo_pos) & (lo_pos < cum_hi), F.col(value_col)))
-        hi_val = F.max(F.when((cum_lo <= hi_pos) & (hi_pos < cum_hi), F.col(value_col)))
-        frac = F.max(h - lo_pos)
-        picks += [lo_val.alias(name + "_lo"), hi_val.alias(name + "_hi"), frac.alias(name + "_d")]
-    # only the (at most 2 per p) rows that hold a target position survive the filter
-    any_hit = None
-    for p in probs:
-        h = (n - 1) * F.lit(float(p))
-        for pos in (F.floor(h), F.ceil(h)):
-            cond = (cum_lo <= pos) & (pos < cum_hi)
-            any_hit = cond if any_hit is None else (any_hit | cond)
-    picked = ranked.where(any_hit).groupBy(*by).agg(*picks)
-    out = [F.col(c) for c in by]
-    for name in names:
-        lo, hi, d = F.col(name + "_lo"), F.col(name + "_hi"), F.col(name + "_d")
-        out.append(F.when(hi == lo, lo).otherwise(lo + (hi - lo) * d).alias(name))
-    return picked.select(*out)

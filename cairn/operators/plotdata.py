@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import nan_to_null
-from cairn.operators.ordered import exact_quantiles
+from cairn.operators.ordered import ordered_window
+from cairn.operators.quantiles import quantiles_of_first_pass, sketch
 from cairn.plans.broadcast import broadcast_bounded
+from cairn.session import checkpoint_dir
 
 # Plot defaults of the reference (fixed values).
 HIST_BINS = 40
@@ -30,41 +32,46 @@ TOP_N = 15
 WHISKER = 1.5
 
 
-def _range_stats(x: DataFrame) -> DataFrame:
-    """min / max with numpy's rule for a constant sample (range widened by 0.5)."""
-    s = x.agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("_x").alias("_n"),
-              F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_sd"))
+def _range_columns(s: DataFrame) -> DataFrame:
+    """Bin range by numpy's rule: a constant sample's range is widened by 0.5."""
     same = F.col("_mn") == F.col("_mx")
     return s.select("*", F.when(same, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                     F.when(same, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
 
 
+def _range_aggs() -> list[Column]:
+    return [F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count("_x").alias("_n"), F.avg("_x").alias("_mean"),
+            F.stddev_samp("_x").alias("_sd")]
+
+
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, materialize: bool = False) -> DataFrame:
     """bin, bin_start, bin_end, count for ``bins`` equal-width bins (empty bins
     included), plus the sample mean and median on every row.
 
     Bin of x = min(floor((x - lo) * bins / (hi - lo)), bins - 1): half-open
     bins with the last one closed, as numpy/seaborn.  NULL/NaN are dropped.
-    ``materialize=True`` checkpoints the one input column first (for an
-    expensive derived ``df``; range, counts and median are three passes).
+    Three scans: range, mean and the median's sketch; the median's bracket; the bins.
+    ``materialize=True`` checkpoints the one input column first (for an expensive derived ``df``).
     """
     x = df.select(nan_to_null(F.col(col).cast("double")).alias("_x")).where(F.col("_x").isNotNull())
     if materialize:
+        checkpoint_dir(df.sparkSession)
         x = x.checkpoint(eager=True)
-    st = broadcast_bounded(_range_stats(x), "1 row: range")
+    first = x.agg(*_range_aggs(), sketch(F.col("_x"), [0.5]).alias("_probes"))
+    one = quantiles_of_first_pass(x, first, "_x", [0.5], [], ["_median"], count="_n")
+    st = broadcast_bounded(_range_columns(one), "1 row: range and median")
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))),
                 F.lit(bins - 1)).cast("int")
     counts = x.crossJoin(st).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    med = exact_quantiles(x, "_x", [0.5], prefix="m").select(F.col("m_0_5").alias("median"))
     spine = x.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return (spine.join(broadcast_bounded(counts, f"{bins} rows: one per bin"), "bin", "left")
-            .crossJoin(st).crossJoin(broadcast_bounded(med, "1 row: median"))
+            .crossJoin(st).where(F.col("_n") > 0)
             .select("bin",
                     (F.col("_lo") + F.col("bin") * width).alias("bin_start"),
                     (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
-                    F.col("_mean").alias("mean"), F.col("median"))
+                    F.col("_mean").alias("mean"), F.col("_median").alias("median"))
             .orderBy("bin"))
 
 
@@ -98,7 +105,7 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = KDE_GRIDSIZE, bins: int =
     ``gridsize`` partial sums per task are then added up by grid point.
     """
     x = df.select(nan_to_null(F.col(col).cast("double")).alias("_x")).where(F.col("_x").isNotNull())
-    st = _range_stats(x).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    st = _range_columns(x.agg(*_range_aggs())).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     st = broadcast_bounded(st, "1 row: range and bandwidth")
     joined = x.crossJoin(st.select("_mn", "_mx", "_h"))
     partial = joined.mapInPandas(_kde_partials(gridsize), "point int, s double")
@@ -117,27 +124,32 @@ def box_stats(df: DataFrame, value_col: str, group_col: str, whis: float = WHISK
               num_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Per group: n, q1, median, q3, whisker_low/high (furthest values within
     whis * IQR of the quartiles), n_fliers (values beyond the whiskers) and
-    ``order`` (1 = highest median, the reference's plotting order)."""
+    ``order`` (1 = highest median, the reference's plotting order).
+
+    Three scans: counts and sketches by group, brackets by group, whiskers.  Brackets and fences are a few numbers a
+    group and reach the rows by broadcast up to ``quantiles.MAX_GROUPS`` groups.
+    """
     x = (df.select(F.col(group_col).alias("_g"), nan_to_null(F.col(value_col).cast("double")).alias("_x"))
          .where(F.col("_x").isNotNull()))
-    if materialize:   # for an expensive derived df: quantiles, fence join and whiskers re-read it
+    if materialize:   # for an expensive derived df: the scans re-read it
+        checkpoint_dir(df.sparkSession)
         x = x.checkpoint(eager=True)
-    q = exact_quantiles(x, "_x", [0.25, 0.5, 0.75], by=["_g"], num_buckets=num_buckets, prefix="q")
-    q = q.select("_g", F.col("q_0_25").alias("q1"), F.col("q_0_5").alias("median"), F.col("q_0_75").alias("q3"))
-    fence = q.select("_g", "q1", "median", "q3",
+    first = x.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), sketch(F.col("_x"), [0.25, 0.5, 0.75]).alias("_probes"))
+    q = quantiles_of_first_pass(x, first, "_x", [0.25, 0.5, 0.75], ["_g"], ["q1", "median", "q3"], num_buckets, count="n")
+    fence = q.select(F.col("_g").alias("_k"), "n", "q1", "median", "q3",
                      (F.col("q1") - whis * (F.col("q3") - F.col("q1"))).alias("_lo"),
                      (F.col("q3") + whis * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    j = x.join(fence, "_g")
+    # one row per group: the planner broadcasts it from its measured size
+    j = x.join(fence, F.col("_g").eqNullSafe(F.col("_k")))
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    g = j.groupBy("_g", "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
+    g = j.groupBy("_g", "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_fliers"))
-    # one row per group: ordering them is cheap
-    order = F.row_number().over(Window.orderBy(F.col("median").desc_nulls_last(), F.col("_g")))
-    return g.select(F.col("_g").alias(group_col), "n", "q1", "median", "q3", "whisker_low",
-                    "whisker_high", "n_fliers", order.alias("order")).orderBy("order")
+    # the place of a group among the medians: an ordered pass over one row per group
+    order = ordered_window(g, [("median", False)], ["_g"], totals=False, ranks=False, materialize=True)
+    return order.select(F.col("_g").alias(group_col), "n", "q1", "median", "q3", "whisker_low", "whisker_high",
+                        "n_fliers", F.col("row_number").alias("order")).orderBy("order")
 
 
 def rolling_mean(series: DataFrame, order_col: str, value_col: str, window: int,

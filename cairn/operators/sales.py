@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalar import day_diff, month_start, safe_div, sql_round
 from cairn.operators.ordered import ntile_col, ordered_window, percent_rank_col
+from cairn.operators.quantiles import exact_quantiles
 from cairn.plans.broadcast import broadcast_bounded
+from cairn.session import checkpoint_dir
 
 COMPLETED = "completed"
 RETURNED = "returned"
@@ -172,33 +174,13 @@ def customer_ltv(customers: DataFrame, orders: DataFrame, order_items: DataFrame
         money("_ltv").alias("lifetime_value"))
 
 
-def percentile_thresholds(ranked: DataFrame, value_col: str, probs) -> DataFrame:
-    """Exact PERCENTILE_CONT values from rows numbered by :func:`ordered_window`.
-
-    Picks the (at most two) rows around position (n-1)p for each p; returns
-    one row with a ``p_<p>`` column per probability.
-    """
-    aggs = []
-    hit = None
-    for p in probs:
-        h = (F.col("partition_rows") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        name = "p_" + str(p).replace(".", "_")
-        lo_v = F.max(F.when(F.col("row_number") == lo, F.col(value_col)))
-        hi_v = F.max(F.when(F.col("row_number") == hi, F.col(value_col)))
-        d = F.max(h - F.floor(h))
-        aggs.append((lo_v + (hi_v - lo_v) * d).alias(name))
-        cond = (F.col("row_number") == lo) | (F.col("row_number") == hi)
-        hit = cond if hit is None else (hit | cond)
-    return ranked.where(hit).agg(*aggs)
-
-
 def customer_ltv_segments(customers: DataFrame, orders: DataFrame, order_items: DataFrame,
                           num_buckets: int | None = None) -> DataFrame:
     """LTV, first/last order, tenure, LTV quartile and percentile segment per customer.
 
-    Quartiles and percentiles are over all customers; both come from one
-    distributed ordered pass (``ordered_window``), ties broken by customer_id.
+    Quartiles and percentiles are over all customers: quartiles from one distributed ordered pass
+    (``ordered_window``), ties broken by customer_id; percentiles exact, by brackets.  The customers'
+    values are written once and read by both.
     """
     co = _customer_orders(orders, order_items)
     c = customers.select("customer_id", "name", "country", "segment")
@@ -206,10 +188,11 @@ def customer_ltv_segments(customers: DataFrame, orders: DataFrame, order_items:
         "customer_id", "name", "country", "segment", "total_orders",
         money("_ltv").alias("lifetime_value"), "first_order", "last_order",
         day_diff("first_order", "last_order").alias("customer_tenure_days"))
-    ranked = ordered_window(ltv, ["lifetime_value"], ["customer_id"], num_buckets=num_buckets, ranks=False,
-                            materialize=True)
+    checkpoint_dir(ltv.sparkSession)
+    ltv = ltv.checkpoint(eager=True)
+    ranked = ordered_window(ltv, ["lifetime_value"], ["customer_id"], num_buckets=num_buckets, ranks=False)
     probs = [p for p, _ in LTV_SEGMENTS]
-    thresholds = broadcast_bounded(percentile_thresholds(ranked, "lifetime_value", probs),
+    thresholds = broadcast_bounded(exact_quantiles(ltv, "lifetime_value", probs, prefix="p"),
                                    "1 row: global percentiles")
     seg = None
     for p, label in LTV_SEGMENTS:

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from cairn.functions.dist import MWU_EXACT_MAX_N, mwu_exact_sf_udf
 from cairn.functions.tails import chi2_sf_col, norm_sf_col, t_two_sided_col
 from cairn.functions.scalar import nan_to_null, numeric_columns, sql_round
-from cairn.operators.ordered import exact_quantiles, ordered_window
+from cairn.operators.ordered import ordered_window
+from cairn.operators.quantiles import exact_quantiles, quantiles_of_first_pass, sketch
 from cairn.plans.broadcast import broadcast_bounded
+from cairn.session import checkpoint_dir
 
 # Effect-size labels (fixed values): upper bounds (exclusive) and labels,
 # Cohen's d on |d|, Cramér's V on V; at or above the last bound: "large".
@@ -79,6 +81,7 @@ def _join_groups(left: DataFrame, right: DataFrame, by: list[str], bound: str) -
 # M-1 describe
 # ---------------------------------------------------------------------------
 
+QUARTILES = [0.25, 0.5, 0.75]
 DESCRIBE_KEYS = ["count", "mean", "median", "std", "min", "q1", "q3", "max", "iqr",
                  "outlier_count", "outlier_pct", "skewness", "kurtosis", "missing", "missing_pct"]
 
@@ -89,35 +92,37 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
     """Extended describe: count, mean, median, std, min, q1, q3, max, IQR,
     IQR-fence outliers, bias-corrected skewness and excess kurtosis, missing.
 
-    Pass 1 is one aggregate (moments, min/max, missing); quantiles are exact
-    (``exact_quantiles``); pass 2 counts values strictly outside the fences
-    q1 - 1.5 IQR and q3 + 1.5 IQR.  Percentages divide by all rows including
-    missing ones.  ``materialize=True`` checkpoints the (narrow) input first —
-    worth it when ``df`` is an expensive derived DataFrame, since the passes
-    would otherwise recompute it; a plain table scan is cheaper to re-read.
-    ``approx_quantiles=True`` opts into ``percentile_approx`` for the quartiles.
+    Pass 1 is one aggregate: moments, min/max, missing and the sketch around the quartiles; pass 2 counts
+    and fetches inside the sketch's brackets until the quartiles are proven (exact); the last pass
+    counts values strictly outside the fences q1 - 1.5 IQR and q3 + 1.5 IQR.  No rows are shuffled.
+    Percentages divide by all rows including missing ones.  ``materialize=True`` checkpoints the (narrow)
+    input first: worth it when ``df`` is an expensive derived DataFrame, since the passes would otherwise
+    recompute it; a plain table scan is cheaper to re-read.  ``approx_quantiles=True`` opts into
+    ``percentile_approx`` for the quartiles.
     """
     by = list(by)
     x = nan_to_null(F.col(col).cast("double"))
     base = df.select(*by, x.alias("_x"))
     if materialize:
+        checkpoint_dir(df.sparkSession)
         base = base.checkpoint(eager=True)
-    moments = base.groupBy(*by).agg(
+    first = base.groupBy(*by).agg(
         F.count("_x").alias("count"), F.count(F.lit(1)).alias("_rows"),
         F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_std"),
         F.stddev_pop("_x").alias("_sdp"),
         F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.skewness("_x").alias("_g1"), F.kurtosis("_x").alias("_g2"))
-    q = exact_quantiles(base, "_x", [0.25, 0.5, 0.75], by=by, num_buckets=num_buckets, prefix="q",
-                        approx=approx_quantiles)
-    q = q.select(*by, F.col("q_0_25").alias("_q1"), F.col("q_0_5").alias("_med"),
-                 F.col("q_0_75").alias("_q3"))
-    fences = q.select(*by, (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
+        F.skewness("_x").alias("_g1"), F.kurtosis("_x").alias("_g2"),
+        sketch(F.col("_x"), QUARTILES).alias("_probes"))
+    if approx_quantiles:
+        q = exact_quantiles(base, "_x", QUARTILES, by=by, approx=True).toDF(*by, "_q1", "_med", "_q3")
+        m = _join_groups(first.drop("_probes"), q, by, "1 row: global quantiles")
+    else:
+        m = quantiles_of_first_pass(base, first, "_x", QUARTILES, by, ["_q1", "_med", "_q3"], num_buckets)
+    fences = m.select(*by, (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
                       (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
     flagged = _join_groups(base, fences, by, "1 row: global fences")
     outliers = flagged.groupBy(*by).agg(
         F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outlier_count"))
-    m = _join_groups(moments, q, by, "1 row: global quantiles")
     m = _join_groups(m, outliers, by, "1 row: global outlier count")
     n = F.col("count").cast("double")
     # pandas skew/kurt: adjusted Fisher-Pearson from population g1, g2; 0 for a constant column
@@ -158,7 +163,8 @@ def _two_sample_moments(df: DataFrame, value_col: str, group_col: str, group_a,
     g = F.col(group_col)
     xa = F.when(g == F.lit(group_a), x)
     xb = F.when(g == F.lit(group_b), x)
-    return df.groupBy(*by).agg(
+    # other groups do not count: the filter reaches the scan
+    return df.where(g.isin(group_a, group_b)).groupBy(*by).agg(
         F.count(xa).alias("n_a"), F.count(xb).alias("n_b"),
         F.avg(xa).alias("m_a"), F.avg(xb).alias("m_b"),
         F.var_samp(xa).alias("v_a"), F.var_samp(xb).alias("v_b"))

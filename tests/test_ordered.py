@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.operators.ordered import exact_quantiles, ntile_col, ordered_window, percent_rank_col
+from cairn.operators.ordered import ntile_col, ordered_window, percent_rank_col
+from cairn.operators.quantiles import exact_quantiles
 from cairn.operators.ranges import key_struct, range_number
 from cairn.plans.inspect import is_bounded_feed, plan_text, single_partition_feeds
 

@@ -27,7 +27,9 @@ def test_top_products_is_take_ordered(spark, sf_small):
 def test_ordered_queries_run_on_range_windows_in_the_jvm(spark, sf_small, key):
     p = plan(QUERIES[key](spark, sf_small))
     assert "hashpartitioning(__r" in p and "Window" in p
-    assert not any(x in p for x in ("InArrow", "InPandas", "EvalPython", "Scan ExistingRDD"))
+    assert not any(x in p for x in ("InArrow", "InPandas", "EvalPython"))
+    if key in ("rank_basic", "order_sequence", "purchase_last_click"):   # table scans: nothing is written first
+        assert "Scan ExistingRDD" not in p
 
 
 @pytest.mark.parametrize("key", ["order_value_distribution", "customer_ltv_segments", "rank_basic",
