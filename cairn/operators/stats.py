@@ -227,43 +227,37 @@ def _chi_square_core(df: DataFrame, row_col: str, col_col: str, by: list[str],
                      yates: bool, count_col: str | None = None) -> DataFrame:
     """Per group: n, R, C, dof, chi2 (Yates-corrected when dof == 1 and ``yates``).
 
-    Uses chi2 = sum over observed cells of O^2/E - n, so empty cells of the
-    R x C grid never have to be materialised.  The 2x2 Yates case adds the
-    empty cells' terms from the (two) row and (two) column margins.
+    Margins are multiplied as 38-digit decimals, so counts of any size neither overflow nor cancel: a
+    seen cell adds (O - E)^2 / E with O - E = (O n - r c) / n exact, and all empty cells of the R x C grid
+    together add n - sum of E over the seen cells = (n^2 - sum r c) / n, also exact.  In a 2x2 table |O - E| is the
+    same in all four cells, and the sum of 1 / E is n (1/r1 + 1/r2) (1/c1 + 1/c2).
     """
     pairs = df.where(F.col(row_col).isNotNull() & F.col(col_col).isNotNull())
     weight = F.sum(F.col(count_col)).cast("bigint") if count_col else F.count(F.lit(1))
     cells = pairs.groupBy(*by, row_col, col_col).agg(weight.alias("_o")).where(F.col("_o") > 0)
     rows = cells.groupBy(*by, row_col).agg(F.sum("_o").alias("_r"))
     cols = cells.groupBy(*by, col_col).agg(F.sum("_o").alias("_c"))
-    tot = cells.groupBy(*by).agg(F.sum("_o").alias("n"))
-    rstat = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("R"), F.min("_r").alias("_r1"),
-                                  F.max("_r").alias("_r2"))
-    cstat = cols.groupBy(*by).agg(F.count(F.lit(1)).alias("C"), F.min("_c").alias("_c1"),
-                                  F.max("_c").alias("_c2"))
-    e = (cells.join(rows, on=by + [row_col]).join(cols, on=by + [col_col]))
-    e = _join_groups(e, tot, by, "1 row: grand total")
-    e = e.withColumn("_e", F.col("_r") * F.col("_c") / F.col("n"))
-    g_obs = (F.greatest(F.abs(F.col("_o") - F.col("_e")) - 0.5, F.lit(0.0))) ** 2 / F.col("_e")
-    g_zero_obs = (F.greatest(F.col("_e") - 0.5, F.lit(0.0))) ** 2 / F.col("_e")
-    agg = e.groupBy(*by).agg(F.sum(F.col("_o") * F.col("_o") / F.col("_e")).alias("_s_plain"),
-                             F.sum(g_obs).alias("_s_yates_obs"),
-                             F.sum(g_zero_obs).alias("_s_yates_as_zero"))
-    out = _join_groups(tot, agg, by, "1 row")
-    out = _join_groups(out, rstat, by, "1 row")
-    out = _join_groups(out, cstat, by, "1 row")
+    inverse = F.lit(1.0)
+    rstat = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("R"), F.sum("_r").alias("n"),
+                                  F.sum(inverse / F.col("_r")).alias("_inv_r"))
+    cstat = cols.groupBy(*by).agg(F.count(F.lit(1)).alias("C"), F.sum(inverse / F.col("_c")).alias("_inv_c"))
+    margins = _join_groups(rstat, cstat, by, "1 row: margins")
+    e = cells.join(rows, on=by + [row_col]).join(cols, on=by + [col_col])
+    e = _join_groups(e, margins.select(*by, F.col("n").alias("_n")), by, "1 row: grand total")
+    whole = "decimal(19,0)"
+    rc = F.col("_r").cast(whole) * F.col("_c").cast(whole)
+    off = F.abs((F.col("_o").cast(whole) * F.col("_n").cast(whole) - rc).cast("double")) / F.col("_n")
+    agg = e.groupBy(*by).agg(
+        F.sum(off * off * F.col("_n") / rc.cast("double")).alias("_seen"),
+        F.sum(rc).alias("_rc"), F.max(off).alias("_off"))
+    out = _join_groups(margins, agg, by, "1 row")
     n = F.col("n").cast("double")
-
-    def gz(r, c):  # Yates term of a cell if it were empty: (max(E - 0.5, 0))^2 / E
-        ev = F.col(r) * F.col(c) / n
-        return F.greatest(ev - 0.5, F.lit(0.0)) ** 2 / ev
-
-    all_cells_as_zero = gz("_r1", "_c1") + gz("_r1", "_c2") + gz("_r2", "_c1") + gz("_r2", "_c2")
+    empty = (F.col("n").cast(whole) * F.col("n").cast(whole) - F.col("_rc")).cast("double") / n
+    corrected = F.greatest(F.col("_off") - 0.5, F.lit(0.0)) ** 2 * n * F.col("_inv_r") * F.col("_inv_c")
     dof = ((F.col("R") - 1) * (F.col("C") - 1)).cast("bigint")
-    plain = F.col("_s_plain") - n
-    yates_chi2 = F.col("_s_yates_obs") + (all_cells_as_zero - F.col("_s_yates_as_zero"))
-    chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(bool(yates)), yates_chi2).otherwise(plain)
-    return out.select(*by, "n", "R", "C", dof.alias("dof"), F.greatest(chi2, F.lit(0.0)).alias("_chi2"))
+    chi2 = (F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(bool(yates)), corrected)
+            .otherwise(F.col("_seen") + empty))
+    return out.select(*by, "n", "R", "C", dof.alias("dof"), chi2.alias("_chi2"))
 
 
 def _cramers_v_expr() -> Column:

@@ -207,6 +207,10 @@ def q_chi_square_returnflag_linestatus(spark, sf_dir):
     return stats.chi_square_test(_t(spark, sf_dir).raw("lineitem"), "l_returnflag", "l_linestatus")
 
 
+def q_chi_square_partkey_suppkey(spark, sf_dir):
+    return stats.chi_square_test(_t(spark, sf_dir).raw("lineitem"), "l_partkey", "l_suppkey")
+
+
 def q_cramers_v_returnflag_linestatus(spark, sf_dir):
     v = stats.cramers_v(_t(spark, sf_dir).raw("lineitem"), "l_returnflag", "l_linestatus")
     return v.select(sql_round("cramers_v", 6).alias("cramers_v"))
@@ -400,6 +404,7 @@ QUERIES: dict[str, Query] = {
     "mann_whitney_supplier_balance": q_mann_whitney_supplier_balance,
     "chi_square_quality_toxic": q_chi_square_quality_toxic,
     "chi_square_returnflag_linestatus": q_chi_square_returnflag_linestatus,
+    "chi_square_partkey_suppkey": q_chi_square_partkey_suppkey,
     "cramers_v_returnflag_linestatus": q_cramers_v_returnflag_linestatus,
     "correlation_lineitem": q_correlation_lineitem,
     "correlation_lineitem_spearman": q_correlation_lineitem_spearman,
