@@ -65,6 +65,15 @@ def day_diff(start: str | Column, end: str | Column) -> Column:
     return F.datediff(F.to_date(_c(end)), F.to_date(_c(start))).cast("bigint")
 
 
+def parse_datetime(col: str | Column, formats: Sequence[str]) -> Column:
+    """Text to a timestamp without time zone: the first of ``formats`` (Spark patterns) that reads the
+    whole text; NULL where none does, as for NULL, empty and impossible dates."""
+    if not formats:
+        raise ValueError("parse_datetime needs at least one format")
+    c = F.trim(_c(col))
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+
 def cut(col: str | Column, bins: Sequence[float], labels: Sequence[str] | None = None) -> Column:
     """``pandas.cut`` with right-closed intervals ``(b0, b1], (b1, b2], ...``.
 
@@ -95,6 +104,17 @@ def clip(col: str | Column, lower: float | None = None, upper: float | None = No
     return c
 
 
+def choose(conditions: Sequence[Column], values: Sequence, default=None) -> Column:
+    """``numpy.select`` / ``numpy.where``: the value of the first condition that holds, else ``default``
+    (a NULL condition does not hold)."""
+    if not conditions or len(conditions) != len(values):
+        raise ValueError("choose needs as many values as conditions, one at least")
+    out = F.when(conditions[0], values[0])
+    for cond, value in zip(conditions[1:], values[1:]):
+        out = out.when(cond, value)
+    return out.otherwise(default)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """``select_dtypes(include=number)``: numeric, not boolean, not string."""
     return [f.name for f in df.schema.fields

@@ -385,19 +385,21 @@ def mann_whitney_test(df: DataFrame, value_col: str, group_col: str, group_a, gr
 # Correlation (M-8)
 # ---------------------------------------------------------------------------
 
-def _pearson_pairs(df: DataFrame, cols: list[str], x_of=None) -> DataFrame:
+def _pearson_pairs(df: DataFrame, cols: list[str], pair_of=None) -> DataFrame:
     """One aggregate pass: pairwise-complete n and Pearson r for every unordered pair.
 
-    ``x_of(c)`` gives the SQL expression standing for column ``c`` (ranks for
-    Spearman); default: the value with NaN as NULL.  Aggregates are written as
+    ``pair_of(i, j)`` gives the SQL expressions standing for columns i and j in their pair (ranks for
+    Spearman); default: the values with NaN as NULL.  Aggregates are written as
     SQL text: one expression per aggregate instead of many Column operations.
     """
-    x_of = x_of or (lambda c: f"CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END")
-    vals = df.select(*[F.expr(x_of(c)).alias(f"_v{i}") for i, c in enumerate(cols)])
+    if pair_of is None:
+        df = df.select(*[F.expr(f"CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL ELSE CAST(`{c}` AS DOUBLE) END")
+                         .alias(f"_v{i}") for i, c in enumerate(cols)])
+    pair_of = pair_of or (lambda i, j: (f"_v{i}", f"_v{j}"))
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
-            xa, xb = f"_v{i}", f"_v{j}"
+            xa, xb = pair_of(i, j)
             both = f"({xa} IS NOT NULL AND {xb} IS NOT NULL)"
             ka, kb = f"CASE WHEN {both} THEN {xa} END", f"CASE WHEN {both} THEN {xb} END"
             tag = f"{i}_{j}"
@@ -406,7 +408,7 @@ def _pearson_pairs(df: DataFrame, cols: list[str], x_of=None) -> DataFrame:
                      F.expr(f"stddev_pop({ka})").alias(f"sa_{tag}"),
                      F.expr(f"stddev_pop({kb})").alias(f"sb_{tag}")]
             pairs.append((a, cols[j], tag))
-    row = vals.agg(*aggs)
+    row = df.agg(*aggs)
     structs = ", ".join(
         f"named_struct('col_a', '{a}', 'col_b', '{b}', 'n', n_{t}, 'corr', "
         f"CASE WHEN sa_{t} > 0 AND sb_{t} > 0 THEN greatest(-1.0D, least(1.0D, "
@@ -415,16 +417,6 @@ def _pearson_pairs(df: DataFrame, cols: list[str], x_of=None) -> DataFrame:
     return row.select(F.expr(f"explode(array({structs}))").alias("s")).select("s.*")
 
 
-def _midranks(df: DataFrame, col: str, num_buckets: int | None) -> DataFrame:
-    """(value, mid-rank) for the non-NULL values of ``col`` (average rank of ties)."""
-    counts = (df.select(nan_to_null(F.col(col).cast("double")).alias("_v"))
-              .where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("_t")))
-    r = ordered_window(counts, ["_v"], [], sum_cols=["_t"], num_buckets=num_buckets, totals=False, ranks=False,
-                       materialize=True)
-    return r.select(F.col("_v").alias(col), (F.col("running__t") - F.col("_t") + (F.col("_t") + 1) / 2)
-                    .alias(f"_rank_{col}"))
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson",
                        min_periods: int = 30, num_buckets: int | None = None) -> DataFrame:
     """Correlation matrix with p-values, long form: col_a, col_b, n, corr, p_value.
@@ -433,8 +425,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
     is NULL when a pair has fewer than ``min_periods`` rows or a column is
     constant; p_value is 1.0 on the diagonal and for pairs under
     ``min_periods``.  Pearson and Spearman p-values use t = r sqrt((n-2)/(1-r^2))
-    with n-2 degrees of freedom.  Spearman ranks each column after the
-    pairwise NULL removal (when there are no NULLs, once per column).
+    with n-2 degrees of freedom.  Spearman ranks each column among the rows that
+    are complete in its pair; one ordered pass gives the ranks for all pairs.
     """
     cols = list(cols) if cols else numeric_columns(df)
     if method == "pearson":
@@ -466,47 +458,35 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
             .select("r.*"))
 
 
-def _stacked_midranks(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
-    """(_c, _v, _rank): mid-ranks of every column's values, all columns in one
-    distributed ordered pass (the column name is the window partition)."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in cols])).alias("s")).select("s.*")
-    counts = (long.where(F.col("_v").isNotNull()).groupBy("_c", "_v")
-              .agg(F.count(F.lit(1)).cast("double").alias("_t")))
-    r = ordered_window(counts, ["_v"], [], partition_by=["_c"], sum_cols=["_t"], num_buckets=num_buckets)
-    return r.select("_c", "_v", (F.col("running__t") - F.col("_t") + (F.col("_t") + 1) / 2).alias("_rank"))
+def _partner_midranks(x: DataFrame, width: int, num_buckets: int | None) -> DataFrame:
+    """(_c, _v, _r0 .. ): for each value of column number _c its mid-rank among the rows in which column 0, 1, ..
+    is present as well.
+
+    A value's rows are counted by which partners are present, so NULLs anywhere need no further pass: all
+    columns and all partners are ranked in one distributed ordered pass over the distinct values.
+    """
+    present = [F.col(f"_x{i}").isNotNull() for i in range(width)]
+    long = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_x{i}").alias("_v")) for i in range(width)]))
+                    .alias("s"), *[p.alias(f"_p{i}") for i, p in enumerate(present)])
+    counts = (long.select("s.*", *[f"_p{i}" for i in range(width)]).where(F.col("_v").isNotNull()).groupBy("_c", "_v")
+              .agg(*[F.count_if(f"_p{i}").alias(f"_n{i}") for i in range(width)]))
+    r = ordered_window(counts, ["_v"], [], partition_by=["_c"], sum_cols=[f"_n{i}" for i in range(width)],
+                       num_buckets=num_buckets, totals=False, ranks=False, materialize=True)
+    return r.select("_c", "_v", *[(F.col(f"running__n{i}") - F.col(f"_n{i}") + (F.col(f"_n{i}") + 1) / 2).alias(f"_r{i}")
+                                  for i in range(width)])
 
 
 def _spearman_pairs(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
-    x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    nulls = x.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    if all(nulls[c] == 0 for c in cols):
-        # no NULLs: pairwise-complete rows are all rows, so each column is ranked once
-        ranks = _stacked_midranks(x, cols, num_buckets)
-        ranked = x
-        for c in cols:
-            rc = ranks.where(F.col("_c") == c).select(F.col("_v").alias(c), F.col("_rank").alias(f"_rank_{c}"))
-            ranked = ranked.join(rc, on=c)
-        return _pearson_pairs(ranked, cols, x_of=lambda c: f"`_rank_{c}`")
-    results = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            sub = x.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()) if a != b \
-                else x.select(a).where(F.col(a).isNotNull())
-            ra = _midranks(sub, a, num_buckets)
-            ranked = sub.join(ra, on=a)
-            if a != b:
-                rb = _midranks(sub, b, num_buckets)
-                ranked = ranked.join(rb, on=b)
-                pr = _pearson_pairs(ranked, [a, b], x_of=lambda c: f"`_rank_{c}`")
-                results.append(pr.where(F.col("col_a") != F.col("col_b")))
-            else:
-                pr = _pearson_pairs(ranked, [a], x_of=lambda c: f"`_rank_{c}`")
-                results.append(pr)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    """Pearson of mid-ranks; a pair's ranks are among the rows that have both columns."""
+    x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    ranks = _partner_midranks(x, len(cols), num_buckets)
+    ranked = x
+    for i in range(len(cols)):
+        mine = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_x{i}"), *[
+            F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in range(len(cols))])
+        # one row per distinct value; a NULL finds none and stays out of the column's pairs
+        ranked = ranked.join(mine, on=f"_x{i}", how="left")
+    return _pearson_pairs(ranked, cols, pair_of=lambda i, j: (f"_r{i}_{j}", f"_r{j}_{i}"))
 
 
 def strong_correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.3,

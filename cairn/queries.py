@@ -5,17 +5,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import sql_round
-from cairn.functions.scalar import day_diff
+from cairn.functions.scalar import choose, clip, day_diff, parse_datetime, sql_round
 from cairn.operators import clinical, cohort, joins, plotdata, sales, stats, windows
 from cairn.operators.ordered import ordered_window
 from cairn.sources import catalog
+from cairn.session import checkpoint_dir
 from cairn.sources.tables import DriverTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,8 +356,8 @@ def q_purchase_last_click(spark, sf_dir):
         F.col("value").alias("click_value"))
     j = joins.asof_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["event_id"],
                         ["click_event_id"], ["click_event_id", "click_ts", "click_value"])
-    # NULL when no earlier click; double so both engines report one type
-    return j.withColumn("click_event_id", F.col("click_event_id").cast("double"))
+    # the operator keeps the id a bigint; as text a NULL beside it has the same type in both engines
+    return j.withColumn("click_event_id", F.col("click_event_id").cast("string"))
 
 
 def q_channel_status_pivot(spark, sf_dir):
@@ -367,6 +368,87 @@ def q_channel_status_pivot(spark, sf_dir):
                                        'cancelled' AS cancelled))""")
 
 
+# --- parsing, conditions, missing values, scripts and files -----------------------
+
+#: Formats in which the order dates below are written out, by status; the last one is not among the read ones.
+WRITTEN = {"completed": "yyyy-MM-dd", "returned": "dd/MM/yyyy HH:mm", "cancelled": "'Q'q yyyy"}
+
+
+def q_order_dates_parsed(spark, sf_dir):
+    """Order dates as text in a format that depends on the status, read back with a list of formats."""
+    o = _t(spark, sf_dir).orders()
+    text = choose([F.col("status") == s for s in WRITTEN], [F.date_format("order_date", f) for f in WRITTEN.values()])
+    return o.select("order_id", text.alias("written"),
+                    parse_datetime(text, ["yyyy-MM-dd", "dd/MM/yyyy HH:mm"]).alias("parsed"))
+
+
+def q_patients_adjusted(spark, sf_dir):
+    """Improvement bounded to [8, 20] and recovery shortened for the treated, conditionally on the age."""
+    p = _t(spark, sf_dir).patients()
+    short = choose([(F.col("group") == "treatment") & (F.col("age") > 70), F.col("group") == "treatment"],
+                   [F.col("recovery_days") - 2, F.col("recovery_days") - 5], F.col("recovery_days"))
+    return p.select("patient_id", clip("score_improvement", 8.0, 20.0).alias("bounded_improvement"),
+                    clip("baseline_score", lower=25.0).alias("baseline_floor"), short.alias("adjusted_days"))
+
+
+def q_cohort_matrix_wide(spark, sf_dir):
+    return cohort.cohort_matrix(cohort.cohort_retention(_t(spark, sf_dir).orders()), periods=[0, 1, 2, 3, 6, 12])
+
+
+def q_ranked_subcategory_revenue(spark, sf_dir):
+    """The 15 best of 25 brands by completed revenue."""
+    t = _t(spark, sf_dir)
+    m = sales.category_margin(t.orders(), t.order_items(), t.products())
+    by_brand = m.groupBy("subcategory").agg((F.sum(F.round(F.col("revenue") * 100).cast("bigint")) / 100).alias("revenue"))
+    r = plotdata.ranked_top(by_brand, "subcategory", "revenue")
+    return r.select("subcategory", "revenue", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _lineitem_missing(spark, sf_dir):
+    li = _t(spark, sf_dir).raw("lineitem")
+    return li.select("l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("discount"),
+                     F.nullif("l_tax", F.lit(0.0)).alias("tax"))
+
+
+def q_correlation_missing(spark, sf_dir):
+    return _rounded_corr(stats.correlation_matrix(_lineitem_missing(spark, sf_dir), method="pearson"))
+
+
+def q_correlation_missing_spearman(spark, sf_dir):
+    return _rounded_corr(stats.correlation_matrix(_lineitem_missing(spark, sf_dir), method="spearman"))
+
+
+def q_correlation_patients_spearman(spark, sf_dir):
+    """No column list: all numeric columns, the id among them."""
+    return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), method="spearman"))
+
+
+#: Two statements: a view and a query that reads it.
+RETURNS_SCRIPT = """
+-- orders and customers by channel and year; a semicolon in a comment; is not an end
+CREATE OR REPLACE TEMPORARY VIEW yearly AS
+SELECT channel, year(order_date) AS y, count(*) AS n, count_if(status = 'returned') AS back
+FROM orders_logical GROUP BY channel, year(order_date);
+SELECT channel, CAST(y AS BIGINT) AS order_year, n AS orders, round(back / n * 100, 2) AS returned_pct FROM yearly;
+"""
+
+
+def q_script_returns_by_year(spark, sf_dir):
+    catalog.load_dataframe(spark, _t(spark, sf_dir).orders(), "orders_logical")
+    return catalog.run_sql_script(spark, RETURNS_SCRIPT)[-1]
+
+
+def q_csv_customers(spark, sf_dir):
+    """Customers written out as CSV and loaded again with inferred types."""
+    c = _t(spark, sf_dir).raw("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    c.write.option("header", True).csv(path)
+    loaded = catalog.load_csv(spark, path, "customers_csv")
+    return (loaded.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").cast("bigint").alias("last_id"),
+                                               F.max("c_acctbal").alias("best_balance"))
+            .withColumnRenamed("c_mktsegment", "segment"))
+
+
 QUERIES: dict[str, Query] = {
     "monthly_revenue": q_monthly_revenue,
     "category_margin": q_category_margin,
@@ -426,4 +508,13 @@ QUERIES: dict[str, Query] = {
     "order_sequence": q_order_sequence,
     "purchase_last_click": q_purchase_last_click,
     "channel_status_pivot": q_channel_status_pivot,
+    "order_dates_parsed": q_order_dates_parsed,
+    "patients_adjusted": q_patients_adjusted,
+    "cohort_matrix_wide": q_cohort_matrix_wide,
+    "ranked_subcategory_revenue": q_ranked_subcategory_revenue,
+    "correlation_missing": q_correlation_missing,
+    "correlation_missing_spearman": q_correlation_missing_spearman,
+    "correlation_patients_spearman": q_correlation_patients_spearman,
+    "script_returns_by_year": q_script_returns_by_year,
+    "csv_customers": q_csv_customers,
 }

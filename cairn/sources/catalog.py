@@ -95,8 +95,13 @@ def split_statements(script: str) -> list[str]:
 
 
 def run_sql_file(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Run every statement of a SQL script file in order; return their DataFrames."""
+    return run_sql_script(spark, Path(path).read_text())
+
+
+def run_sql_script(spark: SparkSession, script: str) -> list[DataFrame]:
     """Run every statement of a SQL script in order; return their DataFrames."""
-    return [spark.sql(stmt) for stmt in split_statements(Path(path).read_text())]
+    return [spark.sql(stmt) for stmt in split_statements(script)]
 
 
 def table(spark: SparkSession, name: str) -> DataFrame:

@@ -753,7 +753,7 @@ SQL["purchase_last_click"] = """
 , purchases AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
 clicks AS (SELECT user_id, event_id AS click_event_id, ts AS click_ts, value AS click_value
            FROM events WHERE event_type = 'click')
-SELECT p.event_id, p.user_id, p.ts, p.value, c.click_event_id::DOUBLE AS click_event_id,
+SELECT p.event_id, p.user_id, p.ts, p.value, c.click_event_id::VARCHAR AS click_event_id,
        c.click_ts, c.click_value
 FROM purchases p ASOF LEFT JOIN clicks c ON p.user_id = c.user_id AND p.ts >= c.click_ts
 """
@@ -865,6 +865,58 @@ SQL["histogram_ltv"] = _LTV_CTE + _histogram("customer_ltv", "lifetime_value")
 SQL["kde_ltv"] = _LTV_CTE + _kde("customer_ltv", "lifetime_value")
 SQL["box_stats_improvement_by_age_group"] = _box("patients", "score_improvement", "age_group")
 
+
+# ---------------------------------------------------------------------------
+# Parsing, conditions, missing values, scripts and files.
+# ---------------------------------------------------------------------------
+
+SQL["order_dates_parsed"] = """
+, w AS (
+    SELECT order_id, order_date, CASE status WHEN 'completed' THEN strftime(order_date, '%Y-%m-%d')
+               WHEN 'returned' THEN strftime(order_date, '%d/%m/%Y %H:%M')
+               ELSE 'Q' || quarter(order_date) || ' ' || year(order_date) END AS written
+    FROM orders
+)
+SELECT order_id, written, COALESCE(try_strptime(written, '%Y-%m-%d'), try_strptime(written, '%d/%m/%Y %H:%M')) AS parsed FROM w
+"""
+
+SQL["patients_adjusted"] = """
+SELECT patient_id, LEAST(20.0::DOUBLE, GREATEST(8.0::DOUBLE, score_improvement)) AS bounded_improvement,
+       GREATEST(25.0::DOUBLE, baseline_score) AS baseline_floor,
+       CAST(recovery_days - CASE "group" WHEN 'treatment' THEN CASE WHEN age > 70 THEN 2 ELSE 5 END ELSE 0 END AS INTEGER)
+           AS adjusted_days
+FROM patients
+"""
+
+SQL["cohort_matrix_wide"] = RETENTION + "SELECT strftime(cohort_month, '%Y-%m') AS cohort, " + ", ".join(
+    f"MAX(retention_pct) FILTER (WHERE months_since_first = {k}) AS \"Month {k}\"" for k in (0, 1, 2, 3, 6, 12)
+) + " FROM retention GROUP BY ALL"
+
+SQL["ranked_subcategory_revenue"] = SOLD + """
+SELECT subcategory, r / 100 AS revenue, row_number() OVER (ORDER BY r DESC, subcategory) AS rank
+FROM (SELECT subcategory, SUM(c) AS r FROM shelf GROUP BY ALL) QUALIFY rank <= 15
+"""
+
+_MISSING = """
+, missing AS (SELECT l_quantity, NULLIF(l_discount, 0) AS discount, NULLIF(l_tax, 0) AS tax FROM lineitem)
+"""
+SQL["correlation_missing"] = _MISSING + _correlation("missing", ["l_quantity", "discount", "tax"])
+SQL["correlation_missing_spearman"] = _MISSING + _correlation("missing", ["l_quantity", "discount", "tax"], method="spearman")
+SQL["correlation_patients_spearman"] = _correlation("patients", [
+    "patient_id", "age", "baseline_score", "followup_score", "recovery_days", "score_improvement"], method="spearman")
+
+SQL["script_returns_by_year"] = """
+SELECT channel, year(order_date) AS order_year, COUNT(*) AS orders,
+       ROUND(COUNT(*) FILTER (WHERE status = 'returned') / COUNT(*) * 100, 2) AS returned_pct
+FROM orders GROUP BY ALL
+"""
+
+SQL["csv_customers"] = """
+SELECT c_mktsegment AS segment, COUNT(*) AS n, MAX(c_custkey) AS last_id, MAX(c_acctbal) AS best_balance
+FROM customer GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Full statements: adapter CTEs followed by each query (a leading comma
     continues the WITH list)."""

@@ -1,45 +1,43 @@
-"""The reference's database tests restated on the Spark catalog."""
+"""The catalog surface: names, statements, scripts, files, bounded results."""
 
 import pandas as pd
 import pytest
 
 from cairn.sources import catalog
 
-SAMPLE = pd.DataFrame({"id": [1, 2, 3], "name": ["Alice", "Bob", "Carol"], "score": [85.5, 92.0, 78.3]})
+TANKS = [("north", 40, 12.25), ("south", 55, 3.5), ("west", 55, None), ("east", 7, 88.0)]
 
 
-def test_session_is_available(spark):
-    assert spark is not None
-    assert spark.sparkContext.getCheckpointDir()
-
+@pytest.fixture
+def tanks(spark):
+    df = spark.createDataFrame(TANKS, "site string, depth int, level double")
+    return catalog.load_dataframe(spark, df, "tanks")
 
-def test_load_and_count(spark):
-    catalog.load_dataframe(spark, SAMPLE, "t_count")
-    assert catalog.query(spark, "SELECT COUNT(*) AS n FROM t_count").first()["n"] == 3
 
-
-def test_filter_returns_dataframe(spark):
-    catalog.load_dataframe(spark, SAMPLE, "t_filter")
-    res = catalog.to_pandas_bounded(catalog.query(spark, "SELECT name, score FROM t_filter WHERE score > 80"), limit=10)
-    assert isinstance(res, pd.DataFrame)
-    assert len(res) == 2
+def test_the_session_can_checkpoint(spark):
+    assert spark.sparkContext.getCheckpointDir()
 
 
-def test_aggregation(spark):
-    catalog.load_dataframe(spark, SAMPLE, "t_agg")
-    v = catalog.query(spark, "SELECT ROUND(AVG(score), 2) AS avg_score FROM t_agg").first()["avg_score"]
-    assert abs(v - round((85.5 + 92.0 + 78.3) / 3, 2)) < 0.01
+def test_registered_frames_answer_statements(spark, tanks):
+    rows = catalog.query(spark, "SELECT depth, count(level) AS known, sum(level) AS total FROM tanks GROUP BY depth")
+    assert {r["depth"]: (r["known"], r["total"]) for r in rows.collect()} == {40: (1, 12.25), 55: (1, 3.5), 7: (1, 88.0)}
+    best = catalog.query(spark, "SELECT site, dense_rank() OVER (ORDER BY depth DESC) AS place FROM tanks")
+    assert sorted(r["site"] for r in best.collect() if r["place"] == 1) == ["south", "west"]
+    assert catalog.table(spark, "tanks").columns == ["site", "depth", "level"]
 
 
-def test_window_rank(spark):
-    catalog.load_dataframe(spark, SAMPLE, "t_window")
-    res = catalog.query(spark, "SELECT name, RANK() OVER (ORDER BY score DESC) AS rnk FROM t_window").toPandas()
-    assert res.loc[res.name == "Bob", "rnk"].iloc[0] == 1
+def test_parameters_and_replacement(spark, tanks):
+    deep = catalog.query(spark, "SELECT site FROM tanks WHERE depth > :least", {"least": 50})
+    assert {r["site"] for r in deep.collect()} == {"south", "west"}
+    catalog.load_dataframe(spark, pd.DataFrame({"site": ["only"], "depth": [1], "level": [0.5]}), "tanks")
+    assert [r["site"] for r in catalog.table(spark, "tanks").collect()] == ["only"]
 
 
-def test_queries_see_tables_registered_elsewhere(spark):
-    catalog.load_dataframe(spark, SAMPLE, "t_shared")
-    assert catalog.table(spark, "t_shared").count() == 3
+def test_scripts_run_in_order(spark, tanks):
+    done = catalog.run_sql_script(spark, "CREATE OR REPLACE TEMP VIEW low AS SELECT * FROM tanks WHERE level < 20; "
+                                         "SELECT count(*) AS n FROM low -- the end;")
+    assert len(done) == 2 and done[-1].first()["n"] == 2
+    assert catalog.run_sql_script(spark, " ; -- nothing") == []
 
 
 def test_split_statements_respects_quotes_and_comments():
@@ -54,16 +52,14 @@ def test_split_statements_respects_quotes_and_comments():
     assert '"c;d"' in parts[1]
 
 
-def test_run_sql_file_and_load_csv(spark, tmp_path):
-    csv = tmp_path / "people.csv"
-    SAMPLE.to_csv(csv, index=False)
-    df = catalog.load_csv(spark, str(csv), "people_csv")
-    assert dict(df.dtypes)["score"] == "double"
-    sql = tmp_path / "q.sql"
-    sql.write_text("CREATE OR REPLACE TEMP VIEW top AS SELECT * FROM people_csv WHERE score > 80;\n"
-                   "SELECT COUNT(*) AS n FROM top;")
-    results = catalog.run_sql_file(spark, str(sql))
-    assert results[-1].first()["n"] == 2
+def test_csv_types_and_script_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("site;depth;built\nnorth;40;2001-05-06\nsouth;;1999-12-31\n")
+    df = catalog.load_csv(spark, str(tmp_path / "t.csv"), "built", sep=";")
+    assert dict(df.dtypes) == {"site": "string", "depth": "int", "built": "date"}
+    (tmp_path / "q.sql").write_text("SELECT max(built) AS last FROM built WHERE depth IS NOT NULL;")
+    assert str(catalog.run_sql_file(spark, str(tmp_path / "q.sql"))[0].first()["last"]) == "2001-05-06"
+    text = catalog.load_csv(spark, str(tmp_path / "t.csv"), "raw", sep=";", infer_schema=False)
+    assert set(dict(text.dtypes).values()) == {"string"}
 
 
 def test_to_pandas_bounded_refuses_large(spark):

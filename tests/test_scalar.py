@@ -51,3 +51,25 @@ def test_np_round_is_half_even_on_scaled_value(spark):
     df = spark.createDataFrame([(0.125,), (0.375,), (2.5,)], "x double")
     got = [r.r for r in df.select(S.np_round("x", 2).alias("r")).collect()]
     assert got == list(np.round([0.125, 0.375, 2.5], 2))
+
+
+def test_parse_datetime_tries_formats_in_order(spark):
+    import datetime as dt
+
+    from cairn.functions.scalar import parse_datetime
+    texts = ["2024-02-29", "29/02/2024 07:05", " 2024-01-02 ", "2023-02-29", "later", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse_datetime("t", ["yyyy-MM-dd", "dd/MM/yyyy HH:mm"])).collect()]
+    assert got == [dt.datetime(2024, 2, 29), dt.datetime(2024, 2, 29, 7, 5), dt.datetime(2024, 1, 2), None, None, None, None]
+
+
+def test_choose_takes_the_first_condition_that_holds(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from cairn.functions.scalar import choose
+    df = spark.createDataFrame([(1,), (5,), (9,), (None,)], "x int")
+    got = [r[0] for r in df.select(choose([F.col("x") > 8, F.col("x") > 3], [F.lit("high"), F.lit("mid")], F.lit("low"))).collect()]
+    assert got == ["low", "mid", "high", "low"]
+    with pytest.raises(ValueError):
+        choose([], [])
