@@ -68,15 +68,20 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """Rows (rep, ids, vec): each different vector once, with its k + 1 smallest ids in order."""
+def one_per_id(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Rows (id, key, v): of each id the usable vector with the smallest hash, which stands for the id both in the
+    index and as a query, in whatever order its rows come."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     # adding zero turns -0.0 into 0.0
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"))) \
         .withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     size = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    rows = rows.filter(F.size("v") == (size[0] if size else 0)).groupBy("id") \
+    return rows.filter(F.size("v") == (size[0] if size else 0)).groupBy("id") \
         .agg(F.min(F.struct(F.xxhash64("v").alias("key"), "v")).alias("s")).select("id", "s.key", "s.v")
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (rep, ids, vec): each different vector once, with its k + 1 smallest ids in order."""
     # each map task keeps k + 1 rows of a group at most, so a frequent vector does not meet in one task
     w = Window.partitionBy("key", "v").orderBy("id")
     few = rows.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k + 1)
@@ -93,12 +98,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     """Rows (query_id, rank, vec_id, score): the nearest found of each row that ``queries`` holds for,
     by Euclidean distance, among all rows but itself."""
     spark = vectors.sparkSession
-    base = materialize(distinct_vectors(vectors, id_col, vec_col, k), "vectors")
+    rows = one_per_id(vectors, id_col, vec_col)
+    base = materialize(distinct_vectors(rows, k), "vectors")
     n, dim = base.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    asked = vectors.filter(queries).select(F.col(id_col).cast("long").alias("query_id"),
-                                           F.col(vec_col).cast("array<double>").alias("q"))
-    asked = asked.filter(F.col("query_id").isNotNull() & usable(F.col("q")) & (F.size("q") == (dim or 0))) \
-        .dropDuplicates(["query_id"])
+    ids = vectors.filter(queries).select(F.col(id_col).cast("long").alias("id")).distinct()
+    asked = rows.join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     turns = Rotations(dim, tables)

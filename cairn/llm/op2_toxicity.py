@@ -109,10 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 40_000, bits: int = BITS
              .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__label")))
     order = F.xxhash64("__id", F.lit(17))
     sample = known.orderBy(order).limit(most)
-    # at most ``most`` rows of two numbers
+    # at most ``most`` rows of two numbers; an id with several texts gives one of them, chosen by hash before
+    # the rows meet, so that the learning task never has more than ``most`` texts
+    text = F.struct(F.xxhash64("text").alias("hash"), "text")
     rows = (docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id")
-            .select("__label", "text", order.alias("__order"), F.xxhash64("text").alias("__tie"))
-            .repartition(1).sortWithinPartitions("__order", "__tie").select("__label", "text"))
+            .groupBy("__id", "__label").agg(F.min(text).alias("__text"))
+            .select("__label", F.col("__text.text").alias("text"), order.alias("__order"))
+            .repartition(1).sortWithinPartitions("__order").select("__label", "text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, features, n = Ftrl(bits), Features(bits), 0

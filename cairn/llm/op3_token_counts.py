@@ -120,7 +120,7 @@ def _counts(tok: WordTokenizer, parts: list[list[str]]) -> list[list[int]]:
     return out
 
 
-def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool) -> DataFrame:
+def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool, known: bool) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int32()),
               ("edited_chars", pa.int64()), ("edited_tokens", pa.int64()), ("recounted_chars", pa.int64())]
     ddl = ("doc_id long, n_chars long, n_tokens long, n_edits int, edited_chars long, edited_tokens long, "
@@ -130,7 +130,6 @@ def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool
                    ("segment_tokens", pa.list_(pa.int32()))]
         ddl += ", text string, segment_chars array<int>, segment_tokens array<int>"
     schema = pa.schema(fields)
-    known = "segment_chars" in docs.columns and "segment_tokens" in docs.columns
     cols = [F.col("doc_id").cast("long"), F.col("text"),
             (F.col(edits_col) if edits_col else F.lit(None)).cast(EDITS).alias("__edits")]
     cols += [F.col("segment_chars"), F.col("segment_tokens")] if known else []
@@ -164,18 +163,23 @@ def _map(docs: DataFrame, edits_col: str | None, tokenizer_path: str, keep: bool
 
 def build(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Documents with their segments and token sums: the state that edits are applied to."""
-    return _map(docs, None, tokenizer_path or default_path(), True)
+    return _map(docs, None, tokenizer_path or default_path(), True, False)
 
 
-def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the array ``edits``, from rows (doc_id, seq, start, end, replacement) in ``seq`` order."""
+def attach_edits(docs: DataFrame, edits: DataFrame, out: str = "edits") -> DataFrame:
+    """``docs`` with the array ``out`` (in place of a column of that name), from rows (doc_id, seq, start, end,
+    replacement) in ``seq`` order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))),
                           lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"),
                                              e["replacement"].alias("replacement")))
-    return docs.join(edits.groupBy("doc_id").agg(ordered.alias("edits")), "doc_id", "left")
+    return docs.drop(out).join(edits.groupBy("doc_id").agg(ordered.alias(out)), "doc_id", "left")
 
 
 def apply_edits(docs: DataFrame, edits_col: str = "edits", tokenizer_path: str | None = None,
-                keep: bool = False) -> DataFrame:
-    """Counts before and after each document's edits; with ``keep`` also the new text and segments."""
-    return _map(docs, edits_col, tokenizer_path or default_path(), keep)
+                keep: bool = False, state: bool = False) -> DataFrame:
+    """Counts before and after each document's edits; with ``keep`` also the new text and segments.
+
+    With ``state`` the rows are those that :func:`build` or ``keep`` returned, and their ``segment_chars`` and
+    ``segment_tokens`` are used; otherwise columns of these names are any columns and texts are counted anew.
+    """
+    return _map(docs, edits_col, tokenizer_path or default_path(), keep, state)

@@ -227,14 +227,14 @@ def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     found = materialize(near_duplicates(docs, words, radius), "groups")
     tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))) \
         .withColumn("__id", F.col("doc_id").cast("long"))
-    named = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "group",
+    named = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("group").alias("__group"),
                          (F.col("doc_id") != F.col("component_id")).alias("__drop"))
     kept = tagged.join(named.filter("__drop").select("__id", "__hash").distinct(), ["__id", "__hash"], "left_anti")
     own = named.filter("not __drop")
-    twice = own.groupBy("group").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("group")
+    twice = own.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__group")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    again = own.join(twice, "group").select("__id", "__hash", "group").distinct()
-    lone = kept.join(again, ["__id", "__hash"]).dropDuplicates(["group"])
+    again = own.join(twice, "__group").select("__id", "__hash", "__group").distinct()
+    lone = kept.join(again, ["__id", "__hash"]).dropDuplicates(["__group"])
     rest = kept.join(again, ["__id", "__hash"], "left_anti")
     return rest.select(docs.columns).unionByName(lone.select(docs.columns))

@@ -4,8 +4,8 @@ A page is read once into text nodes, each with its path of tags from the root (c
 and its block.  What can only be furniture is left out on sight: head, scripts, styles, controls.
 Forms, menus, footers, asides and hidden elements are left out unless they hold a main, the page's
 longest article or (but for menus, footers and asides) most of its running text.  An element whose
-class or id is a word for furniture is not left out: unless it is or holds such, its ratios count for
-less.  For every path that is left, text
+class or id is a word for furniture, or a compound that ends in one, is not left out: unless it is or
+holds such, its ratios count for less.  For every path that is left, text
 length and punctuation are summed; their ratios to the path's nodes tell running text from labels.
 Ratios are smoothed along the page by neighbouring nodes and fused with those of the path's container.
 A threshold relative to the page's own running text then chooses containers: an article or main (the
@@ -15,7 +15,8 @@ list, table or block that is mostly links stays by its own ratio or between kept
 Text that is in no chosen container stays where its own ratio reaches the threshold.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; unclosed, misnested and
-cut-off markup is read as far as it goes; a text outside any tag is a block; repeated rows give the
+cut-off markup is read as far as it goes, in time and memory that grow with the page's length; a very
+long page is read whole; a text outside any tag is a block; repeated rows give the
 same text each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -47,6 +48,13 @@ NAMES = frozenset("ad ads adv advert advertisement advertising adsense banner br
                   "signup login menu nav navbar navigation topbar sidebar side aside footer foot masthead share "
                   "sharing social related recommended recommendations pagination pager widget toolbar tags "
                   "replies reply respond copyright hidden skip".split())
+# Of a name in several parts (cookie-banner, post-comments, comment-list) the last part tells what
+# it is: a word above but for these, or a word for a container behind one above ..
+NOT_LAST = frozenset("side share skip respond reply hidden social related alert".split())
+CONTAINERS = frozenset("list box bar banner posts links section area block container wrapper wrap widget form panel "
+                       "item items body text thread holder inner message unit slot info icons buttons content feed".split())
+# .. unless a part says that the element is only beside such a thing.
+SWITCHES = frozenset("has no not with without is show hide".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                   "toolbar form".split())
 MAIN = frozenset(("article", "main"))
@@ -102,7 +110,9 @@ class Place(NamedTuple):
 
 
 class Node(NamedTuple):
-    path: str
+    #: Numbers of the path of tags and of the path that holds its block.
+    path: int
+    holder: int
     block: int
     text: str
     place: Place
@@ -112,11 +122,24 @@ class Node(NamedTuple):
 
 class _Open(NamedTuple):
     tag: str
-    path: str
+    path: int
+    holder: int
     furniture: bool
     number: int
     place: Place
-    marks: tuple[int, ...] = ()  # numbers of the articles, mains and suspects that are open
+    mark: int         # the innermost article, main or suspect that is open, 0 if none
+    nearest: int      # place in the stack of the nearest block, itself included, -1 if none
+
+
+def _names_furniture(value: str) -> bool:
+    for name in value.split():
+        if name in NAMES:
+            return True
+        parts = _WORD.findall(name)
+        if len(parts) > 1 and SWITCHES.isdisjoint(parts):
+            if parts[-1] in NAMES - NOT_LAST or (parts[-1] in CONTAINERS and not NAMES.isdisjoint(parts[:-1])):
+                return True
+    return False
 
 
 def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool, str]:
@@ -130,7 +153,7 @@ def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool, s
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
         if key in ("class", "id"):
-            called = called or (tag not in MAIN and tag not in ("body", "html") and not NAMES.isdisjoint(value.split()))
+            called = called or (tag not in MAIN and tag not in ("body", "html") and _names_furniture(value))
             names += "." + "-".join(_WORD.findall(value)) if key == "class" else ""
         elif key == "role":
             bad = bad or value in ROLES
@@ -141,62 +164,92 @@ def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool, s
     return False, bad, called, tag + names
 
 
-class _Suspect(NamedTuple):
+class _Mark(NamedTuple):
+    """An article, a main or an element that may be furniture, with the mark around it (0: none)."""
+
+    around: int
+    main: str          # article or main if its text may be content
+    suspect: bool
     aside: bool
     by_tag: bool
-    around: tuple[int, ...]  # marks open around it
-    holds: list[int]  # articles and mains in it
 
 
-def _judge(nodes: list[tuple[Node, tuple[int, ...]]], suspects: dict[int, _Suspect], mains: dict[int, str]) -> list[Node]:
-    """The nodes without those in furniture; those in elements that name themselves so carry its number."""
-    held: Counter[int] = Counter()  # running text: characters outside links
+def _judge(nodes: list[tuple[Node, int]], marks: list[_Mark]) -> list[Node]:
+    """The nodes without those in furniture; those in elements that name themselves so carry its number.
+
+    Marks form a tree, a mark's number is greater than that of the one around it: sums over what a mark
+    holds run from the last to the first, sums over what is around it from the first to the last.
+    """
+    n = len(marks)
+    held = [0] * n                                 # running text: characters outside links
     total = 0
-    for x, marks in nodes:
+    for x, mark in nodes:
         size = 0 if x.place.link else len(x.text.strip())
         total += size
-        for k in marks:
-            held[k] += size
-    longest = max((held[k] for k, tag in mains.items() if tag == "article"), default=0)
+        held[mark] += size
+    for k in range(n - 1, 0, -1):
+        held[marks[k].around] += held[k]
+    longest = max((held[k] for k in range(1, n) if marks[k].main == "article"), default=0)
     weighty = max(longest, WEIGHTY * total, 1)
-    left = {k: s for k, s in suspects.items()
-            if not any(held[i] and (mains[i] == "main" or held[i] >= weighty) for i in s.holds)}
+    holds = [False] * n                            # the page's main, or its weightiest article
+    for k in range(n - 1, 0, -1):
+        m = marks[k]
+        own = bool(m.main and held[k] and (m.main == "main" or held[k] >= weighty))
+        holds[m.around] |= holds[k] | own
+    left = [marks[k].suspect and not holds[k] for k in range(n)]
     # size speaks where no article or main with text lies elsewhere, but for those in furniture
-    lost = {i for s in left.values() if s.by_tag for i in s.holds}
-    free = {i for i in mains if held[i]} - lost
-    left = {k: s.by_tag for k, s in left.items()
-            if s.aside or 2 * held[k] <= total or not free.issubset({*s.holds, *s.around})}
-    out = []
-    for x, marks in nodes:
-        bad = [k for k in marks if k in left]
-        if not any(left[k] for k in bad):
-            out.append(x._replace(named=bad[0]) if bad else x)
-    return out
+    lost, above = [False] * n, [0] * n             # in furniture; free mains around
+    free = [False] * n
+    for k in range(1, n):
+        around = marks[k].around
+        lost[k] = lost[around] or (left[around] and marks[around].by_tag)
+        free[k] = bool(marks[k].main and held[k] and not lost[k])
+        above[k] = above[around] + free[around]
+    below = [0] * n
+    for k in range(n - 1, 0, -1):
+        below[marks[k].around] += below[k] + free[k]
+    bad, by_tag = [0] * n, [False] * n             # outermost furniture at or around a mark; any by its tag
+    for k in range(1, n):
+        m = marks[k]
+        mine = left[k] and (m.aside or 2 * held[k] <= total or below[k] + above[k] < below[0])
+        bad[k] = bad[m.around] or (k if mine else 0)
+        by_tag[k] = by_tag[m.around] or (mine and m.by_tag)
+    return [x._replace(named=bad[mark]) if bad[mark] else x for x, mark in nodes if not by_tag[mark]]
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Each text node that may be content, in the order of the page."""
-    out: list[tuple[Node, tuple[int, ...]]] = []
-    suspects: dict[int, _Suspect] = {}
-    mains: dict[int, str] = {}
-    root = _Open("", "", False, 0, Place())
+    """Each text node that may be content, in the order of the page.
+
+    Time and memory grow with the page's length on any markup: paths are numbers of (path around, name), end tags
+    without an open element are known by a count, and an open paragraph is found by the nearest block.
+    """
+    out: list[tuple[Node, int]] = []
+    marks = [_Mark(0, "", False, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    root = _Open("", 0, 0, False, 0, Place(), 0, -1)
     stack: list[_Open] = []
+    count: Counter[str] = Counter()
     block, at, n, number = 0, 0, len(page), 0
 
     def put(s: str) -> None:
         of = stack[-1] if stack else root
         if not of.furniture:
-            out.append((Node(of.path, block, s, of.place), of.marks))
+            out.append((Node(of.path, of.holder, block, s, of.place), of.mark))
 
     def text(a: int, b: int) -> None:
         if b > a:
             put(html.unescape(page[a:b]))
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            count[x.tag] -= 1
+        del stack[i:]
+
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
             text(at, n)
-            return _judge(out, suspects, mains) if suspects else [x for x, _ in out]
+            return _judge(out, marks) if any(x.suspect for x in marks) else [x for x, _ in out]
         text(at, m.start())
         at = m.end()
         tag = m[2] or m[5]
@@ -206,10 +259,11 @@ def text_nodes(page: str) -> list[Node]:
         if tag in BLOCKS:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if count[tag] > 0:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
         if tag == "br":
             put(" ")
@@ -220,30 +274,24 @@ def text_nodes(page: str) -> list[Node]:
             continue
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
-        if tag in BLOCKS:  # an open paragraph, and what is open inside it, ends here
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i].tag
-                if t == "p" or (t == tag and tag in ENDS_ITSELF):
-                    del stack[i:]
-                    break
-                if t in BLOCKS:
-                    break
-        of = stack[-1] if stack else root
+        if tag in BLOCKS and stack and stack[-1].nearest >= 0:
+            # an open paragraph, and what is open inside it, ends here
+            i = stack[-1].nearest
+            t = stack[i].tag
+            if t == "p" or (t == tag and tag in ENDS_ITSELF):
+                close(i)
         of = stack[-1] if stack else root
         never, bad, called, name = _furniture(tag, attrs, of.place.article >= 0)
         number += 1
-        marks = of.marks
-        if tag in MAIN and not of.furniture:
-            mains[number] = tag
-            for k in marks:
-                if k in suspects:
-                    suspects[k].holds.append(number)
-        if bad or called:
-            suspects[number] = _Suspect(tag in ASIDE, bad, marks, [])
+        path = paths.setdefault((of.path, name), len(paths) + 1)
+        mark = of.mark
         if bad or called or tag in MAIN:
-            marks += (number,)
-        stack.append(_Open(tag, f"{of.path}/{name}", never or of.furniture, number,
-                           of.place.inside(tag, number, (of.tag, of.number)), marks))
+            marks.append(_Mark(of.mark, tag if tag in MAIN and not of.furniture else "", bad or called, tag in ASIDE, bad))
+            mark = len(marks) - 1
+        count[tag] += 1
+        stack.append(_Open(tag, path, of.path if tag in BLOCKS else of.holder, never or of.furniture, number,
+                           of.place.inside(tag, number, (of.tag, of.number)), mark,
+                           len(stack) if tag in BLOCKS else of.nearest))
 
 
 def keep_nodes(nodes: list[Node]) -> np.ndarray:
@@ -255,20 +303,14 @@ def keep_nodes(nodes: list[Node]) -> np.ndarray:
     if not real.any():
         return np.zeros(n, bool)
 
-    def ratios(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(names: list[int]) -> tuple[np.ndarray, np.ndarray]:
         _, of = np.unique(names, return_inverse=True)
         count = np.maximum(np.bincount(of, real), 1)
         return (np.bincount(of, length) / count)[of], (np.bincount(of, marks) / count)[of]
 
-    paths = [x.path for x in nodes]
-    long_, pointed = ratios(paths)
-    # the block that holds a path: inline tags and the last block are cut off
-    holder = []
-    for p in paths:
-        parts = p.split("/")
-        while len(parts) > 1 and parts[-1].split(".")[0] not in BLOCKS:
-            parts.pop()
-        holder.append("/".join(parts[:-1]))
+    long_, pointed = ratios([x.path for x in nodes])
+    # the block around a path's block: inline tags and the last block are cut off
+    holder = [x.holder for x in nodes]
     box_long, box_pointed = ratios(holder)
     value = long_ * (1 + np.log1p(pointed)) + box_long * (1 + np.log1p(box_pointed))
     where = np.flatnonzero(real)
@@ -295,7 +337,8 @@ def keep_nodes(nodes: list[Node]) -> np.ndarray:
     # containers: the mean over characters of their texts' fused ratios
     article = np.array([x.place.article for x in nodes])
     box = np.array([x.place.box for x in nodes])
-    _, of = np.unique(np.where(named, named, np.where(article >= 0, article, box)), return_inverse=True)
+    # marks and elements are numbered apart: negative for marks
+    _, of = np.unique(np.where(named, -named, np.where(article >= 0, article, box)), return_inverse=True)
     chars = np.bincount(of, length)
     chosen = (np.bincount(of[where], fused * length[where], len(chars)) >= least * chars)[of]
     # outside articles, lists, tables and blocks that are mostly links are not taken with their container

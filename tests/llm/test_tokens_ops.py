@@ -52,8 +52,8 @@ def test_edit_tables_and_kept_segments(spark, documents, odd_rows, encode):
     joined = op3_token_counts.attach_edits(docs, edits)
     state = op3_token_counts.build(docs)
     again = op3_token_counts.attach_edits(state.select("doc_id", "text", "segment_chars", "segment_tokens"), edits)
-    for df in (joined, again):
-        got = {r.doc_id: r for r in op3_token_counts.apply_edits(df, keep=True).collect()}
+    for df, state in ((joined, False), (again, True)):
+        got = {r.doc_id: r for r in op3_token_counts.apply_edits(df, keep=True, state=state).collect()}
         assert len(got) == docs.count()
         text = {i: t or "" for i, t in odd_rows}
         want = dict(text)
