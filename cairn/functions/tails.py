@@ -37,6 +37,9 @@ FPMIN = 1e-300
 #: need about 8 sqrt(shape) steps, so GAMMA_STEPS are enough below it.
 UNIFORM_FROM = 5000.0
 BETA_STEPS = 400
+#: From these degrees of freedom on Student's tail comes from its normal expansion: the fraction needs
+#: about sqrt(df) steps, so BETA_STEPS are enough below.
+T_NORMAL_FROM = 5000.0
 GAMMA_STEPS = 1000
 
 _ids = itertools.count()
@@ -188,13 +191,26 @@ def _gamma_q_steps(s: str, x: str, steps: int) -> str:
     return _let({"s": f"CAST({s} AS DOUBLE)", "x": f"CAST({x} AS DOUBLE)"}, body)
 
 
+def _t_normal(t: str, df: str) -> str:
+    """P(|T| >= |t|) for many degrees of freedom: the normal deviate of equal tail is
+    sqrt(y) (1 + (y + 3) / b + ..) with a = df - 1/2, b = 48 a^2, y = a ln(1 + t^2 / df) (Hill's expansion)."""
+    def body(r):
+        y, b = r["y"], r["b"]
+        last = f"(((-0.4D * {y} - 3.3D) * {y} - 24.0D) * {y} - 85.5D) / (0.8D * {y} * {y} + 100.0D + {b})"
+        z = f"(({last} + {y} + 3.0D) / {b} + 1.0D) * sqrt({y})"
+        return f"least(1.0D, 2.0D * {norm_sf(z)})"
+    a = f"({df} - 0.5D)"
+    return _let({"y": f"{a} * log1p({t} * {t} / {df})", "b": f"48.0D * {a} * {a}"}, body)
+
+
 def t_two_sided(t: str, df: str) -> str:
     def body(r):
         tt, dd = r["t"], r["df"]
         p = betainc(f"{dd} / 2.0D", "0.5D", f"{dd} / ({dd} + {tt} * {tt})")
         return (f"CASE WHEN {tt} IS NULL OR {dd} IS NULL OR isnan({tt}) OR isnan({dd}) "
                 f"OR {dd} <= 0 THEN CAST(NULL AS DOUBLE) "
-                f"WHEN abs({tt}) = CAST('Infinity' AS DOUBLE) THEN 0.0D ELSE least(1.0D, {p}) END")
+                f"WHEN abs({tt}) = CAST('Infinity' AS DOUBLE) THEN 0.0D "
+                f"WHEN {dd} >= {_d(T_NORMAL_FROM)} THEN {_t_normal(tt, dd)} ELSE least(1.0D, {p}) END")
     return _let({"t": f"CAST({t} AS DOUBLE)", "df": f"CAST({df} AS DOUBLE)"}, body)
 
 
