@@ -458,35 +458,43 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
             .select("r.*"))
 
 
-def _partner_midranks(x: DataFrame, width: int, num_buckets: int | None) -> DataFrame:
-    """(_c, _v, _r0 .. ): for each value of column number _c its mid-rank among the rows in which column 0, 1, ..
-    is present as well.
+def _partner_midranks(x: DataFrame, width: int, partners: list[int], num_buckets: int | None) -> DataFrame:
+    """(_c, _v, _r0 .. ): for each value of column number _c its mid-rank among all rows that have the column (_r0),
+    and among those in which partners[0], partners[1], .. is present as well (_r1, ..).
 
     A value's rows are counted by which partners are present, so NULLs anywhere need no further pass: all
     columns and all partners are ranked in one distributed ordered pass over the distinct values.
     """
-    present = [F.col(f"_x{i}").isNotNull() for i in range(width)]
+    kinds = [F.lit(True)] + [F.col(f"_x{j}").isNotNull() for j in partners]
     long = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_x{i}").alias("_v")) for i in range(width)]))
-                    .alias("s"), *[p.alias(f"_p{i}") for i, p in enumerate(present)])
-    counts = (long.select("s.*", *[f"_p{i}" for i in range(width)]).where(F.col("_v").isNotNull()).groupBy("_c", "_v")
-              .agg(*[F.count_if(f"_p{i}").alias(f"_n{i}") for i in range(width)]))
-    r = ordered_window(counts, ["_v"], [], partition_by=["_c"], sum_cols=[f"_n{i}" for i in range(width)],
+                    .alias("s"), *[p.alias(f"_p{k}") for k, p in enumerate(kinds)])
+    counts = (long.select("s.*", *[f"_p{k}" for k in range(len(kinds))]).where(F.col("_v").isNotNull()).groupBy("_c", "_v")
+              .agg(*[F.count_if(f"_p{k}").alias(f"_n{k}") for k in range(len(kinds))]))
+    r = ordered_window(counts, ["_v"], [], partition_by=["_c"], sum_cols=[f"_n{k}" for k in range(len(kinds))],
                        num_buckets=num_buckets, totals=False, ranks=False, materialize=True)
-    return r.select("_c", "_v", *[(F.col(f"running__n{i}") - F.col(f"_n{i}") + (F.col(f"_n{i}") + 1) / 2).alias(f"_r{i}")
-                                  for i in range(width)])
+    return r.select("_c", "_v", *[(F.col(f"running__n{k}") - F.col(f"_n{k}") + (F.col(f"_n{k}") + 1) / 2).alias(f"_r{k}")
+                                  for k in range(len(kinds))])
 
 
 def _spearman_pairs(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
-    """Pearson of mid-ranks; a pair's ranks are among the rows that have both columns."""
+    """Pearson of mid-ranks; a pair's ranks are among the rows that have both columns.
+
+    A column without NULLs leaves its partners' ranks as they are, so there is one rank a value and one
+    more for every column with NULLs.
+    """
     x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"_x{i}") for i, c in enumerate(cols)])
-    ranks = _partner_midranks(x, len(cols), num_buckets)
+    missing = x.agg(*[F.count_if(F.col(f"_x{i}").isNull()) for i in range(len(cols))]).first()
+    partners = [i for i in range(len(cols)) if missing[i]]
+    # written once: every column's join reads its part
+    ranks = _partner_midranks(x, len(cols), partners, num_buckets).checkpoint(eager=True)
     ranked = x
     for i in range(len(cols)):
         mine = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_x{i}"), *[
-            F.col(f"_r{j}").alias(f"_r{i}_{j}") for j in range(len(cols))])
+            F.col(f"_r{k}").alias(f"_r{i}_{k}") for k in range(len(partners) + 1)])
         # one row per distinct value; a NULL finds none and stays out of the column's pairs
         ranked = ranked.join(mine, on=f"_x{i}", how="left")
-    return _pearson_pairs(ranked, cols, pair_of=lambda i, j: (f"_r{i}_{j}", f"_r{j}_{i}"))
+    kind = {j: k + 1 for k, j in enumerate(partners)}
+    return _pearson_pairs(ranked, cols, pair_of=lambda i, j: (f"_r{i}_{kind.get(j, 0)}", f"_r{j}_{kind.get(i, 0)}"))
 
 
 def strong_correlations(df: DataFrame, cols: Sequence[str], threshold: float = 0.3,
