@@ -3,26 +3,28 @@
 For a column pair the rows (pairwise complete) are reduced to distinct points
 (x, y) with weights w.  With the points in (x, y) order, the discordant pairs
 are the weighted inversions of y along that order (pairs with equal x are
-ordered by y, so they never count).  Inversions are counted merge-sort style
-by levels of the position: at level l a pair is counted when its points sit
-in the two halves (left/right) of one block of 2^(l+1) positions.
-
-* Levels inside blocks of ``2^BLOCK_BITS`` positions run in numpy, one block
-  per ``applyInPandas`` group: a group never holds more than 2^BLOCK_BITS
-  distinct points, whatever the data size.
-* Each higher level is one distributed ordered pass partitioned by block,
-  ordered by y (left half first on equal y): the running weight of the left
-  half at a right-half point gives its inversions.  ceil(log2(D / 2^BLOCK_BITS))
-  passes for D distinct points.
-
-Ties: tau-b and scipy's asymptotic variance; exact p-value (Kendall's
-recurrence) when there are no ties and n <= 33 or min(dis, tot - dis) <= 1.
+ordered by y, so they never count).  They are counted as a merge sort would meet
+them, over ranges of the position:
+
+* Ranges of ``2^BLOCK_BITS`` positions run in numpy, one range per
+  ``applyInPandas`` group: a group never holds more than 2^BLOCK_BITS distinct
+  points, whatever the data size.
+* Each merge joins ``2^MERGE_BITS`` neighbouring ranges in one distributed ordered
+  pass by (merged range, y): a point's inversions are the weights of each earlier
+  child range that are still to come.  D distinct points take
+  ceil(log2(D / 2^BLOCK_BITS) / MERGE_BITS) passes.
+
+A column with itself has no pair to count: its row comes from one aggregate.
+
+Ties: tau-b with the tie-corrected variance of the score; exact p-value where there are no
+ties and n <= 33 or at most one pair is discordant (or concordant).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ from cairn.functions.tails import norm_sf_col
 from cairn.functions.scalar import nan_to_null
 from cairn.operators.ordered import ordered_window
 
-BLOCK_BITS = 20
+#: Positions of a range (as a power of two), and ranges one merge joins (the same).
+BLOCK_BITS, MERGE_BITS = 20, 3
 
 
 def _level_inversions(pos: np.ndarray, y: np.ndarray, w: np.ndarray, level: int) -> float:
@@ -65,22 +68,17 @@ def _block_inversions(block_bits: int):
 
 
 def kendall_p_exact(n: int, c: int) -> float:
-    """Two-sided exact p-value of Kendall's tau without ties (c = min(dis, tot - dis))."""
-    if n <= 2:
-        return 1.0
-    if c == 0:
-        return min(1.0, 2.0 / math.factorial(n)) if n < 171 else 0.0
-    if c == 1:
-        return min(1.0, 2.0 / math.factorial(n - 1)) if n < 172 else 0.0
-    if 2 * c == (n * (n - 1)) // 2:
-        return 1.0
-    new = np.zeros(c + 1)
-    new[0:2] = 1.0
-    for j in range(3, n + 1):
-        new = np.cumsum(new)
-        if j <= c:
-            new[j:] -= new[:c + 1 - j]
-    return float(np.clip(2.0 * np.sum(new) / math.factorial(n), 0, 1))
+    """Two-sided exact p-value of Kendall's tau without ties (c = min(dis, tot - dis)).
+
+    The permutations of n values with k inversions are the coefficients of the product over j <= n of
+    1 + q + .. + q^(j-1); p is twice the share of those with c inversions at most.  Integers throughout.
+    """
+    if n > 200:     # c is 0 or 1 here: at most n permutations of n!, under the smallest double
+        return 0.0
+    ways = [1] + [0] * c
+    for j in range(2, n + 1):
+        ways = [sum(ways[max(0, k - j + 1):k + 1]) for k in range(c + 1)]
+    return min(1.0, float(Fraction(2 * sum(ways), math.factorial(n))))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -100,43 +98,63 @@ def _kendall_exact_udf(n: pd.Series, c: pd.Series) -> pd.Series:
 EXACT_MAX_N = 33
 
 
+def _merged(ranked: DataFrame, low: int, high: int, num_buckets: int | None) -> DataFrame:
+    """(_pair, _dis): discordant weights between ranges of 2^low positions within ranges of 2^high."""
+    place = F.col("_pos") - 1
+    children = 1 << (high - low)
+    parts = ranked.select("_pair", "_y", "_w", "_pos", F.shiftright(place, high).alias("_parent"),
+                          (F.shiftright(place, low) % children).cast("int").alias("_child"))
+    parts = parts.select("*", *[F.when(F.col("_child") == k, F.col("_w")).otherwise(0).alias(f"_c{k}")
+                                for k in range(children - 1)])
+    # on equal y the earlier child comes first, so that its weight is no longer to come
+    r = ordered_window(parts, ["_y", "_child"], ["_pos"], partition_by=["_pair", "_parent"],
+                       sum_cols=[f"_c{k}" for k in range(children - 1)], num_buckets=num_buckets, ranks=False)
+    coming = sum((F.when(F.col("_child") > k, F.col(f"partition_sum__c{k}") - F.col(f"running__c{k}")).otherwise(0)
+                  for k in range(1, children - 1)),
+                 F.when(F.col("_child") > 0, F.col("partition_sum__c0") - F.col("running__c0")).otherwise(0))
+    return r.groupBy("_pair").agg(F.sum(F.col("_w").cast("double") * coming).alias("_dis"))
+
+
+def _own_pairs(x: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """col_a, col_b, n, corr, _p of every column with itself: 1 where it has two different values."""
+    row = x.agg(*[f(F.col(c)).alias(f"{tag}{i}") for i, c in enumerate(cols)
+                  for tag, f in (("_n", F.count), ("_lo", F.min), ("_hi", F.max))])
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.col(f"_n{i}").alias("n"),
+                 F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), 1.0).alias("corr"), F.lit(1.0).alias("_p"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+
+
 def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
-                  block_bits: int = BLOCK_BITS) -> DataFrame:
+                  block_bits: int = BLOCK_BITS, merge_bits: int = MERGE_BITS) -> DataFrame:
     """col_a, col_b, n, corr (tau-b), _p for every unordered pair incl. the diagonal."""
     cols = list(cols)
     x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    # all pairs in one long table: (pair id, x, y) -> distinct points with weights
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    own = _own_pairs(x, cols)
+    if not pairs:
+        return own
+    # all pairs in one long table: (pair id, x, y) -> distinct points with weights, written once
     long = x.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("_pair"), F.col(a).alias("_x"), F.col(b).alias("_y"))
         for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
     pts = (long.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-           .groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_w")))
-    ranked = ordered_window(pts, ["_x", "_y"], [], partition_by=["_pair"], num_buckets=num_buckets)
-    ranked = ranked.select("_pair", "_x", "_y", "_w", F.col("row_number").alias("_pos"), "partition_rows")
-
-    # inversions inside blocks of 2^block_bits positions
-    local = (ranked.withColumn("_blk", F.shiftright(F.col("_pos") - 1, block_bits))
-             .groupBy("_pair", "_blk")
-             .applyInPandas(_block_inversions(block_bits), "_pair int, _dis double")
-             .groupBy("_pair").agg(F.sum("_dis").alias("_dis")))
-    # levels above the block size: one ordered pass each
-    max_d = ranked.agg(F.max("partition_rows")).first()[0] or 0
-    levels = max(0, math.ceil(math.log2(max_d)) - block_bits) if max_d > 1 else 0
-    parts = [local]
-    for lv in range(block_bits, block_bits + levels):
-        lvl = ranked.select("_pair", "_y", "_w", "_pos",
-                            F.shiftright(F.col("_pos") - 1, lv + 1).alias("_parent"),
-                            (F.shiftright(F.col("_pos") - 1, lv) % 2).alias("_side"))
-        lvl = lvl.withColumn("_wl", F.when(F.col("_side") == 0, F.col("_w")).otherwise(F.lit(0.0)))
-        r = ordered_window(lvl, ["_y", "_side"], ["_pos"], partition_by=["_pair", "_parent"],
-                           sum_cols=["_wl"], num_buckets=num_buckets)
-        parts.append(r.where(F.col("_side") == 1).groupBy("_pair").agg(
-            F.sum(F.col("_w") * (F.col("partition_sum__wl") - F.col("running__wl"))).alias("_dis")))
-    dis = parts[0]
-    for p in parts[1:]:
-        dis = dis.unionByName(p)
+           .groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))).checkpoint(eager=True)
+    most = pts.groupBy("_pair").count().agg(F.max("count")).first()[0] or 0
+    ranked = (ordered_window(pts, ["_x", "_y"], [], partition_by=["_pair"], num_buckets=num_buckets, totals=False,
+                             ranks=False)
+              .select("_pair", "_y", "_w", F.col("row_number").alias("_pos")))
+    top = max(0, most - 1).bit_length()
+    if top > block_bits:
+        ranked = ranked.checkpoint(eager=True)      # the merges read it again
+
+    dis = (ranked.withColumn("_blk", F.shiftright(F.col("_pos") - 1, block_bits))
+           .groupBy("_pair", "_blk")
+           .applyInPandas(_block_inversions(block_bits), "_pair int, _dis double"))
+    for low in range(block_bits, top, merge_bits):
+        dis = dis.unionByName(_merged(ranked, low, low + merge_bits, num_buckets))
     dis = dis.groupBy("_pair").agg(F.sum("_dis").alias("_dis"))
+    pts = pts.withColumn("_w", F.col("_w").cast("double"))
 
     def tie_terms(col, prefix):
         t = pts.groupBy("_pair", col).agg(F.sum("_w").alias("_t"))
@@ -170,4 +188,4 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None =
     out = stats.select("_pair", n.cast("bigint").alias("n"), tau.alias("corr"), p.alias("_p"))
     # one row per column pair on the left: a few rows
     return names.join(out, "_pair", "left").select(
-        "col_a", "col_b", F.coalesce(F.col("n"), F.lit(0)).alias("n"), "corr", "_p")
+        "col_a", "col_b", F.coalesce(F.col("n"), F.lit(0)).alias("n"), "corr", "_p").unionByName(own)

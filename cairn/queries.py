@@ -242,12 +242,11 @@ def q_correlation_patients(spark, sf_dir):
 
 def q_correlation_lineitem_kendall(spark, sf_dir):
     li = _t(spark, sf_dir).raw("lineitem")
-    return _rounded_corr(stats.correlation_matrix(li, ["l_quantity", "l_discount", "l_tax"], method="kendall"))
+    return _rounded_corr(stats.correlation_matrix(li, LINEITEM_NUMERIC, method="kendall"))
 
 
 def q_correlation_patients_kendall(spark, sf_dir):
-    return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), ["age", "recovery_days"],
-                                                  method="kendall"))
+    return _rounded_corr(stats.correlation_matrix(_t(spark, sf_dir).patients(), PATIENT_NUMERIC, method="kendall"))
 
 
 def q_strong_correlations(spark, sf_dir):

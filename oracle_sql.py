@@ -767,29 +767,37 @@ SELECT * FROM (
 
 
 def _kendall(source: str, cols: list[str], min_periods: int = 30) -> str:
-    """Kendall tau-b: distinct points with weights, discordant pairs by a self
-    join of the points (fine for low-cardinality columns), scipy's tie-adjusted
-    asymptotic variance, normal tail via the incomplete gamma."""
-    parts = []
-    pair_id = 0
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            pair_id += 1
-            parts.append(f"""
-    SELECT {pair_id} AS id, '{a}' AS col_a, '{b}' AS col_b, * FROM (
-        WITH pts AS (SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y, COUNT(*)::DOUBLE AS w FROM {source}
-                     WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
-        tx AS (SELECT SUM(t * (t - 1) / 2) AS xtie, SUM(t * (t - 1) * (t - 2)) AS x0,
-                      SUM(t * (t - 1) * (2 * t + 5)) AS x1 FROM (SELECT SUM(w) AS t FROM pts GROUP BY x)),
-        ty AS (SELECT SUM(t * (t - 1) / 2) AS ytie, SUM(t * (t - 1) * (t - 2)) AS y0,
-                      SUM(t * (t - 1) * (2 * t + 5)) AS y1 FROM (SELECT SUM(w) AS t FROM pts GROUP BY y))
-        SELECT (SELECT SUM(w) FROM pts) AS n, (SELECT SUM(w * (w - 1) / 2) FROM pts) AS ntie,
-               (SELECT COALESCE(SUM(p.w * q.w), 0) FROM pts p JOIN pts q ON p.x < q.x AND p.y > q.y) AS dis,
-               tx.*, ty.* FROM tx, ty)""")
-    union = "\n    UNION ALL".join(parts)
+    """Kendall tau-b over distinct points with weights.
+
+    Discordant pairs are counted over the bits of the rank of y, as an order-statistic tree would hold
+    them: two points part at the highest bit in which their ranks differ, and the pair is discordant
+    where the one with the bit set comes earlier by (x, y).  Tie-corrected variance; normal tail by the
+    incomplete gamma.
+    """
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    points = "\n    UNION ALL ".join(
+        f"SELECT {i} AS id, {a}::DOUBLE AS x, {b}::DOUBLE AS y, COUNT(*) AS w FROM {source} "
+        f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 2, 3" for i, (a, b) in enumerate(pairs))
+    names = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(pairs))
+
+    def ties(col: str) -> str:
+        return (f"SELECT id, SUM(t * (t - 1) / 2) AS {col}tie, SUM(t * (t - 1) * (t - 2)) AS {col}0, "
+                f"SUM(t * (t - 1) * (2 * t + 5)) AS {col}1 "
+                f"FROM (SELECT id, SUM(w)::DOUBLE AS t FROM kp GROUP BY id, {col}) GROUP BY id")
+
     return f"""
-, kd AS ({union}
-),
+, kn(id, col_a, col_b) AS (VALUES {names}),
+kp AS MATERIALIZED ({points}),
+ko AS (SELECT id, w, ROW_NUMBER() OVER (PARTITION BY id ORDER BY x, y) AS place,
+              DENSE_RANK() OVER (PARTITION BY id ORDER BY y) - 1 AS yrank FROM kp),
+kb AS (SELECT id, w, (yrank >> bit) & 1 AS side,
+              SUM(CASE WHEN (yrank >> bit) & 1 = 1 THEN w ELSE 0 END) OVER (
+                  PARTITION BY id, bit, yrank >> (bit + 1) ORDER BY place ROWS UNBOUNDED PRECEDING) AS earlier
+       FROM ko, (SELECT UNNEST(range(0, 40)) AS bit) WHERE bit < (SELECT ceil(log2(MAX(yrank) + 2)) FROM ko)),
+kdis AS (SELECT id, SUM(w * earlier)::DOUBLE AS dis FROM kb WHERE side = 0 GROUP BY id),
+kd AS (SELECT * FROM kn
+       JOIN (SELECT id, SUM(w)::DOUBLE AS n, SUM(w * (w - 1) / 2)::DOUBLE AS ntie FROM kp GROUP BY id) USING (id)
+       JOIN ({ties("x")}) USING (id) JOIN ({ties("y")}) USING (id) JOIN kdis USING (id)),
 kt AS (
     SELECT *, n * (n - 1) / 2 AS tot,
            n * (n - 1) / 2 - xtie - ytie + ntie - 2 * dis AS cmd,
@@ -814,8 +822,8 @@ UNION ALL SELECT col_b, col_a, n, corr, p_value FROM kr WHERE col_a <> col_b
 """
 
 
-SQL["correlation_lineitem_kendall"] = _kendall("lineitem", ["l_quantity", "l_discount", "l_tax"])
-SQL["correlation_patients_kendall"] = _kendall("patients", ["age", "recovery_days"])
+SQL["correlation_lineitem_kendall"] = _kendall("lineitem", _LINEITEM_NUMERIC)
+SQL["correlation_patients_kendall"] = _kendall("patients", _PATIENT_NUMERIC)
 
 
 def _histogram(source: str, value: str) -> str:

@@ -178,12 +178,60 @@ def test_kendall_matches_brute_force(spark):
         _, tb = np.unique(b, return_counts=True)
         return s / math.sqrt((tot - (ta * (ta - 1) / 2).sum()) * (tot - (tb * (tb - 1) / 2).sum()))
 
-    for bits in (20, 2):  # one block, and many distributed level passes
-        r = kendall_pairs(spark.createDataFrame(pdf), ["x", "y"], num_buckets=3, block_bits=bits).toPandas()
+    for bits, merge in ((20, 3), (2, 3), (3, 1)):  # one range, and several merges
+        r = kendall_pairs(spark.createDataFrame(pdf), ["x", "y"], num_buckets=3, block_bits=bits,
+                          merge_bits=merge).toPandas()
         got = r[(r.col_a == "x") & (r.col_b == "y")]["corr"].iloc[0]
         assert abs(got - brute(x, y)) < 1e-12
     # exact null distribution: n = 5, at most 2 discordant pairs -> 2 * 14 / 120
     assert abs(kendall_p_exact(5, 2) - 28 / 120) < 1e-15
+    # every permutation of 6 values, and the far ends
+    from itertools import combinations, permutations
+    counts = [sum(a > b for a, b in combinations(p, 2)) for p in permutations(range(6))]
+    for c in range(8):
+        assert abs(kendall_p_exact(6, c) - min(1.0, 2 * sum(k <= c for k in counts) / 720)) < 1e-15
+    assert kendall_p_exact(100, 1) == 2 / math.factorial(99) and kendall_p_exact(10 ** 6, 1) == 0.0
+
+
+def test_kendall_continuous_columns_with_nulls_and_repeats(spark):
+    """Continuous values, a third of the rows one point, NULL and NaN: an inversion count by a sorted list beside it."""
+    from bisect import bisect_right, insort
+    from cairn.operators.kendall import kendall_pairs
+    rng = np.random.default_rng(11)
+    n = 900
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    y = x * 0.4 + y
+    x[:300], y[:300] = 0.25, -0.5
+    z = np.round(rng.normal(size=n), 1)
+    rows = [(None if i % 17 == 0 else float(x[i]), float("nan") if i % 29 == 0 else float(y[i]), float(z[i]), 3.0)
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, c double")
+
+    def tau(a, b):
+        kept = sorted((r[a], r[b]) for r in rows if r[a] is not None and not math.isnan(r[a])
+                      and r[b] is not None and not math.isnan(r[b]))
+        seen, dis = [], 0
+        for _, v in kept:                       # earlier points with a larger second value
+            dis += len(seen) - bisect_right(seen, v)
+            insort(seen, v)
+        total = len(kept) * (len(kept) - 1) // 2
+
+        def tied(values):
+            return sum(k * (k - 1) // 2 for k in pd.Series(values).value_counts())
+
+        tx, ty, both = tied([k[0] for k in kept]), tied([k[1] for k in kept]), tied(kept)
+        return len(kept), (total - tx - ty + both - 2 * dis) / math.sqrt((total - tx) * (total - ty))
+
+    r = kendall_pairs(df, ["x", "y", "z", "c"], num_buckets=5, block_bits=5, merge_bits=2).toPandas()
+    got = {(a, b): (k, v) for a, b, k, v in zip(r.col_a, r.col_b, r.n, r["corr"])}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        want_n, want = tau(i, j)
+        k, v = got["xyzc"[i], "xyzc"[j]]
+        assert k == want_n and abs(v - want) < 1e-12
+    assert got["x", "x"][1] == 1.0 and pd.isna(got["c", "c"][1]) and pd.isna(got["x", "c"][1])
+    one = kendall_pairs(df, ["y"]).toPandas()
+    assert list(one["corr"]) == [1.0] and list(one.n) == [sum(not math.isnan(r[1]) for r in rows)]
+    assert kendall_pairs(df.limit(0), ["x", "y"]).toPandas().n.tolist() == [0, 0, 0]
 
 
 def test_chi_square_from_contingency_table(spark):
