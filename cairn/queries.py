@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import choose, clip, day_diff, parse_datetime, sql_round
-from cairn.operators import clinical, cohort, joins, plotdata, sales, stats, windows
+from cairn.operators import clinical, cohort, exact_sums, joins, plotdata, sales, stats, windows
 from cairn.operators.ordered import ordered_window
 from cairn.sources import catalog
 from cairn.session import checkpoint_dir
@@ -253,6 +253,13 @@ def q_strong_correlations(spark, sf_dir):
     return _rounded_corr(stats.strong_correlations(_t(spark, sf_dir).patients(), PATIENT_NUMERIC))
 
 
+def q_exact_line_sums(spark, sf_dir):
+    """Sums and means of doubles, unrounded, the same under any partitioning."""
+    li = _t(spark, sf_dir).raw("lineitem").withColumn(
+        "charge", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    return exact_sums.exact_sums(li, ["l_returnflag", "l_linestatus"], ["charge", "l_tax"])
+
+
 # --- plot data -----------------------------------------------------------------
 
 def q_histogram_extendedprice(spark, sf_dir):
@@ -516,4 +523,5 @@ QUERIES: dict[str, Query] = {
     "correlation_patients_spearman": q_correlation_patients_spearman,
     "script_returns_by_year": q_script_returns_by_year,
     "csv_customers": q_csv_customers,
+    "exact_line_sums": q_exact_line_sums,
 }

@@ -924,6 +924,24 @@ SELECT c_mktsegment AS segment, COUNT(*) AS n, MAX(c_custkey) AS last_id, MAX(c_
 FROM customer GROUP BY ALL
 """
 
+# whole numbers of 2^-44 and 2^-60, summed as 128-bit integers; the two parts of a sum are exact doubles, so one rounding is left
+SQL["exact_line_sums"] = """
+, units AS (
+    SELECT l_returnflag, l_linestatus, COUNT(*) AS n,
+           SUM((l_extendedprice * (1 - l_discount) * (1 + l_tax) * power(2::DOUBLE, 44))::HUGEINT) AS charge,
+           SUM((l_tax::DOUBLE * power(2::DOUBLE, 60))::HUGEINT) AS tax
+    FROM lineitem GROUP BY ALL
+),
+sums AS (
+    SELECT *, ((charge // 33554432)::DOUBLE * 33554432 + (charge % 33554432)::DOUBLE) / power(2::DOUBLE, 44) AS sum_charge,
+           ((tax // 33554432)::DOUBLE * 33554432 + (tax % 33554432)::DOUBLE) / power(2::DOUBLE, 60) AS sum_l_tax
+    FROM units
+)
+SELECT l_returnflag, l_linestatus, n AS n_charge, sum_charge, sum_charge / n AS mean_charge,
+       n AS n_l_tax, sum_l_tax, sum_l_tax / n AS mean_l_tax
+FROM sums
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Full statements: adapter CTEs followed by each query (a leading comma
