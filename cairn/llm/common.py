@@ -116,22 +116,40 @@ def components(edges: DataFrame, tag: str = "cc", checkpoint_every: int = 1) ->
             .union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
-def range_buckets(df: DataFrame, col: str, buckets: int, out: str = "__bucket") -> DataFrame:
-    """Add ``out``: the number, from 0, of the value range of the integer column ``col`` a row is in.
+#: Ranges at most, whatever the size of the input: bounds what the driver, closures and one-row-a-range tables hold.
+MAX_RANGES = 8192
 
-    The bounds are approximate quantiles, so ranges have about the same number of rows; rows
-    with equal values share a range, a null is in the first.  Only ``col`` reaches Python.
+
+def range_buckets(df: DataFrame, col: str, buckets: int, tie: str, out: str = "__bucket") -> tuple[DataFrame, int]:
+    """(``df`` with ``out``, n): the number, from 0 to n - 1, of the value range of the integer column ``col`` a row is in.
+
+    n is ``buckets``, MAX_RANGES at most: tasks stream through their ranges, so a range may be of any size.  The
+    bounds are approximate quantiles, so ranges have about the same number of rows; rows with equal values share
+    a range, a null is in the first.  A value that fills ranges of its own is dealt over them by the hash of the
+    column ``tie``; where there is none, only ``col`` is read and reaches Python.
     """
+    buckets = max(1, min(buckets, MAX_RANGES))
+    lowest = F.lit(-(2 ** 63)).cast("long")
+    value = F.coalesce(F.col(col).cast("long"), lowest)
     cuts: list[int] = []
     if buckets > 1:
         share = [i / buckets for i in range(1, buckets)]
-        got = df.select(F.percentile_approx(col, F.lit(share), F.lit(max(10_000, 4 * buckets)))).first()[0]
-        cuts = sorted(set(got or []))
+        got = df.select(F.percentile_approx(value, F.lit(share), F.lit(max(10_000, 4 * buckets)))).first()[0]
+        cuts = sorted(got or [])
     bounds = np.asarray(cuts, dtype=np.int64)
 
     @F.pandas_udf("int")
-    def number(s: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, s.to_numpy(np.int64), side="right").astype(np.int32))
+    def number(s: pd.Series, h: pd.Series) -> pd.Series:
+        v = s.to_numpy(np.int64)
+        low, high = np.searchsorted(bounds, v, side="left"), np.searchsorted(bounds, v, side="right")
+        own = np.maximum(high - low, 1)     # ranges that begin with this value
+        return pd.Series((high - own * (high > low) + (h.to_numpy(np.int64) % own + 1) * (high > low)).astype(np.int32))
 
-    lowest = F.lit(-(2 ** 63)).cast("long")
-    return df.withColumn(out, number(F.coalesce(F.col(col).cast("long"), lowest)))
+    hot = len(set(cuts)) < len(cuts)
+    return df.withColumn(out, number(value, F.xxhash64(tie) if hot else F.lit(0).cast("long"))), buckets
+
+
+def in_range_order(df: DataFrame, buckets: int, tasks: int, *order) -> DataFrame:
+    """``df`` with its ranges dealt to ``tasks`` partitions in ascending order, each sorted by (range, ``order``)."""
+    place = F.floor(F.col("__bucket").cast("long") * tasks / buckets).cast("int")
+    return df.repartitionById(tasks, place).sortWithinPartitions("__bucket", *order)

@@ -11,8 +11,9 @@ counts insertions and deletions, provided that they share a run of seven charact
 the shorter has fewer); else, and where no block sizes are equal, the likeness is 0.
 
 Edge cases: a null text is an empty one; the fingerprint of an empty text is ``3::`` and its likeness
-to another such is 1; documents of one id follow each other by text; null ids come last; with one
-document its own text is the next; an empty table gives no rows; other columns are ignored.
+to another such is 1; documents of one id follow each other by text (an id that fills several ranges: by a
+hash of the text first); null ids come last; with one document its own text is the next; a very long text is
+hashed whole, in memory in proportion to it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import partitions_for, range_buckets
+from cairn.llm.common import in_range_order, partitions_for, range_buckets
 
 WINDOW = 7
 LENGTH = 64
@@ -192,8 +193,8 @@ def compare_with_next(docs: DataFrame, docs_per_range: int = 2_500) -> DataFrame
     """Each document beside its edited text (its second half replaced by the start of the next
     document in descending id order, the first after the last) and beside that next document.
 
-    Ranges of ids are sorted and read in order; the first document of each range is also sent to
-    the end of the range before it, so the text moves once.
+    Ranges of ids, 8,192 at most, are sorted and read in order; the first document of each range is also sent
+    to the end of the range before it, so the text moves once.
     """
     spark = docs.sparkSession
     lowest = -(2 ** 63)
@@ -201,14 +202,16 @@ def compare_with_next(docs: DataFrame, docs_per_range: int = 2_500) -> DataFrame
                        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     tasks = partitions_for(spark, n, 4 * docs_per_range)
-    placed = range_buckets(base, "__key", max(1, -(-n // docs_per_range)))
+    placed, ranges = range_buckets(base, "__key", -(-n // docs_per_range), tie="text")
     # the largest id of each range that has rows, and the range that comes before it in falling order
     tops = range_buckets_tops(placed)
+    # one guest a range: of the rows with its largest id the first by text
     firsts = (placed.join(F.broadcast(tops), [placed["__bucket"] == tops["__of"], placed["__key"] == tops["__top"]])
-              .select(F.col("__to").alias("__bucket"), "__key", "doc_id", "text", F.lit(True).alias("__guest")))
-    rows = placed.select("__bucket", "__key", "doc_id", "text", F.lit(False).alias("__guest")).unionByName(firsts)
-    ordered = (rows.repartition(tasks, "__bucket")
-               .sortWithinPartitions("__bucket", "__guest", F.col("__key").desc(), "text")
+              .groupBy(F.col("__to").alias("__bucket")).agg(F.max("__key").alias("__key"), F.max("doc_id").alias("doc_id"),
+                                                           F.min("text").alias("text")))
+    rows = (placed.select("__bucket", "__key", "doc_id", "text", F.lit(False).alias("__guest"))
+            .unionByName(firsts.withColumn("__guest", F.lit(True))))
+    ordered = (in_range_order(rows, ranges, min(tasks, ranges), "__guest", F.col("__key").desc(), "text")
                .select("__bucket", "__guest", "doc_id", "text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,14 @@ width share the payload.  Id values of 60 bits and more are escapes: their word
 list of raw values beside it.  Encoding takes the largest count that fits at each place.  Decoding
 works on all words of one selector at a time.
 
-File format: Parquet rows, one per block of whole documents in ascending id order.  A block has its
-range number, its place in the range, the ids before it in the range, the documents' ids and
+File format: Parquet rows, one per block of whole documents; blocks, and the files by name, are in ascending
+id order.  A block has its range number, its place in the range, the ids before it in the range, the documents' ids and
 lengths, the words, the escapes, and the id offset of every ``STRIDE``-th word, from which decoding
-can start.  Ranges are of the document id, so (range, place) is the order of the whole corpus.
+can start.  Ranges are of the document id, 8,192 at most, so (range, place) is the order of the whole corpus.
 
 Edge cases: a null or empty text is a document of its end id alone; rows with a null id come first;
-repeated ids follow each other by text; an empty table gives no rows; other columns are ignored.
+repeated ids follow each other by text (an id that fills several ranges: by a hash of the text first); a very
+long text is one block; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import partitions_for, range_buckets, scratch
+from cairn.llm.common import in_range_order, partitions_for, range_buckets, scratch
 from cairn.llm.tokens import WordTokenizer, default_path
 
 #: Ids in one word by selector; selector 0 is the escape.  Widths are the whole bits of 60 / count.
@@ -125,9 +126,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     spark, file = docs.sparkSession, tokenizer_path or default_path()
     n = docs.count()
     tasks = partitions_for(spark, n, 2 * docs_per_range)
-    placed = range_buckets(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", -(-n // docs_per_range) or 1)
-    ordered = placed.repartition(tasks, "__bucket").sortWithinPartitions("__bucket", "doc_id", "text") \
-        .select("__bucket", "doc_id", "text")
+    placed, ranges = range_buckets(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", -(-n // docs_per_range),
+                                   tie="text")
+    ordered = in_range_order(placed, ranges, min(tasks, ranges), "doc_id", "text").select("__bucket", "doc_id", "text")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = WordTokenizer.of(file), end_id.to_bytes(4, "little")
@@ -154,7 +155,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) decoded from the files at ``path``."""
     blocks = spark.read.parquet(path)
     sums = blocks.groupBy("range").agg(F.sum("n_ids").alias("__ids"))
-    # one row per range of thousands of documents
+    # one row per range, MAX_RANGES at most
     ranges = sums.select("range", (F.sum("__ids").over(Window.orderBy("range")) - F.col("__ids")).alias("__first"))
     schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()),
                         ("ids_crc32", pa.int64())])

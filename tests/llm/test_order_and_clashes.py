@@ -63,3 +63,38 @@ def test_an_id_with_many_rows_trains_one_text(spark):
 def chosen(docs):
     r = docs.filter("doc_id = 1").select(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s")).first()["s"]
     return r.h, r.text
+
+
+def test_an_id_with_a_third_of_the_rows_is_dealt_over_ranges(spark, documents):
+    """Files in id order and fingerprints of neighbours with one id on a third of the rows; ranges are bounded."""
+    import hashlib
+    from collections import Counter
+    from cairn.llm import common, op6_fingerprints, op9_binary
+
+    rows = [(i, f"text {i}") for i in range(200)] + [(77, f"other text {k} of one id") for k in range(100)] + \
+        [(None, f"no id {k}") for k in range(60)]
+    placed, n = common.range_buckets(documents(rows), "doc_id", 36, tie="text")
+    sizes = Counter(r["__bucket"] for r in placed.select("__bucket").collect())
+    assert max(sizes) < n == 36 and max(sizes.values()) <= 30
+    assert common.range_buckets(documents(rows), "doc_id", 10 ** 6, tie="text")[1] == common.MAX_RANGES
+
+    path = common.scratch(spark, "test-order")
+    op9_binary.write(documents(rows), path, docs_per_range=10)
+    blocks = spark.read.parquet(path).selectExpr("input_file_name() AS file", "range", "block", "doc_ids").collect()
+    by_file = sorted(blocks, key=lambda r: (r.file, r.range, r.block))
+    ids = [-1 if i is None else i for r in by_file for i in r.doc_ids]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    got = sorted(op9_binary.read_back(spark, path).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+    # every document has one other document's start in its edited text, and each start is used once
+    got = op6_fingerprints.compare_with_next(documents(rows), docs_per_range=10).collect()
+    halves = [t[:len(t) - len(t) // 2] for _, t in rows]
+    edits = {hashlib.sha256((h + t[:len(own) // 2]).encode()).hexdigest(): j
+             for h, (_, own) in zip(halves, rows) for j, (_, t) in enumerate(rows)}
+    assert len(got) == len(rows) and all(r.edited_sha256 in edits for r in got)
+    alone = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id != 77}
+    for i in (199, 120, 79, 50, 1):
+        own, after = f"text {i}", f"text {i - 1}"
+        assert alone[i].edited_sha256 == hashlib.sha256(
+            (own[:len(own) - len(own) // 2] + after[:len(own) // 2]).encode()).hexdigest()
