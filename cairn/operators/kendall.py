@@ -1,18 +1,19 @@
 """Kendall's tau-b with p-value, exact and distributed.
 
-For a column pair the rows (pairwise complete) are reduced to distinct points
-(x, y) with weights w.  With the points in (x, y) order, the discordant pairs
-are the weighted inversions of y along that order (pairs with equal x are
-ordered by y, so they never count).  They are counted as a merge sort would meet
-them, over ranges of the position:
-
-* Ranges of ``2^BLOCK_BITS`` positions run in numpy, one range per
-  ``applyInPandas`` group: a group never holds more than 2^BLOCK_BITS distinct
-  points, whatever the data size.
-* Each merge joins ``2^MERGE_BITS`` neighbouring ranges in one distributed ordered
-  pass by (merged range, y): a point's inversions are the weights of each earlier
-  child range that are still to come.  D distinct points take
-  ceil(log2(D / 2^BLOCK_BITS) / MERGE_BITS) passes.
+Every column is cut by value: some of its values, among them each heavy one, are cells of their own (odd
+numbers), and the values between two such neighbours are an open cell (even numbers) of at most 2^BLOCK_BITS
+rows.  Two rows of a column pair (pairwise complete) then meet in one place only:
+
+* in different cells of both columns: their order is that of the cells.  Rows are counted by (cell, cell), and
+  the discordant pairs are the weighted inversions of these counts, as a merge sort would meet them: a group
+  joins ``2^MERGE_BITS`` neighbouring cells of the first column, the next level as many of its groups.
+* in one open cell of the first column: inversions of the second column's values, in the group of that cell.
+* in one open cell of the second column only: inversions of the first column's cell numbers, in the group of that
+  cell.
+
+In a cell of one value all rows are tied.  So rows are shuffled once for each column in which they are in an
+open cell, for all pairs together; a column of few values shuffles none.  A group's inversions are
+counted in numpy bit by bit of the value's rank.  Ties are counted in the same places.
 
 A column with itself has no pair to count: its row comes from one aggregate.
 
@@ -28,45 +29,237 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.tails import norm_sf_col
 from cairn.functions.scalar import nan_to_null
-from cairn.operators.ordered import ordered_window
-
-#: Positions of a range (as a power of two), and ranges one merge joins (the same).
-BLOCK_BITS, MERGE_BITS = 20, 3
-
-
-def _level_inversions(pos: np.ndarray, y: np.ndarray, w: np.ndarray, level: int) -> float:
-    """Weighted inversions between the halves of each 2^(level+1) block."""
-    parent = pos >> (level + 1)
-    side = (pos >> level) & 1
-    order = np.lexsort((side, y, parent))       # by parent, then y, left (0) before right (1)
-    p, s, ww = parent[order], side[order], w[order]
-    wl = np.where(s == 0, ww, 0.0)
-    cum = np.cumsum(wl)
-    # running left weight restarted per parent
-    starts = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1]
-    base = np.repeat(cum[starts] - wl[starts], np.diff(np.r_[starts, len(p)]))
-    run_left = cum - base
-    total_left = np.repeat(np.add.reduceat(wl, starts), np.diff(np.r_[starts, len(p)]))
-    right = s == 1
-    return float(np.sum(ww[right] * (total_left[right] - run_left[right])))
-
-
-def _block_inversions(block_bits: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = pdf["_pos"].to_numpy(dtype=np.int64) - 1
-        y = pdf["_y"].to_numpy(dtype=float)
-        w = pdf["_w"].to_numpy(dtype=float)
-        total = sum(_level_inversions(pos, y, w, lv) for lv in range(block_bits))
-        return pd.DataFrame({"_pair": [pdf["_pair"].iloc[0]], "_dis": [total]})
+from cairn.session import checkpoint_dir
+
+#: Rows of an open cell at most, and neighbours that one merge of counts joins (as powers of two).
+BLOCK_BITS, MERGE_BITS = 18, 5
+#: Quantiles of a column at least: a value that holds more than two of their steps is a cell of its own.
+LEAST_CELLS = 256
+#: Counts of (cell, cell) a task keeps as one array; rows it takes at once where there are more.
+DENSE_COUNTS, BATCH_ROWS = 1 << 22, 1 << 18
+#: What a pair's rows add up to: discordant pairs, pairs tied in both, and three tie sums for each column.
+TERMS = ["dis", "ntie", "xtie", "x0", "x1", "ytie", "y0", "y1"]
+
+
+def _inversions(seq: np.ndarray, w: np.ndarray | None = None) -> float:
+    """Weight of the pairs with a larger whole number before a smaller one.
+
+    Two numbers part at the highest bit in which they differ: with the numbers grouped by the bits
+    above, each in its old order, a zero is discordant with the ones before it in its group.
+    """
+    if not len(seq):
+        return 0.0
+    total = 0.0
+    for bit in range(int(seq.max()).bit_length() - 1, -1, -1):
+        one = (seq >> bit) & 1
+        group = seq >> (bit + 1)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[starts, len(seq)])
+        ones = np.cumsum(one)
+        before = ones - np.repeat(ones[starts] - one[starts], size)         # with the number itself
+        zero = one == 0
+        if w is None:
+            total += float(before[zero].sum(dtype=np.float64))
+        else:
+            heavy = np.cumsum(one * w)
+            at = heavy - np.repeat(heavy[starts] - (one * w)[starts], size)
+            total += float((at[zero].astype(np.float64) * w[zero]).sum())
+        # zeros of a group first, then its ones, both in their order
+        zeros = size - np.add.reduceat(one, starts)
+        first = np.repeat(starts, size)
+        place = np.where(zero, np.arange(len(seq)) - before, first + np.repeat(zeros, size) + before - 1)
+        moved = np.empty_like(seq)
+        moved[place] = seq
+        if w is not None:
+            weights = np.empty_like(w)
+            weights[place] = w
+            w = weights
+        seq = moved
+    return total
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values."""
+    return np.diff(np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])).astype(np.float64)
+
+
+def _tie_sums(t):
+    """The tie sums' addends of a value that t rows have (numbers or columns)."""
+    return t * (t - 1) / 2, t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5)
+
+
+def _cell(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Cell numbers: 2i + 1 for the i-th edge itself, even between edges; -1 where there is no value."""
+    cells = np.searchsorted(edges, values)
+    if len(edges):
+        cells = 2 * cells + (edges[np.minimum(cells, len(edges) - 1)] == values)
+    cells[np.isnan(values)] = -1
+    return cells
+
+
+def _values(data, width: int) -> list[np.ndarray]:
+    return [data.column(f"_v{i}").to_numpy(zero_copy_only=False) if isinstance(data, pa.RecordBatch)
+            else data.column(f"_v{i}").to_numpy() for i in range(width)]
+
+
+def _counts(edges: list[np.ndarray], pairs: list[tuple[int, int]]):
+    """mapInArrow: (_pair, _a, _b, _w), rows by the cells of both columns; partial counts."""
+    sizes = [2 * len(e) + 1 for e in edges]
+    spans = [sizes[a] * sizes[b] for a, b in pairs]
+    dense = sum(spans) <= DENSE_COUNTS
+
+    def table(pair: int, at: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        a, b = np.divmod(at, sizes[pairs[pair][1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pair, np.int32)), pa.array(a.astype(np.int32)),
+                                           pa.array(b.astype(np.int32)), pa.array(w.astype(np.int64))],
+                                          names=["_pair", "_a", "_b", "_w"])
+
+    def places(held: list[list[np.ndarray]]):
+        cells = [_cell(np.concatenate([h[i] for h in held]), e) for i, e in enumerate(edges)]
+        for pair, (a, b) in enumerate(pairs):
+            both = (cells[a] >= 0) & (cells[b] >= 0)
+            yield pair, (cells[a] * sizes[b] + cells[b])[both]
+
+    def run(batches):
+        sums = [np.zeros(s, np.int64) for s in spans] if dense else []
+
+        def flush(held):
+            for pair, at in places(held):
+                if dense:
+                    sums[pair] += np.bincount(at, minlength=spans[pair])
+                elif len(at):
+                    yield table(pair, *np.unique(at, return_counts=True))
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(_values(batch, len(edges)))
+            rows += batch.num_rows
+            if rows >= BATCH_ROWS:
+                yield from flush(held)
+                held, rows = [], 0
+        if rows:
+            yield from flush(held)
+        for pair, s in enumerate(sums):
+            at = np.flatnonzero(s)
+            if len(at):
+                yield table(pair, at, s[at])
+    return run
+
+
+def _open_rows(edges: list[np.ndarray]):
+    """mapInArrow: a row for each column in which it is in an open cell: (_col, _cell, all values)."""
+    def run(batches):
+        for batch in batches:
+            values = _values(batch, len(edges))
+            for c, e in enumerate(edges):
+                cells = _cell(values[c], e)
+                at = np.flatnonzero((cells >= 0) & (cells % 2 == 0))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), c, np.int32)), pa.array(cells[at].astype(np.int32)),
+                         *[pa.array(v[at]) for v in values]],
+                        names=["_col", "_cell", *[f"_v{i}" for i in range(len(edges))]])
     return run
 
 
+def _cell_terms(edges: list[np.ndarray], pairs: list[tuple[int, int]]):
+    """applyInArrow: what the rows of one open cell of a column add to the column's pairs."""
+    def run(rows: pa.Table) -> pa.Table:
+        column = rows.column("_col")[0].as_py()
+        values = _values(rows, len(edges))
+        rank = np.unique(values[column], return_inverse=True)[1].astype(np.int64)
+        out = []
+        for pair, (a, b) in enumerate(pairs):
+            if column not in (a, b):
+                continue
+            other = values[b if column == a else a]
+            known = ~np.isnan(other)
+            # in a cell of the second column, rows in one cell of the first are the first column's to count
+            place = (np.unique(other[known], return_inverse=True)[1] if column == a
+                     else _cell(other[known], edges[a])).astype(np.int64)
+            if not len(place):
+                continue
+            span = int(place.max()) + 1
+            ordered = np.sort(rank[known] * span + place)
+            mine, place = ordered // span, ordered % span
+            joint = ordered if column == a else ordered[place % 2 == 1]
+            ties = [float(s.sum()) for s in _tie_sums(_runs(mine))]
+            both = float(_tie_sums(_runs(joint))[0].sum()) if len(joint) else 0.0
+            none = [0.0] * 3
+            out.append([pair, _inversions(place), both, *(ties + none if column == a else none + ties)])
+        return _term_table(out)
+    return run
+
+
+def _term_table(rows: list[list]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[]] * (len(TERMS) + 1)
+    return pa.table([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]],
+                    names=["_pair", *TERMS])
+
+
+def _merge_terms(group: pa.Table) -> pa.Table:
+    """applyInArrow: discordant pairs between the cells (_child) that one merge joins."""
+    a, b, w = (group.column(c).to_numpy().astype(np.int64) for c in ("_child", "_b", "_w"))
+    order = np.lexsort((a, b))      # by the second column: the sequence is the few children
+    return _term_table([[group.column("_pair")[0].as_py(), _inversions(a[order], w[order]), *[0.0] * (len(TERMS) - 1)]])
+
+
+def _count_terms(counts: DataFrame, cells: int, merge_bits: int) -> DataFrame:
+    """(_pair, TERMS, n) of counts by (cell, cell): pairs in different cells, and ties in cells of one value."""
+    levels = max(1, -(-max(1, cells - 1).bit_length() // merge_bits))
+    wide = (counts.select("_pair", "_a", "_b", "_w", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
+            .select("_pair", "_level", "_b", "_w", F.expr(f"shiftright(_a, _level * {merge_bits})").alias("_at"))
+            .select("_pair", "_level", "_b", "_w", F.shiftright("_at", merge_bits).alias("_parent"),
+                    (F.col("_at") % (1 << merge_bits)).alias("_child"))
+            .groupBy("_pair", "_level", "_parent", "_child", "_b").agg(F.sum("_w").alias("_w")))
+    merged = (wide.groupBy("_pair", "_level", "_parent")
+              .applyInArrow(_merge_terms, "_pair int, " + ", ".join(f"{t} double" for t in TERMS))
+              .withColumn("n", F.lit(0.0)))
+    # rows of a pair by the cell of one column
+    sides = counts.select("_pair", "_w", F.explode(F.array(
+        F.struct(F.lit(0).alias("y"), F.col("_a").alias("cell")),
+        F.struct(F.lit(1).alias("y"), F.col("_b").alias("cell")))).alias("s"))
+    t = F.col("t")
+    ties = (sides.where(F.col("s.cell") % 2 == 1).groupBy("_pair", "s").agg(F.sum("_w").cast("double").alias("t"))
+            .groupBy("_pair").agg(*[F.sum(F.when(F.col("s.y") == y, term).otherwise(0.0)).alias(name)
+                                    for y, names in enumerate((TERMS[2:5], TERMS[5:]))
+                                    for name, term in zip(names, _tie_sums(t))])
+            .select("_pair", F.lit(0.0).alias("dis"), F.lit(0.0).alias("ntie"), *TERMS[2:], F.lit(0.0).alias("n")))
+    w = F.col("_w").cast("double")
+    both = (counts.groupBy("_pair").agg(
+        F.sum(F.when((F.col("_a") % 2 == 1) & (F.col("_b") % 2 == 1), _tie_sums(w)[0]).otherwise(0.0)).alias("ntie"),
+        F.sum(w).alias("n")).select("_pair", F.lit(0.0).alias("dis"), "ntie", *[F.lit(0.0).alias(c) for c in TERMS[2:]], "n"))
+    return merged.unionByName(ties).unionByName(both)
+
+
+def _edges(x: DataFrame, cols: Sequence[str], counts: Sequence[int], block_bits: int) -> list[np.ndarray]:
+    """Values of each column that are cells of their own, so that at most 2^block_bits rows are between two of them.
+
+    They are quantiles with an error of an eighth of their distance.  Each value that two quantiles in a row
+    share is among them.
+    """
+    wanted = [-(-3 * n // (2 << block_bits)) for n in counts]       # two thirds of the limit each
+    steps = max(LEAST_CELLS, *wanted)
+    probs = [i / steps for i in range(steps + 1)]
+    row = x.agg(*[F.percentile_approx(F.col(c), probs, 8 * steps).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    edges = []
+    for i, k in enumerate(wanted):
+        q = np.array(row[i] or [], dtype=np.float64) + 0.0          # -0.0 is 0.0
+        if not len(q):
+            edges.append(q)
+            continue
+        stride = max(1, steps // max(1, k))
+        edges.append(np.unique(np.r_[q[::stride], q[1:][q[1:] == q[:-1]]]))
+    return edges
+
+
 def kendall_p_exact(n: int, c: int) -> float:
     """Two-sided exact p-value of Kendall's tau without ties (c = min(dis, tot - dis)).
 
@@ -98,76 +291,39 @@ def _kendall_exact_udf(n: pd.Series, c: pd.Series) -> pd.Series:
 EXACT_MAX_N = 33
 
 
-def _merged(ranked: DataFrame, low: int, high: int, num_buckets: int | None) -> DataFrame:
-    """(_pair, _dis): discordant weights between ranges of 2^low positions within ranges of 2^high."""
-    place = F.col("_pos") - 1
-    children = 1 << (high - low)
-    parts = ranked.select("_pair", "_y", "_w", "_pos", F.shiftright(place, high).alias("_parent"),
-                          (F.shiftright(place, low) % children).cast("int").alias("_child"))
-    parts = parts.select("*", *[F.when(F.col("_child") == k, F.col("_w")).otherwise(0).alias(f"_c{k}")
-                                for k in range(children - 1)])
-    # on equal y the earlier child comes first, so that its weight is no longer to come
-    r = ordered_window(parts, ["_y", "_child"], ["_pos"], partition_by=["_pair", "_parent"],
-                       sum_cols=[f"_c{k}" for k in range(children - 1)], num_buckets=num_buckets, ranks=False)
-    coming = sum((F.when(F.col("_child") > k, F.col(f"partition_sum__c{k}") - F.col(f"running__c{k}")).otherwise(0)
-                  for k in range(1, children - 1)),
-                 F.when(F.col("_child") > 0, F.col("partition_sum__c0") - F.col("running__c0")).otherwise(0))
-    return r.groupBy("_pair").agg(F.sum(F.col("_w").cast("double") * coming).alias("_dis"))
-
-
-def _own_pairs(x: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """col_a, col_b, n, corr, _p of every column with itself: 1 where it has two different values."""
-    row = x.agg(*[f(F.col(c)).alias(f"{tag}{i}") for i, c in enumerate(cols)
-                  for tag, f in (("_n", F.count), ("_lo", F.min), ("_hi", F.max))])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.col(f"_n{i}").alias("n"),
-                 F.when(F.col(f"_lo{i}") < F.col(f"_hi{i}"), 1.0).alias("corr"), F.lit(1.0).alias("_p"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
-
-
 def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None = None,
                   block_bits: int = BLOCK_BITS, merge_bits: int = MERGE_BITS) -> DataFrame:
-    """col_a, col_b, n, corr (tau-b), _p for every unordered pair incl. the diagonal."""
+    """col_a, col_b, n, corr (tau-b), _p for every unordered pair incl. the diagonal.
+
+    ``num_buckets``: shuffle partitions of the open cells' rows; by default the session's.
+    """
     cols = list(cols)
+    spark = df.sparkSession
     x = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    own = _own_pairs(x, cols)
+    pairs = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
+    own = x.agg(*[f(F.col(c)).alias(f"{tag}{i}") for i, c in enumerate(cols)
+                  for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    known = [own[f"n{i}"] for i in range(len(cols))]
+    own = spark.createDataFrame(
+        [(c, c, known[i], 1.0 if known[i] and own[f"lo{i}"] < own[f"hi{i}"] else None, 1.0) for i, c in enumerate(cols)],
+        "col_a string, col_b string, n bigint, corr double, _p double")
     if not pairs:
         return own
-    # all pairs in one long table: (pair id, x, y) -> distinct points with weights, written once
-    long = x.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_pair"), F.col(a).alias("_x"), F.col(b).alias("_y"))
-        for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
-    pts = (long.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-           .groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))).checkpoint(eager=True)
-    most = pts.groupBy("_pair").count().agg(F.max("count")).first()[0] or 0
-    ranked = (ordered_window(pts, ["_x", "_y"], [], partition_by=["_pair"], num_buckets=num_buckets, totals=False,
-                             ranks=False)
-              .select("_pair", "_y", "_w", F.col("row_number").alias("_pos")))
-    top = max(0, most - 1).bit_length()
-    if top > block_bits:
-        ranked = ranked.checkpoint(eager=True)      # the merges read it again
-
-    dis = (ranked.withColumn("_blk", F.shiftright(F.col("_pos") - 1, block_bits))
-           .groupBy("_pair", "_blk")
-           .applyInPandas(_block_inversions(block_bits), "_pair int, _dis double"))
-    for low in range(block_bits, top, merge_bits):
-        dis = dis.unionByName(_merged(ranked, low, low + merge_bits, num_buckets))
-    dis = dis.groupBy("_pair").agg(F.sum("_dis").alias("_dis"))
-    pts = pts.withColumn("_w", F.col("_w").cast("double"))
-
-    def tie_terms(col, prefix):
-        t = pts.groupBy("_pair", col).agg(F.sum("_w").alias("_t"))
-        tt = F.col("_t")
-        return t.groupBy("_pair").agg(
-            F.sum(tt * (tt - 1) / 2).alias(prefix + "tie"),
-            F.sum(tt * (tt - 1) * (tt - 2)).alias(prefix + "0"),
-            F.sum(tt * (tt - 1) * (2 * tt + 5)).alias(prefix + "1"))
-
-    w = F.col("_w")
-    base = pts.groupBy("_pair").agg(F.sum(w).alias("n"), F.sum(w * (w - 1) / 2).alias("ntie"))
-    stats = (base.join(tie_terms("_x", "x"), "_pair").join(tie_terms("_y", "y"), "_pair")
-             .join(dis, "_pair", "left").fillna(0.0, subset=["_dis"]))
+    edges = _edges(x, cols, known, block_bits)
+    filled = x.select(*[F.coalesce(F.col(c), F.lit(float("nan"))).alias(f"_v{i}") for i, c in enumerate(cols)])
+    checkpoint_dir(spark)
+    counts = (filled.mapInArrow(_counts(edges, pairs), "_pair int, _a int, _b int, _w bigint")
+              .groupBy("_pair", "_a", "_b").agg(F.sum("_w").alias("_w"))).checkpoint(eager=True)
+    value_types = ", ".join(f"_v{i} double" for i in range(len(cols)))
+    rows = filled.mapInArrow(_open_rows(edges), f"_col int, _cell int, {value_types}")
+    if num_buckets:
+        rows = rows.repartition(num_buckets, "_col", "_cell")
+    terms = (rows.groupBy("_col", "_cell")
+             .applyInArrow(_cell_terms(edges, pairs), "_pair int, " + ", ".join(f"{t} double" for t in TERMS))
+             .withColumn("n", F.lit(0.0))
+             .unionByName(_count_terms(counts, max(2 * len(e) + 1 for e in edges), merge_bits)))
+    stats = (terms.groupBy("_pair").agg(*[F.sum(c).alias(c) for c in [*TERMS, "n"]])
+             .withColumnRenamed("dis", "_dis"))
     n = F.col("n")
     tot = n * (n - 1) / 2
     cmd = tot - F.col("xtie") - F.col("ytie") + F.col("ntie") - 2 * F.col("_dis")
@@ -182,8 +338,8 @@ def kendall_pairs(df: DataFrame, cols: Sequence[str], num_buckets: int | None =
     p = (F.when((n < 2) | (tot - F.col("xtie") <= 0) | (tot - F.col("ytie") <= 0), F.lit(None))
          .when(exact, _kendall_exact_udf(F.when(exact, n), F.when(exact, c)))
          .when(var > 0, F.least(F.lit(1.0), 2 * norm_sf_col("_kz"))))
-    names = x.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                           "_pair int, col_a string, col_b string")
+    names = spark.createDataFrame([(i, cols[a], cols[b]) for i, (a, b) in enumerate(pairs)],
+                                  "_pair int, col_a string, col_b string")
     stats = stats.withColumn("_kz", F.abs(z))
     out = stats.select("_pair", n.cast("bigint").alias("n"), tau.alias("corr"), p.alias("_p"))
     # one row per column pair on the left: a few rows
