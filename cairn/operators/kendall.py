@@ -42,6 +42,8 @@ from cairn.session import checkpoint_dir
 BLOCK_BITS, MERGE_BITS = 18, 5
 #: Quantiles of a column at least: a value that holds more than two of their steps is a cell of its own.
 LEAST_CELLS = 256
+#: Open cells of a smaller table, while they keep so many rows.
+SPREAD_CELLS, SPREAD_ROWS = 64, 1 << 12
 #: Counts of (cell, cell) a task keeps as one array; rows it takes at once where there are more.
 DENSE_COUNTS, BATCH_ROWS = 1 << 22, 1 << 18
 #: What a pair's rows add up to: discordant pairs, pairs tied in both, and three tie sums for each column.
@@ -245,7 +247,8 @@ def _edges(x: DataFrame, cols: Sequence[str], counts: Sequence[int], block_bits:
     They are quantiles with an error of an eighth of their distance.  Each value that two quantiles in a row
     share is among them.
     """
-    wanted = [-(-3 * n // (2 << block_bits)) for n in counts]       # two thirds of the limit each
+    # two thirds of the limit each; a smaller table is spread over some tasks as well
+    wanted = [max(-(-3 * n // (2 << block_bits)), min(SPREAD_CELLS, n // SPREAD_ROWS)) for n in counts]
     steps = max(LEAST_CELLS, *wanted)
     probs = [i / steps for i in range(steps + 1)]
     row = x.agg(*[F.percentile_approx(F.col(c), probs, 8 * steps).alias(f"q{i}") for i, c in enumerate(cols)]).first()
